@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op7_language
+from .media import op9_media
+from .mixing import OP8_SQL, op8_mixing
 from .quality import op10_quality
+from .sharding import op4_sharding
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op4_sharding": op4_sharding,
     "op7_language": op7_language,
+    "op8_mixing": op8_mixing,
+    "op9_media": op9_media,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
