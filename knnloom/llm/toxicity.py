@@ -23,8 +23,6 @@ Without labels of both classes every score is the smoothed share of label 1
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,18 +90,45 @@ def count_grams(batches):
         yield emit(held)
 
 
-@dataclass
 class Model:
-    top: np.ndarray  # [2^TOP_BITS, 2] counts of 5-grams: ordinary, toxic
-    rest: np.ndarray  # [2^LOW_BITS, 4] by context: 1/T and share of the backoff, for ordinary, toxic
-    shared: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by order: discounted counts; 1/T and backoff by context
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    """Tables of both classes; only their filled slots travel.
+
+    ``raw``: "top", counts of 5-grams [ordinary, toxic]; "context", of their
+    contexts, with the kinds of followers; for each shared order n the numbers
+    of left extensions, and by context their sums and kinds.
+    """
+
+    #: The tables as broadcast, if they were.
+    sent = None
+
+    def __init__(self, raw: dict[str, np.ndarray], curve: np.ndarray | None = None) -> None:
+        self.raw, self.curve = raw, np.zeros(5) if curve is None else curve
+        self.top = np.maximum(raw["top"] - np.float32(DISCOUNT), 0)
+        total, kinds = raw["context"][:, :2], raw["context"][:, 2:]
+        share = 1 / np.maximum(total, 1)
+        self.rest = np.c_[np.where(total > 0, share, 0), np.where(total > 0, DISCOUNT * kinds * share, 1)].astype(np.float32)
+        self.shared = {1: (raw["n1"][:, 0] + 0.1) / (raw["n1"].sum() + 25.6)}
+        for n in range(2, ORDER):
+            total, kinds = raw[f"c{n}"].T
+            share = 1 / np.maximum(total, 1)
+            self.shared[n] = (np.maximum(raw[f"n{n}"][:, 0] - DISCOUNT, 0), np.where(total > 0, share, 0), np.where(total > 0, DISCOUNT * kinds * share, 1))
+
+    def __getstate__(self) -> tuple:
+        filled = {k: (v.shape, at := np.flatnonzero(v).astype(np.int32), v.ravel()[at]) for k, v in self.raw.items()}
+        return filled, self.curve
+
+    def __setstate__(self, state: tuple) -> None:
+        raw = {}
+        for k, (shape, at, values) in state[0].items():
+            raw[k] = np.zeros(shape, np.float32)
+            raw[k].ravel()[at] = values
+        self.__init__(raw, state[1])
 
     def backoff(self, g: np.ndarray, order: int) -> np.ndarray:
         """The shared probability of the last byte of g after its order-1 predecessors."""
         g = g & np.uint64((1 << 8 * order) - 1)
         if order == 1:
-            return self.shared[1][0][g.astype(np.int64)]
+            return self.shared[1][g.astype(np.int64)]
         count, share, back = self.shared[order]
         i, c = slot(g, LOW_BITS), slot(g >> np.uint64(8), LOW_BITS)
         p, b = count[i] * share[c], back[c]
@@ -115,7 +140,7 @@ class Model:
         g, ok = _grams(data, off)
         base = np.maximum(self.backoff(g, ORDER - 1), 1e-9).astype(np.float32)
         n, c = self.top[slot(g, TOP_BITS)], self.rest[slot(g >> np.uint64(8), LOW_BITS)]
-        p = np.maximum(n - DISCOUNT, 0) * c[:, :2] + c[:, 2:] * base[:, None]
+        p = n * c[:, :2] + c[:, 2:] * base[:, None]
         return np.where(ok, np.log(p[:, 1] / p[:, 0]), 0), ok
 
     def features(self, col: pa.Array) -> np.ndarray:
@@ -136,9 +161,9 @@ class Model:
         loud = add[:, 2] / np.maximum(add[:, 3], 1)
         return np.stack([add[:, 0] / np.maximum(add[:, 1], 1), np.log1p(100 * loud), np.log1p(top), np.log1p(add[:, 3])], 1)
 
-    def score(self, col: pa.Array) -> np.ndarray:
-        x = self.features(col)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] + x @ self.curve[1:], -35, 35)))
+    def score(self, col: pa.Array, curve: np.ndarray | None = None) -> np.ndarray:
+        w = self.curve if curve is None else curve
+        return 1 / (1 + np.exp(-np.clip(w[0] + self.features(col) @ w[1:], -35, 35)))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -180,24 +205,19 @@ def fit_counts(rows: DataFrame) -> Model:
     grams = pinned(grams)
     low = _slot_of(LOW_BITS)
     one = lambda c: (F.col(c) > 0).cast("int")
-    top = _table(grams.select(_slot_of(TOP_BITS)("g").alias("s"), "ordinary", "toxic"), "s", TOP_BITS, "ordinary", "toxic")
-    ctx = _table(grams.select(low(F.expr("shiftright(g, 8)")).alias("s"), "ordinary", "toxic", one("ordinary").alias("o"), one("toxic").alias("t")), "s", LOW_BITS, "ordinary", "toxic", "o", "t")
-    total, kinds = ctx[:, :2], ctx[:, 2:]
-    rest = np.c_[np.where(total > 0, 1 / np.maximum(total, 1), 0), np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)].astype(np.float32)
-    model, kinds_of = Model(top, rest), grams.select("g")
-    for order in range(ORDER - 1, 0, -1):  # types of one order more, counted by their suffix
-        kinds_of = kinds_of.groupBy((F.col("g").bitwiseAND((1 << 8 * order) - 1)).alias("g")).agg(F.count("*").alias("n"))
-        if order == 1:
-            n = np.zeros(256)
-            for g, k in kinds_of.collect():
-                n[g] = k
-            model.shared[1] = ((n + 0.1) / (n.sum() + 25.6), np.empty(0), np.empty(0))
+    raw = {
+        "top": _table(grams.select(_slot_of(TOP_BITS)("g").alias("s"), "ordinary", "toxic"), "s", TOP_BITS, "ordinary", "toxic"),
+        "context": _table(grams.select(low(F.expr("shiftright(g, 8)")).alias("s"), "ordinary", "toxic", one("ordinary").alias("o"), one("toxic").alias("t")), "s", LOW_BITS, "ordinary", "toxic", "o", "t"),
+    }
+    kinds = grams.select("g")
+    for n in range(ORDER - 1, 0, -1):  # types of one order more, counted by their suffix
+        kinds = kinds.groupBy((F.col("g").bitwiseAND((1 << 8 * n) - 1)).alias("g")).agg(F.count("*").alias("n"))
+        if n == 1:
+            raw["n1"] = _table(kinds.select(F.col("g").alias("s"), "n"), "s", 8, "n")
             break
-        n = _table(kinds_of.select(low("g").alias("s"), "n"), "s", LOW_BITS, "n")[:, 0]
-        c = _table(kinds_of.select(low(F.expr("shiftright(g, 8)")).alias("s"), "n", F.lit(1).alias("k")), "s", LOW_BITS, "n", "k")
-        t = c[:, 0]
-        model.shared[order] = (np.maximum(n - DISCOUNT, 0), np.where(t > 0, 1 / np.maximum(t, 1), 0).astype(np.float32), np.where(t > 0, DISCOUNT * c[:, 1] / np.maximum(t, 1), 1).astype(np.float32))
-    return model
+        raw[f"n{n}"] = _table(kinds.select(low("g").alias("s"), "n"), "s", LOW_BITS, "n")
+        raw[f"c{n}"] = _table(kinds.select(low(F.expr("shiftright(g, 8)")).alias("s"), "n", F.lit(1).alias("k")), "s", LOW_BITS, "n", "k")
+    return Model(raw)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS) -> Model:
@@ -211,7 +231,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     texts = docs.select("doc_id", "text")
     model = fit_counts(texts.join(count_on, F.col("doc_id") == F.col("labelled_id")))
     ids = sample_labels(known.where(in_fold == tune), "toxic", folds, held_out, rows).withColumnRenamed("doc_id", "labelled_id")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = model.sent = docs.sparkSession.sparkContext.broadcast(model)
     udf = F.arrow_udf(lambda text: pa.array(list(sent.value.features(text)), pa.list_(pa.float64())), "array<double>")
     got = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "y", udf("text").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack(got["x"]) if len(got) else np.empty((0, 4))
@@ -221,8 +241,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
 
 def with_toxicity(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """The documents with the probability of label 1 as column ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn(score, F.arrow_udf(lambda text: pa.array(sent.value.score(text)), "double")(F.col("text")))
+    sent = model.sent or docs.sparkSession.sparkContext.broadcast(model)
+    curve = model.curve
+    return docs.withColumn(score, F.arrow_udf(lambda text: pa.array(sent.value.score(text, curve)), "double")(F.col("text")))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
