@@ -11,11 +11,13 @@ from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op10_quality
 from .sharding import op4_sharding
+from .simhash import op6_simhash
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
+    "op6_simhash": op6_simhash,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,

@@ -65,12 +65,16 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, offsets, rows) pieces of a column, each of at most ``limit`` bytes."""
+def slices(col: pa.Array, limit: int = SLICE_BYTES, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(data, offsets, rows) pieces of a column, each of at most ``limit`` bytes.
+
+    ``whole``: a text longer than the limit is a slice of its own, uncut.
+    """
     data, off = column_bytes(col)
     n, i = len(off) - 1, 0
     while i < n:
         j = int(np.searchsorted(off, off[i] + limit, "right")) - 1
+        j = max(j, i + 1) if whole else j
         if j > i:
             yield data[off[i] : off[j]], off[i : j + 1] - off[i], np.arange(i, j)
             i = j
