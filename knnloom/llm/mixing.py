@@ -31,7 +31,7 @@ from .session import pinned
 
 MOST = 3
 #: Rows of a source in one hash bucket, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 MAX_SOURCES = 100_000
 SEED = "mix-1"
 
