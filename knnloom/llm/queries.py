@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .imatch import op1_imatch
 from .language import op7_language
 from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
@@ -15,6 +16,7 @@ from .simhash import op6_simhash
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
