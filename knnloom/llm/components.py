@@ -15,22 +15,32 @@ from pyspark.sql import functions as F
 from .session import pinned
 
 
+#: Edges in one file of a step's table, about.
+FILE_EDGES = 500_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _step(edges: DataFrame, about: int) -> DataFrame:
+    """A step's edges as a table of few files; a step never adds edges to speak of."""
+    return pinned(edges.coalesce(max(1, -(-about // FILE_EDGES))), "none")
+
+
 def _star(both: DataFrame) -> DataFrame:
     """Each node's neighbours with the smallest of node and neighbours as m."""
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return both.join(least, "u")
 
 
-def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
+def components(edges: DataFrame, about: int, most_steps: int = 100) -> DataFrame:
     """(node, root) for each node that has an edge, from edges (u, v); root is the smallest node.
 
+    ``about``: the number of edges, or a bound; it only sets the number of files.
     Loops and repeated edges don't matter; an empty table gives an empty result.
     """
-    now = pinned(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = _step(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), about)
     was = None
     for _ in range(most_steps):
         state = _state(now)
@@ -42,7 +52,7 @@ def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = pinned(small.distinct())
+        now = _step(small.distinct(), state[0])
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -97,7 +97,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     own = F.struct("k1", "k2", "n")
     groups = docs.groupBy("id", "k1", "k2", "n").agg(F.count("*").alias("copies"))
-    ranged = pinned(groups.repartitionByRange("id", "k1", "k2").withColumn("pid", F.spark_partition_id()))
+    ranged = pinned(groups.repartitionByRange("id", "k1", "k2").withColumn("pid", F.spark_partition_id()), "none")
     ends = ranged.groupBy("pid").agg(F.min(F.struct("id", "k1", "k2", "n")).alias("a"), F.max(F.struct("id", "k1", "k2", "n")).alias("z"))
     by, all_ = Window.orderBy("pid"), Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("pid", F.coalesce(F.lead("a").over(by), F.first("a").over(all_)).alias("after"), F.coalesce(F.lag("z").over(by), F.last("z").over(all_)).alias("before"))
@@ -116,7 +116,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(SEED)).alias("k2"), F.length("text").alias("n"))
     words = lexicon(base)
-    order = pinned(neighbours(base.select("id", "k1", "k2", "n")))
+    order = pinned(neighbours(base.select("id", "k1", "k2", "n")), "none")
     copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
     rows = base.withColumn("copy", copy).join(order, ["k1", "k2"])
     # the beginning of a document goes to the one before it: a copy of its own, or the last copy of the previous

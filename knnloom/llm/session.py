@@ -17,11 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def pinned(df: DataFrame) -> DataFrame:
+def pinned(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows written as a Parquet table in the shared folder, and read from it.
 
-    Cuts the lineage like checkpoint(), in columns and compressed.
+    Cuts the lineage like checkpoint(), in columns.  Tables of keys and hashes
+    don't compress: "none" saves them the codec and its buffers.
     """
     path = f"{shared_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,6 +42,8 @@ SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0xC75
 SMALL, BLOCK = 16, 1024
+#: Keys of a fingerprint, about, and keys whose links make one file.
+KEYS, FILE_KEYS = 85, 1_000_000
 
 
 def fingerprints(col: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -234,16 +236,20 @@ def cross_rows(batches):
         yield from work(held)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect distinct fingerprints (fp) as links of LINK_BITS bits do."""
+def links(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (u, v) that connect distinct fingerprints (fp) as links of LINK_BITS bits do.
+
+    Also about how many there are.
+    """
     keys = distinct.select("fp").mapInArrow(key_rows, "key bigint, fp bigint")
-    found = pinned(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_rows, LINKS))
+    files = max(1, -(-distinct.count() * KEYS // FILE_KEYS))
+    found = pinned(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_rows, LINKS).coalesce(files), "none")
     members = found.where("v is null")
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     wide = members.join(blocks, "key").select("key", F.col("u").alias("fp"), "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other")).where("block != other")
     pairs = wide.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
     across = pairs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cross_rows, LINKS)
-    return found.where("v is not null").select("u", "v").unionByName(across.select("u", "v"))
+    return found.where("v is not null").select("u", "v").unionByName(across.select("u", "v")), found.count()
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
@@ -253,9 +259,9 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", words
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp, component_id) of each row: the smallest id that links of LINK_BITS bits reach."""
-    prints = pinned(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words).select("id", "fp"))
+    prints = pinned(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words).select("id", "fp"), "none")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    roots = components(*links(distinct)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")

@@ -202,7 +202,7 @@ def _slot_of(bits: int):
 def fit_counts(rows: DataFrame) -> Model:
     """The tables of a model from labelled rows (text, y)."""
     grams = rows.select("text", "y").mapInArrow(count_grams, "g bigint, toxic bigint, ordinary bigint").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    grams = pinned(grams)
+    grams = pinned(grams, "none")
     low = _slot_of(LOW_BITS)
     one = lambda c: (F.col(c) > 0).cast("int")
     raw = {
