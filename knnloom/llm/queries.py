@@ -11,6 +11,7 @@ from .language import op7_language
 from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op10_quality
+from .segmentation import op3_segmentation
 from .sharding import op4_sharding
 from .simhash import op6_simhash
 from .toxicity import op2_toxicity
@@ -18,6 +19,7 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_toxicity": op2_toxicity,
+    "op3_segmentation": op3_segmentation,
     "op4_sharding": op4_sharding,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
