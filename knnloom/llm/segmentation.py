@@ -31,6 +31,7 @@ nor changed; input columns with the outputs' names are replaced.
 from __future__ import annotations
 
 import os
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textbytes as tb
 
@@ -45,6 +47,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.5
 SEED = 17
+#: Bytes of text that are searched together; bounds a worker's memory.
+SLICE_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x100000001B3)
 
@@ -348,19 +352,26 @@ def _framed(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(b), 0), b, pc.binary_join_element_wise(pa.scalar(b"", pa.large_binary()), b, pa.scalar(b" ", pa.large_binary())))
 
 
-def sample_segmentations(keys: np.ndarray, col: pa.Array, samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text its samples (ids, log-probability, value, inclusion), best value first."""
+def sampled(keys: np.ndarray, col: pa.Array, samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED):
+    """(first row, samples of each row) of one slice of texts after another.
+
+    A sample is (ids, log-probability, value, inclusion), best value first.
+    """
     vocab = vocabulary(model, alpha)
-    out: list[list[tuple]] = [[] for _ in range(len(col))]
-    for data, off, rows in tb.slices(_framed(col), 1 << 21, whole=True):
+    for data, off, rows in tb.slices(_framed(col), SLICE_BYTES, whole=True):
         if not len(data):
-            for r in rows.tolist():
-                out[r] = [(np.empty(0, np.int64), 0.0, 0.0, 1.0)]
+            yield int(rows[0]), [[(np.empty(0, np.int32), 0.0, 0.0, 1.0)] for _ in rows]
             continue
         search = Search(vocab, data, off, keys[rows], samples, seed)
-        for r, found, kappa in zip(rows.tolist(), search.run(), search.kappa.tolist(), strict=True):
-            out[r] = [(search.lattice.ids[e], lp, v, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for e, lp, v in found]
-    return out
+        out = []
+        for found, kappa in zip(search.run(), search.kappa.tolist(), strict=True):
+            out.append([(search.lattice.ids[e].astype(np.int32), lp, v, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for e, lp, v in found])
+        yield int(rows[0]), out
+
+
+def sample_segmentations(keys: np.ndarray, col: pa.Array, **options) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """The samples of each text of a column."""
+    return [row for _, part in sampled(keys, col, **options) for row in part]
 
 
 def decode(ids: np.ndarray, model: str = MODEL, alpha: float = ALPHA) -> bytes:
@@ -368,25 +379,32 @@ def decode(ids: np.ndarray, model: str = MODEL, alpha: float = ALPHA) -> bytes:
     return vocabulary(model, alpha).decode(np.asarray(ids, np.int64)).tobytes()[1:]
 
 
-SCHEMA = "array<struct<ids array<int>, logp double, value double, inclusion double, decoded_crc32 bigint>>"
+SCHEMA = "array<struct<ids:array<int>,logp:double,value:double,inclusion:double,decoded_crc32:bigint>>"
+
+
+def _column(part: list[list[tuple]], vocab: Vocabulary) -> pa.Array:
+    flat = [s for row in part for s in row]
+    n = [len(s[0]) for s in flat]
+    ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]) if flat else np.empty(0, np.int32)))
+    crc = [zlib.crc32(vocab.decode(s[0])[1:]) for s in flat]
+    items = pa.StructArray.from_arrays([ids, *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)), pa.array(crc, pa.int64())], ["ids", "logp", "value", "inclusion", "decoded_crc32"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in part])].astype(np.int32)), items)
 
 
 def with_segmentations(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "segmentations", samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The documents with their sampled segmentations; each carries the checksum of its decoding."""
-    import zlib
-
-    def run(key: pa.Array, col: pa.Array) -> pa.Array:
-        k = key.fill_null(0).to_numpy(zero_copy_only=False)
-        got = sample_segmentations(k, col, samples, model, alpha, seed)
-        flat = [s for row in got for s in row]
-        vocab = vocabulary(model, alpha)
-        n = np.array([len(s[0]) for s in flat])
-        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32) if flat else np.empty(0, np.int32)))
-        crc = [zlib.crc32(vocab.decode(s[0])[1:]) for s in flat]
-        items = pa.StructArray.from_arrays([ids, *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)), pa.array(crc, pa.int64())], ["ids", "logp", "value", "inclusion", "decoded_crc32"])
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in got])].astype(np.int32)), items)
-
-    return docs.withColumn(out, F.arrow_udf(run, SCHEMA)(F.col(id_col).cast("bigint"), F.col(text)))
+    docs = docs.drop(out)
+    key, value = docs.columns.index(id_col), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            k = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            for first, part in sampled(k, batch.column(value), samples, model, alpha, seed):
+                rows = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, _column(part, vocabulary(model, alpha))], [*rows.schema.names, out])
+
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{out} {SCHEMA}").fields])
+    return docs.mapInArrow(run, schema)
 
 
 def op3_segmentation(spark, sf_dir: str) -> DataFrame:
