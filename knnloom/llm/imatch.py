@@ -26,8 +26,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import pinned
-
 #: A lexicon term is in this share of all documents at least, and at most.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.02
 SUBSETS, RATES = 32, 8
@@ -57,7 +55,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
         rate, draw = k % RATES + 1, k // RATES
         h = F.xxhash64(F.lit(seed + draw), F.col("term"))
         bits = bits.bitwiseOR(F.when(h.bitwiseAND((1 << rate) - 1) == 0, 1 << k if k < 31 else -(1 << 31)).otherwise(0))
-    return pinned(keep.select("term", bits.cast("int").alias("subsets")))
+    return keep.select("term", bits.cast("int").alias("subsets"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -69,24 +67,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(plain | (F.size(used) == 0), 0.0).otherwise(same / F.size(used)).cast("double")
 
 
-def with_fingerprints(rows: DataFrame, texts: dict[str, str], words: DataFrame) -> DataFrame:
+def with_fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
     """Fingerprints of several text columns at once; ``texts`` names their outputs.
 
-    The other columns identify a row (they are grouping keys).
+    ``keys`` tell rows apart.  The other columns travel with one row of a
+    document only, that of the mark; its terms travel with the keys alone.
     """
-    keys = [c for c in rows.columns if c not in texts]
+    rest = [c for c in rows.columns if c not in texts and c not in keys]
     of_text = lambda i: lambda t: F.struct(F.lit(i).alias("which"), t.alias("term"))
-    pairs = F.concat(*(F.transform(F.concat(F.array(F.lit(_MARK)), terms(F.col(c))), of_text(i)) for i, c in enumerate(texts)))
-    digest = {f"__md5_{c}": F.md5(F.col(c).cast("binary")) for c in texts}
-    spread = rows.select(*keys, *(v.alias(k) for k, v in digest.items()), F.explode(pairs).alias("p")).select(*keys, *digest, "p.*")
+    pairs = F.concat(F.array(F.struct(F.lit(-1).alias("which"), F.lit(_MARK).alias("term"))), *(F.transform(terms(F.col(c)), of_text(i)) for i, c in enumerate(texts)))
+    own = rows.select(*keys, F.struct(*rest, *(F.md5(F.col(c).cast("binary")).alias(f"__md5_{c}") for c in texts)).alias("own"), F.explode(pairs).alias("p"))
+    spread = own.select(*keys, F.when(F.col("p.which") == -1, F.col("own")).alias("own"), "p.which", "p.term")
     marked = words.unionByName(words.sparkSession.createDataFrame([(_MARK, 0)], "term string, subsets int"))
     if words.count() <= BROADCAST_TERMS:
         marked = F.broadcast(marked)
-    in_text = lambda i: F.array_sort(F.collect_list(F.when((F.col("which") == i) & (F.col("term") != _MARK), F.struct("term", "subsets"))))
-    got = spread.join(marked, "term").groupBy(*keys, *digest).agg(*(in_text(i).alias(f"__found_{c}") for i, c in enumerate(texts)))
-    one = lambda found, k: F.lpad(F.hex(F.crc32(F.array_join(F.transform(F.filter(found, lambda x: F.shiftright(x["subsets"], k).bitwiseAND(1) == 1), lambda x: x["term"]), " ").cast("binary"))), 8, "0")
-    out = {name: F.when(F.size(f"__found_{c}") > 0, F.concat(*(one(F.col(f"__found_{c}"), k) for k in range(SUBSETS)))).otherwise(F.concat(F.lit("="), F.col(f"__md5_{c}"))) for c, name in texts.items()}
-    return got.select(*keys, *(v.alias(k) for k, v in out.items()))
+    in_text = lambda i: F.sort_array(F.collect_list(F.when(F.col("which") == i, F.struct("term", "subsets"))))
+    got = spread.join(marked, "term").groupBy(*keys).agg(F.max("own").alias("own"), *(in_text(i).alias(f"__found_{c}") for i, c in enumerate(texts)))
+
+    def one(found: Column, k: int) -> Column:
+        of_subset = F.transform(F.filter(found, lambda x: F.shiftright(x["subsets"], k).bitwiseAND(1) == 1), lambda x: x["term"])
+        return F.lpad(F.hex(F.crc32(F.array_join(of_subset, " ").cast("binary"))), 8, "0")
+
+    def all_(found: Column) -> Column:  # as the argument of a lambda the sorted terms are made once, not for each subset
+        return F.element_at(F.transform(F.array(found), lambda f: F.concat(*(one(f, k) for k in range(SUBSETS)))), 1)
+
+    out = {name: F.when(F.size(f"__found_{c}") > 0, all_(F.col(f"__found_{c}"))).otherwise(F.concat(F.lit("="), F.col(f"own.__md5_{c}"))) for c, name in texts.items()}
+    return got.select(*keys, *(F.col(f"own.{c}").alias(c) for c in rest), *(v.alias(k) for k, v in out.items()))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     own = F.struct("k1", "k2", "n")
     groups = docs.groupBy("id", "k1", "k2", "n").agg(F.count("*").alias("copies"))
-    ranged = pinned(groups.repartitionByRange("id", "k1", "k2").withColumn("pid", F.spark_partition_id()), "none")
+    ranged = groups.repartitionByRange("id", "k1", "k2").withColumn("pid", F.spark_partition_id()).persist()
     ends = ranged.groupBy("pid").agg(F.min(F.struct("id", "k1", "k2", "n")).alias("a"), F.max(F.struct("id", "k1", "k2", "n")).alias("z"))
     by, all_ = Window.orderBy("pid"), Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("pid", F.coalesce(F.lead("a").over(by), F.first("a").over(all_)).alias("after"), F.coalesce(F.lag("z").over(by), F.last("z").over(all_)).alias("before"))
@@ -115,23 +121,31 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(SEED)).alias("k2"), F.length("text").alias("n"))
-    words = lexicon(base)
-    order = pinned(neighbours(base.select("id", "k1", "k2", "n")), "none")
+    words = lexicon(base).persist()
+    order = neighbours(base.select("id", "k1", "k2", "n")).persist()
     copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
     rows = base.withColumn("copy", copy).join(order, ["k1", "k2"])
-    # the beginning of a document goes to the one before it: a copy of its own, or the last copy of the previous
-    heads = rows.where("copy = 1").select(F.col("prev.k1").alias("k1"), F.col("prev.k2").alias("k2"), F.expr("substring(text, 1, cast(floor(prev.n / 4) as int))").alias("head"))
+    # The beginning of a document goes to the one before it; any copy has the same.  Both sides of
+    # the join below need the same columns of all texts, so these are shuffled once and reused.
+    heads = rows.where("copy = copies").select(
+        F.col("prev.k1").alias("k1"), F.col("prev.k2").alias("k2"), F.expr("substring(text, 1, cast(floor(prev.n / 4) as int))").alias("head"), F.col("id").alias("next_id"), F.col("n").alias("next_n"),
+    )
     cut = F.floor(F.col("n") / 4).cast("int")
-    head = F.when(F.col("copy") < F.col("copies"), F.expr("substring(text, 1, cast(floor(n / 4) as int))")).otherwise(F.col("head"))
+    last = F.col("copy") == F.col("copies")
+    head = F.when(last, F.col("head")).otherwise(F.expr("substring(text, 1, cast(floor(n / 4) as int))"))
     edited = rows.join(heads, ["k1", "k2"]).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - cut), head))
-    to_next = F.when(F.col("copy") < F.col("copies"), F.struct("k1", "k2")).otherwise(F.struct(F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2")))
-    keyed = edited.select("k1", "k2", "copy", "id", "n", to_next.alias("to"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
-    prints = pinned(with_fingerprints(keyed, {"text": "fingerprint", "edited": "edited_fingerprint"}, words))
+    to = F.when(last, F.struct(F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2"))).otherwise(F.struct("k1", "k2"))
+    keyed = edited.select(
+        "k1", "k2", "copy", "id", "n", to.alias("to"), F.when(last, F.col("next_id")).otherwise(F.col("id")).alias("next_id"), F.when(last, F.col("next_n")).otherwise(F.col("n")).alias("next_n"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited",
+    )
+    prints = with_fingerprints(keyed, ["k1", "k2", "copy"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words).persist()
     other = prints.where("copy = 1").select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("fingerprint").alias("next_fingerprint"))
     both = prints.join(other, (F.col("to.k1") == F.col("o1")) & (F.col("to.k2") == F.col("o2")))
     return both.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("next_id").alias(f"next_{id_col}"), F.col("next_n").cast("long").alias("next_n_chars"),
     )
 
 
