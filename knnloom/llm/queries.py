@@ -14,6 +14,7 @@ from .quality import op10_quality
 from .segmentation import op3_segmentation
 from .sharding import op4_sharding
 from .simhash import op6_simhash
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_segmentation": op3_segmentation,
     "op4_sharding": op4_sharding,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
