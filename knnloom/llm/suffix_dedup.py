@@ -278,24 +278,24 @@ def union_spans(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], reach[np.r_[first[1:] - 1, len(a) - 1]]
 
 
-def repeat_marks(base: DataFrame, total_bytes: int) -> DataFrame:
-    """(place, marks) of the rows of (place, doc_id, text) that repeat others."""
+def repeat_marks(placed: DataFrame, total_bytes: int) -> DataFrame:
+    """(__place, __marks) of the rows of (__place, __id, __text) that repeat others."""
     parts, shards = max(1, -(-total_bytes // PART_BYTES)), max(1, -(-total_bytes // SHARD_BYTES))
-    packed = base.select("place", "text").mapInArrow(anchor_rows(parts), PACKED)
-    answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "place bigint, runs binary")
-    runs = answers.groupBy("place").agg(F.collect_list("runs").alias("runs"))
-    again = base.join(runs, "place").select("place", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text", "runs")
+    packed = placed.select("__place", "__text").mapInArrow(anchor_rows(parts), PACKED)
+    answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "__place bigint, runs binary")
+    runs = answers.groupBy("__place").agg(F.collect_list("runs").alias("runs"))
+    again = placed.join(runs, "__place").select("__place", F.coalesce(F.col("__id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "__text", "runs")
     sent = again.mapInArrow(snippet_rows(shards), SNIPPETS)
-    marks = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(mark_rows, "place bigint, span bigint")
-    return marks.groupBy("place").agg(F.collect_list("span").alias("marks"))
+    marks = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(mark_rows, "__place bigint, span bigint")
+    return marks.groupBy("__place").agg(F.collect_list("span").alias("__marks"))
 
 
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
     """The documents with the byte spans (start, end) that occur in documents of smaller id."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    placed = docs.drop(out).withColumn("place", F.monotonically_increasing_id())
-    base = placed.select("place", F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    marks = repeat_marks(base, total)
+    rest = [c for c in docs.columns if c not in (out, id_col, text)]
+    placed = docs.select(F.monotonically_increasing_id().alias("__place"), F.col(id_col).alias("__id"), F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in rest))
+    marks = repeat_marks(placed, total)
 
     def unite(col: pa.Array) -> pa.Array:
         lists = [union_spans(np.array(x or [], np.int64)) for x in col.to_pylist()]
@@ -304,7 +304,9 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ou
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(f) for f in flat], ["start", "end"]))
 
     udf = F.arrow_udf(unite, "array<struct<start:bigint,end:bigint>>")
-    return placed.join(marks, "place", "left").withColumn(out, udf("marks")).drop("place", "marks")
+    columns = {id_col: F.col("__id"), text: F.col("__text")}
+    joined = placed.join(marks, "__place", "left")
+    return joined.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != out), udf("__marks").alias(out))
 
 
 def _kept(text: pa.Array, spans: pa.Array):
