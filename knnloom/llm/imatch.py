@@ -126,8 +126,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
     rows = base.withColumn("copy", copy).join(order, ["k1", "k2"])
     # The beginning of a document goes to the one before it; any copy has the same.  Both sides of
-    # the join below need the same columns of all texts, so these are shuffled once and reused.
-    heads = rows.where("copy = copies").select(
+    # the join below need the same columns of all texts, so these are shuffled once and reused; the
+    # difference keeps the condition from becoming a key of one more shuffle.
+    heads = rows.where("copies - copy = 0").select(
         F.col("prev.k1").alias("k1"), F.col("prev.k2").alias("k2"), F.expr("substring(text, 1, cast(floor(prev.n / 4) as int))").alias("head"), F.col("id").alias("next_id"), F.col("n").alias("next_n"),
     )
     cut = F.floor(F.col("n") / 4).cast("int")
