@@ -6,9 +6,9 @@ anchor hold all occurrences of their windows, and neighbouring windows with one
 anchor travel as one snippet.
 
 1. Anchors of all documents are compared as 40-bit hashes, packed; an anchor
-   that occurs once can't repeat.  Within a batch repeated hashes travel once,
-   so a frequent passage costs one entry a batch.
-2. Snippets of the anchors that remain go to their shards, equal ones of a batch
+   that occurs once can't repeat.  Within a pack of texts repeated hashes travel
+   once, so a frequent passage costs one entry a pack.
+2. Snippets of the anchors that remain go to their shards, equal ones of a slice
    once, with the list of their places.
 3. In a shard the distinct snippets are sorted as suffixes by external induced
    sorting (``suffixes``); windows between common prefixes of MATCH bytes are
@@ -43,7 +43,9 @@ from .suffixes import repeats
 MATCH, ANCHOR = 50, 16
 LAST_ID = (1 << 63) - 1
 #: Bytes of text for each part of the anchor hashes and for each shard of snippets, about.
-PART_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+PART_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+#: Bytes of text whose anchors, or whose snippets, are packed together; they bound a worker's memory.
+PACK_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 _GROUP = 10  # documents with equal place >> _GROUP share packed rows
 _SENT = 0xFFFF  # ordinal of an entry that wants no answer
 MEMBER = np.dtype([("place", "<i8"), ("id", "<i8"), ("start", "<i4")])
@@ -113,30 +115,38 @@ def anchor_rows(parts: int):
             ["part", "answered", "doc_group", "low", "high", "ordinal", "run"],
         )
 
+    part_of = lambda a: (tb.mix64(a) % np.uint64(parts)).astype(np.int64)
+
+    def packed(got):
+        anchor, where, number = (np.concatenate(c) for c in zip(*got, strict=True))
+        if not len(anchor):
+            return
+        order, start, value = _grouped(anchor)
+        count = np.diff(np.r_[start, len(anchor)])
+        group, ordinal = where >> _GROUP, where & ((1 << _GROUP) - 1)
+        again = np.zeros(len(anchor), bool)
+        again[order] = np.repeat(count > 1, count)
+        one, shared = ~again, value[count > 1]
+        yield pack(
+            np.r_[anchor[one], shared], np.r_[ordinal[one], np.full(len(shared), _SENT)], np.r_[number[one], np.zeros(len(shared), np.int64)],
+            np.r_[group[one], np.full(len(shared), group[0])], np.r_[part_of(anchor[one]), part_of(shared)], False,
+        )
+        if again.any():
+            yield pack(anchor[again], ordinal[again], number[again], group[again], part_of(group[again].astype(np.uint64)), True)
+
     def run(batches):
         for batch in batches:
             place = batch.column(0).to_numpy(zero_copy_only=False)
-            got = []
+            got, size = [], 0
             for data, off, rows in tb.slices(batch.column(1), whole=True):
                 anchor, _, _, piece = snippets(data, off)
                 got.append((anchor, place[rows[piece]], np.arange(len(piece)) - _runs_in_doc(piece, len(rows))[piece]))
-            if not got or not sum(len(g[0]) for g in got):
-                continue
-            anchor, where, number = (np.concatenate(c) for c in zip(*got, strict=True))
-            order, start, value = _grouped(anchor)
-            count = np.diff(np.r_[start, len(anchor)])
-            group, ordinal = where >> _GROUP, where & ((1 << _GROUP) - 1)
-            again = np.zeros(len(anchor), bool)
-            again[order] = np.repeat(count > 1, count)
-            part_of = lambda a: (tb.mix64(a) % np.uint64(parts)).astype(np.int64)
-            one = ~again
-            shared = value[count > 1]
-            yield pack(
-                np.r_[anchor[one], shared], np.r_[ordinal[one], np.full(len(shared), _SENT)], np.r_[number[one], np.zeros(len(shared), np.int64)],
-                np.r_[group[one], np.full(len(shared), group[0])], np.r_[part_of(anchor[one]), part_of(shared)], False,
-            )
-            if again.any():
-                yield pack(anchor[again], ordinal[again], number[again], group[again], part_of(group[again].astype(np.uint64)), True)
+                size += len(data)
+                if size >= PACK_BYTES:
+                    yield from packed(got)
+                    got, size = [], 0
+            if got:
+                yield from packed(got)
 
     return run
 
@@ -189,7 +199,7 @@ def snippet_rows(shards: int):
         for batch in batches:
             place, ident = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(3).to_pylist()
-            for data, off, rows in tb.slices(batch.column(2), 1 << 23, whole=True):
+            for data, off, rows in tb.slices(batch.column(2), SLICE_BYTES, whole=True):
                 anchor, first, last, piece = snippets(data, off)
                 base = _runs_in_doc(piece, len(rows))
                 want = np.zeros(len(anchor), bool)
