@@ -1,0 +1,26 @@
+"""Every registered query against its SQL, over the smallest tables."""
+
+import __spark_entry__ as entry
+import pytest
+
+from .conftest import DATA
+
+NAMES = [n for n in entry.queries() if n in entry.oracle_sql()]
+
+
+def same(got, want):
+    cols = sorted(got.columns)
+    assert sorted(want.columns) == cols
+    a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(b)
+    for c in cols:
+        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_matches_sql(spark, duck, name):
+    same(entry.queries()[name](spark, f"{DATA}/sf0.001").toPandas(), duck.execute(entry.oracle_sql()[name]).df())
+
+
+def test_entry_runs(spark):
+    assert entry.entry(spark).columns == ["input_id", "rnk", "neighbor_id", "dist_sq"]
