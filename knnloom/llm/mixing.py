@@ -84,7 +84,7 @@ def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id", text: s
     queue = known.withColumn("__cum", F.sum("__size").over(within)).join(offsets, (F.col("__s") == F.col("__s2")) & (F.col("__bucket") == F.col("__b2")))
     queue = pinned(queue.withColumn("__cum", F.col("__cum") + F.col("__offset")).select(*(F.col(f"`{c}`") for c in keep), "__size", "__s", "__source_size", "__target", "__cum"))
 
-    finish = lambda e: (F.col("__source_size") * e + F.col("__cum")).cast("double") / F.col("__target")
+    finish = lambda e: F.try_divide((F.col("__source_size") * e + F.col("__cum")).cast("double"), F.col("__target"))
     items = queue.where((F.col("__size") > 0) & (F.col("__target") > 0)).select("__s", "__size", "__cum", F.posexplode(F.array(*(finish(e) for e in range(MOST)))).alias("__e", "__f"))
     ranges = max(1, sum(r["rows"] for r in totals) * MOST // BUCKET_ROWS)
     span = F.when(F.col("__f") <= 1, F.floor(F.col("__f") * ranges)).otherwise(ranges + 1 + F.floor(F.log2("__f") * ranges)).alias("__range")
