@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -147,6 +147,8 @@ def anchor_rows(parts: int):
                     got, size = [], 0
             if got:
                 yield from packed(got)
+            del got
+            tb.release()
 
     return run
 
@@ -187,6 +189,8 @@ def candidate_rows(batches):
         want = np.r_[np.flatnonzero(known), hit[ordinal[hit] != _SENT]]
         if len(want):
             yield _answers(place[want], run[want])
+        del ordinal, run, place, known, anchor, order, hit, want, rows
+        tb.release()
 
 
 SNIPPETS = "shard int, sizes binary, content binary, counts binary, members binary"
@@ -226,6 +230,7 @@ def snippet_rows(shards: int):
                     [pa.array(value.astype(np.int32)), _blobs(size.astype("<u4"), cut), _blobs(data[at], ends(size)), _blobs(count.astype("<u4"), cut), _blobs(member[by_content], ends(count))],
                     ["shard", "sizes", "content", "counts", "members"],
                 )
+            tb.release()
 
     return run
 
@@ -273,6 +278,8 @@ def mark_rows(batches):
     for _, rows in _stream(batches):
         size, count = (np.frombuffer(b"".join(r[c] for r in rows), "<u4").astype(np.int64) for c in (1, 3))
         place, span = shard_marks(size, np.frombuffer(b"".join(r[2] for r in rows), np.uint8), count, np.frombuffer(b"".join(r[4] for r in rows), MEMBER))
+        del rows, size, count
+        tb.release()
         for k in range(0, len(place), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(place[k : k + (1 << 16)]), pa.array(span[k : k + (1 << 16)])], ["place", "span"])
 
@@ -300,49 +307,49 @@ def repeat_marks(placed: DataFrame, total_bytes: int) -> DataFrame:
     return marks.groupBy("__place").agg(F.collect_list("span").alias("__marks"))
 
 
-def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
-    """The documents with the byte spans (start, end) that occur in documents of smaller id."""
+def _kept(value: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
+    if not len(start):
+        return value
+    cuts = [0, *np.stack([start, end], 1).ravel().tolist(), len(value)]
+    return b"".join(value[cuts[k] : cuts[k + 1]] for k in range(0, len(cuts), 2))
+
+
+def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "spans", kept: str | None = None, digest: str | None = None) -> DataFrame:
+    """The documents with the byte spans (start, end) that occur in documents of smaller id.
+
+    ``kept`` names a column for the text without them (characters that a span
+    cuts through go as well), ``digest`` one for the SHA-256 of the bytes outside.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    rest = [c for c in docs.columns if c not in (out, id_col, text)]
+    made = [c for c in (out, kept, digest) if c]
+    rest = [c for c in docs.columns if c not in (*made, id_col, text)]
     placed = docs.select(F.monotonically_increasing_id().alias("__place"), F.col(id_col).alias("__id"), F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in rest))
     marks = repeat_marks(placed, total)
 
-    def unite(col: pa.Array) -> pa.Array:
+    def unite(texts: pa.Array, col: pa.Array) -> pa.Array:
         lists = [union_spans(np.array(x or [], np.int64)) for x in col.to_pylist()]
         n = np.array([len(a) for a, _ in lists])
         flat = [np.concatenate([x[i] for x in lists]) if lists else np.empty(0, np.int64) for i in (0, 1)]
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(f) for f in flat], ["start", "end"]))
-
-    udf = F.arrow_udf(unite, "array<struct<start:bigint,end:bigint>>")
+        spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(f) for f in flat], ["start", "end"]))
+        left = [_kept(v or b"", a, b) for v, (a, b) in zip(texts.cast(pa.binary()).to_pylist(), lists, strict=True)] if kept or digest else []
+        cols = {"spans": spans}
+        if kept:
+            cols["kept"] = pa.array([v.decode("utf-8", "ignore") for v in left], pa.string())
+        if digest:
+            cols["digest"] = pa.array([hashlib.sha256(v).hexdigest() for v in left], pa.string())
+        return pa.StructArray.from_arrays(list(cols.values()), list(cols))
+
+    kind = "spans array<struct<start:bigint,end:bigint>>" + ", kept string" * bool(kept) + ", digest string" * bool(digest)
     columns = {id_col: F.col("__id"), text: F.col("__text")}
-    joined = placed.join(marks, "__place", "left")
-    return joined.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != out), udf("__marks").alias(out))
-
-
-def _kept(text: pa.Array, spans: pa.Array):
-    for value, cut in zip(text.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True):
-        raw, parts, at = value or b"", [], 0
-        for s in cut or []:
-            parts.append(raw[at : s["start"]])
-            at = s["end"]
-        yield raw, b"".join(parts) + raw[at:] if parts else raw
-
-
-def kept_text(text: Column, spans: Column) -> Column:
-    """The text without the spans; characters that a span cuts through go as well."""
-    return F.arrow_udf(lambda t, s: pa.array([k.decode("utf-8", "ignore") for _, k in _kept(t, s)], pa.string()), "string")(text, spans)
-
-
-def kept_sha256(text: Column, spans: Column) -> Column:
-    """The SHA-256 of the bytes outside the spans."""
-    return F.arrow_udf(lambda t, s: pa.array([hashlib.sha256(k).hexdigest() for _, k in _kept(t, s)], pa.string()), "string")(text, spans)
+    joined = placed.join(marks, "__place", "left").withColumn("__cut", F.arrow_udf(unite, kind)("__text", "__marks"))
+    names = {out: "spans", kept: "kept", digest: "digest"}
+    return joined.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in made), *(F.col(f"__cut.{names[c]}").alias(c) for c in made))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What repeats of every document's bytes; see the module for the defined cases."""
-    got = with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    got = with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest="kept_sha256")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return got.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
-        kept_sha256(F.col("text"), F.col("spans")).alias("kept_sha256"),
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256",
     )

@@ -9,6 +9,7 @@ by ``limit`` and not by the longest text.  Callers add pieces up by row.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,16 @@ def _odd(seed: int, n: int) -> np.ndarray:
 _POW = _odd(7, 4096)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a reused worker else keeps its largest size."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     h = h ^ (h >> np.uint64(30))
