@@ -141,22 +141,25 @@ class Lattice:
                 got = vocab.find(h[live])
                 hit = got >= 0
                 at = live[hit]
-                found.append((at, ell, got[hit], count[at]))
+                found.append((at.astype(np.int32), ell, got[hit].astype(np.int32), count[at].astype(np.int32)))
                 count[at] += 1
                 single[at[width[at] == ell]] = True
         bare = np.flatnonzero(~single[head])
         found.append((bare, 1, vocab.byte_id[data[bare]], count[bare]))
         count[bare] += 1
-        self.first = np.r_[0, np.cumsum(count)]
+        self.first = np.r_[0, np.cumsum(count)].astype(np.int32)
         m = int(self.first[-1])
-        src, dst, ids = np.repeat(np.arange(n), count), np.empty(m, np.int64), np.empty(m, np.int64)
-        for at, ell, piece, place in found:  # the longest piece first: it is the likeliest
+        src, dst, ids = np.repeat(np.arange(n, dtype=np.int32), count), np.empty(m, np.int32), np.empty(m, np.int32)
+        while found:  # the longest piece first: it is the likeliest
+            at, ell, piece, place = found.pop()
             k = self.first[at + 1] - 1 - place
             dst[k], ids[k] = at + ell, piece
+        del h, live
         score = vocab.weight[ids]
         last = dst == stop[src]
         beta = np.zeros(n + 1)
-        far = left[src]
+        far = left[src].astype(np.int32)
+        del left
         order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         cuts = np.r_[0, np.cumsum(np.bincount(far))]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # from the ends of the words to their fronts
@@ -174,7 +177,8 @@ class Lattice:
         run = np.cumsum(np.exp(self.logp))
         self.upto = run - np.r_[0.0, run][self.first[src]]  # cumulative probability within the source
         self.upto[self.first[1:] - 1] = 2.0
-        self.src, self.dst, self.ids = src, np.where(last, -1, dst), ids
+        dst[last] = -1
+        self.src, self.dst, self.ids = src, dst, ids
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that a uniform number picks at each node."""
@@ -366,7 +370,10 @@ def sampled(keys: np.ndarray, col: pa.Array, samples: int = SAMPLES, model: str
         out = []
         for found, kappa in zip(search.run(), search.kappa.tolist(), strict=True):
             out.append([(search.lattice.ids[e].astype(np.int32), lp, v, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for e, lp, v in found])
+        del search
         yield int(rows[0]), out
+        del out
+        tb.release()
 
 
 def sample_segmentations(keys: np.ndarray, col: pa.Array, **options) -> list[list[tuple[np.ndarray, float, float, float]]]:
