@@ -166,8 +166,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(w[0] + self.features(col) @ w[1:], -35, 35)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton's method, with the columns' means and spreads folded in."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method with halved steps, with the columns' means and spreads folded in.
+
+    The ridge keeps it finite where the classes can be told apart without error.
+    """
     prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if not len(y) or y.min() == y.max():
         return np.r_[prior, np.zeros(x.shape[1])]
@@ -175,12 +178,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     z = np.c_[np.ones(len(y)), (x - mean) / sd]
     w, pen = np.r_[prior, np.zeros(x.shape[1])], ridge * np.eye(z.shape[1])
     pen[0, 0] = 0
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + pen, z.T @ (y - p) - pen @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + w @ pen @ w / 2)
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + pen, z.T @ (y - p) - pen @ w)
+        size = 1.0
+        while (then := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - then < 1e-9 * max(1.0, now):
             break
+        w, now = w + size * step, then
     k = w[1:] / sd
     return np.r_[w[0] - k @ mean, k]
 

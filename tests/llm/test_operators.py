@@ -424,3 +424,15 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     good = seen["quality"][1].join(spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1"), "doc_id").count()
     all_good = seen["quality"][0].join(spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1"), "doc_id").count()
     assert good > 0.9 * all_good
+
+
+def test_curve_of_classes_without_overlap():
+    from knnloom.llm.toxicity import fit_curve
+
+    rng = np.random.default_rng(0)
+    for shift in (0.3, 3.0, 300.0):
+        y = (np.arange(4000) % 10 == 0).astype(float)
+        x = rng.normal(0, 1, (4000, 4)) + shift * y[:, None]
+        w = fit_curve(x, y)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -35, 35)))
+        assert p[y == 1].mean() > p[y == 0].mean() + 0.02 and p.mean() == pytest.approx(0.1, abs=0.01)
