@@ -101,6 +101,16 @@ def _blobs(values: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
+def _squeezed(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """The values of each group as compressed bytes."""
+    ends = np.r_[start[1:], len(values)]
+    return pa.array([pa.compress(values[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary())
+
+
+def _plain(blobs: list[bytes], sizes: list[int]) -> bytes:
+    return b"".join(pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(blobs, sizes, strict=True))
+
+
 PACKED = "part int, answered boolean, doc_group bigint, low binary, high binary, ordinal binary, run binary"
 
 
@@ -227,7 +237,7 @@ def snippet_rows(shards: int):
                 count = np.bincount(rank[same], minlength=len(one))
                 ends = lambda v: np.r_[0, np.cumsum(v)][cut]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.astype(np.int32)), _blobs(size.astype("<u4"), cut), _blobs(data[at], ends(size)), _blobs(count.astype("<u4"), cut), _blobs(member[by_content], ends(count))],
+                    [pa.array(value.astype(np.int32)), _blobs(size.astype("<u4"), cut), _squeezed(data[at], ends(size)), _blobs(count.astype("<u4"), cut), _squeezed(member[by_content], ends(count))],
                     ["shard", "sizes", "content", "counts", "members"],
                 )
             tb.release()
@@ -277,8 +287,10 @@ def mark_rows(batches):
     """(place, span) of a stream of packed snippets, sorted by shard; a span is start << 32 | length."""
     for _, rows in _stream(batches):
         size, count = (np.frombuffer(b"".join(r[c] for r in rows), "<u4").astype(np.int64) for c in (1, 3))
-        place, span = shard_marks(size, np.frombuffer(b"".join(r[2] for r in rows), np.uint8), count, np.frombuffer(b"".join(r[4] for r in rows), MEMBER))
-        del rows, size, count
+        total = [[int(np.frombuffer(r[c], "<u4").sum(dtype=np.int64)) * width for r in rows] for c, width in ((1, 1), (3, MEMBER.itemsize))]
+        content, member = _plain([r[2] for r in rows], total[0]), _plain([r[4] for r in rows], total[1])
+        place, span = shard_marks(size, np.frombuffer(content, np.uint8), count, np.frombuffer(member, MEMBER))
+        del rows, size, count, content, member
         tb.release()
         for k in range(0, len(place), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(place[k : k + (1 << 16)]), pa.array(span[k : k + (1 << 16)])], ["place", "span"])
