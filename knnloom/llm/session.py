@@ -21,8 +21,12 @@ def pinned(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The rows written as a Parquet table in the shared folder, and read from it.
 
     Cuts the lineage like checkpoint(), in columns.  Tables of keys and hashes
-    don't compress: "none" saves them the codec and its buffers.
+    don't compress: "none" saves them the codec and its buffers.  The table goes
+    when the driver ends.
     """
     path = f"{shared_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)

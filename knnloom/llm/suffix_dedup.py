@@ -362,6 +362,7 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What repeats of every document's bytes; see the module for the defined cases."""
     got = with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digest="kept_sha256")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return got.select(
+    row = got.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256",
     )
+    return row.hint("rebalance")  # the rows are short: few files instead of one for each task of the texts
