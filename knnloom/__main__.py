@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from .operators import run_metrics
 from .plans import FAMILIES, strategy_mask
-from .sources import read_points, write_metrics, write_neighbours
+from .sources import load_points, write_metrics, write_neighbours
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -20,18 +20,20 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--accuracy", type=float, default=1e-15)
     p.add_argument("--stripes", type=int, default=0, help="0: from the size of TRAINING")
     p.add_argument("--mask", default="1" * 30, help="30 digits 0 or 1")
+    p.add_argument("--no-compare", action="store_true", help="don't compare results with the first strategy's")
     p.add_argument("--save", help="folder for neighbour files")
-    p.add_argument("--metrics", help="folder for the metrics CSV")
+    p.add_argument("--metrics", help="folder for the metrics CSV, semicolons and decimal commas")
     p.add_argument("--memory", type=int, default=1024, help="MB for the driver")
     a = p.parse_args(argv)
     spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").config("spark.driver.memory", f"{max(a.memory, 512)}m").getOrCreate()
-    queries, training = read_points(spark, a.input), read_points(spark, a.training)
+    queries, training, seconds = load_points(spark, a.input, a.training)
+    print(f"loaded in {seconds:.3f} s")
     names = strategy_mask(a.mask)
     options = {"stripes": a.stripes} if a.stripes else {}
-    metrics = run_metrics({n: FAMILIES[n] for n in names}, queries, training, a.k, a.accuracy, **options)
+    metrics = run_metrics(names, queries, training, a.k, a.accuracy, compare=not a.no_compare, **options).persist()
     metrics.show(truncate=False)
     if a.metrics:
-        write_metrics(metrics, a.metrics)
+        write_metrics(metrics, a.metrics, localised=True)
     for n in names if a.save else []:
         write_neighbours(FAMILIES[n](queries, training, a.k, **options), f"{a.save}/{n}")
 

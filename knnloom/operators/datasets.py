@@ -29,6 +29,13 @@ def with_place(points: DataFrame, *order: str) -> DataFrame:
     return placed.select(*points.columns, (F.col("first") + F.col("inside")).cast("bigint").alias("place"))
 
 
+def target_count(n: int, factor: int) -> int:
+    """How many points ``multiply`` makes of n."""
+    if factor not in FACTORS:
+        raise ValueError(f"factor must be one of {FACTORS}")
+    return {-2: (n + 1) // 2, -1: n // 2, 1: n, 2: 4 * (n // 2), 4: 4 * n}[factor]
+
+
 def multiply(points: DataFrame, factor: int) -> DataFrame:
     """Thins or multiplies, by rank of id from 0; what is kept is numbered anew from 0.
 

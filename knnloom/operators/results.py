@@ -16,6 +16,14 @@ def top_k(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.select("input_id", F.col("rnk").cast("bigint").alias("rnk"), "neighbor_id", "dist_sq")
 
 
+def merge(parts: list[DataFrame], k: int) -> DataFrame:
+    """The k nearest over several results for the same points and disjoint candidates."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return top_k(union.where("neighbor_id is not null").select("input_id", "neighbor_id", "dist_sq"), k)
+
+
 def positions(result: DataFrame, k: int) -> DataFrame:
     """The result with ``position``: 0 for the farthest of the k slots."""
     return result.select("input_id", (F.lit(k).cast("bigint") - F.col("rnk")).alias("position"), "neighbor_id", "dist_sq")

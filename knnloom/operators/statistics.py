@@ -43,21 +43,46 @@ def candidate_stats(candidates: DataFrame, column: str = "n") -> DataFrame:
     )
 
 
-def run_metrics(strategies: dict, queries: DataFrame, candidates: DataFrame, k: int, accuracy: float = 1e-15, **options) -> DataFrame:
-    """Runs several strategies and compares each with the first.
+def candidate_counts(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(input_id, n): how many candidates are ranked for each input point, 0 included."""
+    counts = rows.groupBy("input_id").agg(F.count("*").alias("n"))
+    return queries.select(F.col("id").alias("input_id")).join(counts, "input_id", "left").select("input_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
-    One row a strategy: seconds, rows, differing ids and the first five of them.
+
+#: Columns of the metrics of a run; what Spark does itself (sorting, windows, spilling) has no figure.
+METRICS = (
+    "strategy string, total_seconds double, sorting_seconds double, candidates_total bigint, candidates_least bigint, candidates_most bigint, candidates_mean double, stripes bigint, "
+    "allocation_error boolean, pending_points bigint, first_pass_windows bigint, second_pass_windows bigint, commit_seconds double, final_sort_seconds double, differences bigint, first_ids string"
+)
+
+
+def run_metrics(names: list[str], queries: DataFrame, candidates: DataFrame, k: int, accuracy: float = 1e-15, compare: bool = True, count: bool = True, **options: object) -> DataFrame:
+    """Runs several strategies and compares each with the first; one row of METRICS a strategy.
+
+    ``compare`` and ``count`` switch the comparison and the candidate counts,
+    which run the plans once more.
     """
+    from ..functions import optimal_stripes
+    from ..plans import candidate_rows, strategy
     from .results import difference_ids
 
     spark, first, rows = queries.sparkSession, None, []
-    for name, plan in strategies.items():
+    stripes = options.get("stripes") or optimal_stripes(candidates.count(), k)
+    for name in names:
         began = time.perf_counter()
-        got = plan(queries, candidates, k, **options).persist()
-        n = got.count()
+        got = strategy(name)(queries, candidates, k, **options).persist()
+        got.count()
         seconds = time.perf_counter() - began
-        first = first or got
-        ids = difference_ids(first, got, accuracy).persist()
-        rows.append((name, seconds, n, ids.count(), ", ".join(str(r[0]) for r in ids.orderBy("input_id").limit(5).collect())))
-        ids.unpersist()
-    return spark.createDataFrame(rows, "strategy string, seconds double, result_rows bigint, differences bigint, first_ids string")
+        stats = candidate_stats(candidate_counts(candidate_rows(name, queries, candidates, k, **options), queries)).first() if count else (None,) * 4
+        different, ids = None, None
+        if compare:
+            first = first or got
+            off = difference_ids(first, got, accuracy).persist()
+            different, ids = off.count(), ", ".join(str(r[0]) for r in off.orderBy("input_id").limit(5).collect())
+            off.unpersist()
+        if got is not first:
+            got.unpersist()
+        rows.append((name, seconds, None, *stats, None if name == "brute" else stripes, False, 0, None, None, None, None, different, ids))
+    if first is not None:
+        first.unpersist()
+    return spark.createDataFrame(rows, METRICS)

@@ -12,8 +12,9 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 
+from ..operators.statistics import pairs
 from .brute import brute
-from .tiles import tiles
+from .tiles import reached, tiles
 
 
 class Strategy(Protocol):
@@ -30,6 +31,12 @@ FAMILIES: dict[str, Strategy] = {
     "grid": partial(tiles, axis="y", by_block=True),
 }
 
+def candidate_rows(name: str, queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame:
+    """(input_id, neighbor_id, dist_sq): what a built-in strategy ranks."""
+    plan = strategy(name)
+    return pairs(queries, candidates) if plan is brute else reached(queries, candidates, k, **plan.keywords, **options)
+
+
 #: By place of the 30-digit mask: nested loop serial and on two thread runtimes,
 #: sweeps, stripes by input, stripes by training, out-of-core stripes.
 _BY_PLACE = ["brute"] * 3 + ["sweep_x"] * 6 + ["stripes_input"] * 9 + ["stripes_training"] * 8 + ["stripes_input", "stripes_training"] * 2

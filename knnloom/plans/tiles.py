@@ -157,14 +157,23 @@ def _lists(items: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array((np.concatenate(items) if len(items) else np.empty(0)).astype(np.int32)))
 
 
-def tiles(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y", split_by: str = "training", stripes: int | None = None, by_block: bool = False, **_: object) -> DataFrame:
-    """The two-round join; see the module."""
+def tiles(queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame:
+    """The two-round join; see the module and ``reached`` for the options."""
+    return top_k(reached(queries, candidates, k, **options), k)
+
+
+def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y", split_by: str = "training", stripes: int | None = None, by_block: bool = False, **_: object) -> DataFrame:
+    """(input_id, neighbor_id, dist_sq) of all candidates within each point's bound.
+
+    ``axis``: that of the stripes; ``split_by``: the set whose quantiles cut them;
+    ``stripes``: how many (by default from the sizes); ``by_block``: join on blocks.
+    """
     v, u = (axis, "x" if axis == "y" else "y")
     points = lambda df: df.select("id", F.col(v).alias("v"), F.col(u).alias("u"))
     i, t = points(queries), points(candidates)
     n = t.count()
     if n == 0:
-        return top_k(i.join(t, F.lit(False)).select(i["id"].alias("input_id"), t["id"].alias("neighbor_id"), F.lit(0.0).alias("dist_sq")), k)
+        return i.limit(0).select(F.col("id").alias("input_id"), F.col("id").alias("neighbor_id"), F.lit(0.0).alias("dist_sq"))
     rows = max(BLOCK_ROWS, FEWEST * k, math.ceil(n / MAX_BLOCKS))
     if by_block:
         stripes = stripes or math.ceil(math.sqrt(n / rows))
@@ -188,10 +197,10 @@ def tiles(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y", sp
         cols = [x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (a, b, c)]
         return _lists(boxes.reach(*cols, by_stripe=not by_block))
 
-    reached = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias(tile))
+    wanted = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias(tile))
     side = (F.col("tu") - F.col("u")) * (F.col("tu") - F.col("u"))
-    within = reached.join(tt.select(tile, "neighbor_id", "tv", "tu"), tile).where(F.col("bound").isNull() | ((side <= F.col("bound")) & (apart <= F.col("bound"))))
-    return top_k(within.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq")), k)
+    within = wanted.join(tt.select(tile, "neighbor_id", "tv", "tu"), tile).where(F.col("bound").isNull() | ((side <= F.col("bound")) & (apart <= F.col("bound"))))
+    return within.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
 
 
 def stripe_stats(queries: DataFrame, candidates: DataFrame, k: int, split_by: str = "training", stripes: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .functions import optimal_stripes
+from .plans import candidate_rows
 from .plans.tiles import stripe_stats
 
 #: Point sets of the test tables: (Spark SQL, DuckDB SQL, table).
@@ -101,6 +102,14 @@ _add("aknn_position_farthest_first", lambda spark, d: ops.positions(_join("supp_
 _add("final_sorted_output", lambda spark, d: _join("events", 10, "grid", spark, d).orderBy("input_id", "rnk"), _knn_sql("events", 10))
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = sets(spark, sf_dir, "events")
+    return ops.merge([ops.aknn_join(q, t.where(f"id % 3 = {r}"), 10, "grid") for r in range(3)], 10)
+
+
+_add("aknn_merge_of_parts", _merged, _knn_sql("events", 10))
+
+
 def _perturbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     good = _join("supp_cust", 10, "stripes", spark, sf_dir)
     off = F.when((F.col("rnk") == 3) & (F.col("input_id") % 7 == 0), 1e-6).otherwise(0.0)
@@ -140,6 +149,8 @@ b AS (SELECT d.input_id, d.neighbor_id, count(o.neighbor_id) AS n FROM d LEFT JO
 SELECT input_id, CAST(sum(CASE WHEN n < 10 THEN 1 ELSE 0 END) AS BIGINT) AS additions FROM b GROUP BY input_id""",
 )
 _add("heap_additions_stats", lambda spark, d: ops.candidate_stats(ops.heap_additions(*sets(spark, d, "emb"), 10), "additions"), f"SELECT CAST(sum(additions) AS BIGINT) AS total, min(additions) AS least, max(additions) AS most, avg(additions) AS mean FROM ({ORACLE_SQL['heap_additions_brute']})")
+_add("candidates_brute_stats", lambda spark, d: ops.candidate_stats(ops.candidate_counts(candidate_rows("brute", *sets(spark, d, "emb"), 10), sets(spark, d, "emb")[0])), f"{_with('emb')}, n AS (SELECT q.id, count(t.id) AS n FROM q LEFT JOIN t ON true GROUP BY q.id) SELECT CAST(sum(n) AS BIGINT) AS total, min(n) AS least, max(n) AS most, avg(n) AS mean FROM n")
+_add("candidates_per_point_stats", lambda spark, d: ops.candidate_stats(ops.candidate_counts(candidate_rows("grid", *sets(spark, d, "events"), 10), sets(spark, d, "events")[0])), None)
 _add("dataset_counts", lambda spark, d: ops.dataset_counts(*sets(spark, d, "events")), f"{_with('events')} SELECT (SELECT count(*) FROM q) AS n_input, (SELECT count(*) FROM t) AS n_training")
 
 _RANKED = f"WITH p AS (SELECT id, x, y, row_number() OVER (ORDER BY id) - 1 AS place FROM ({_POINTS['part'][1]}))"

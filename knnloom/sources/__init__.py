@@ -1,6 +1,6 @@
 """Readers and writers of points, and writers of results."""
 
-from .points import read_points, write_points
+from .points import load_points, read_points, write_points
 from .results import write_metrics, write_neighbours, write_stripes
 
-__all__ = ["read_points", "write_metrics", "write_neighbours", "write_points", "write_stripes"]
+__all__ = ["load_points", "read_points", "write_metrics", "write_neighbours", "write_points", "write_stripes"]

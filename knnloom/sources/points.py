@@ -9,6 +9,7 @@ length doesn't fit its count is an error.
 from __future__ import annotations
 
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,15 @@ def read_points(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     return typed.select(checked.alias("id"), "x", "y")
 
 
+def load_points(spark: SparkSession, queries: str, candidates: str) -> tuple[DataFrame, DataFrame, float]:
+    """Both point files, read into Spark's storage (memory, then disk), and the seconds that took."""
+    began = time.perf_counter()
+    both = [read_points(spark, path).persist() for path in (queries, candidates)]
+    for df in both:
+        df.count()
+    return both[0], both[1], time.perf_counter() - began
+
+
 def write_points(points: DataFrame, path: str, fmt: str | None = None, digits: int = 8) -> None:
     """Writes (id, x, y) as Parquet, as text of a fixed number of digits, or as one binary file.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from knnloom.operators import aknn_join, difference_ids, first_differences, nested, positions, result_lines, run_metrics
+from knnloom.operators import aknn_join, difference_ids, first_differences, merge, nested, positions, result_lines, run_metrics
 from knnloom.plans import FAMILIES, strategy_mask
 from knnloom.plans import tiles as tiles_module
 
@@ -112,8 +112,26 @@ def test_forms_of_a_result(spark):
 
 def test_metrics_compare_strategies(spark):
     q, t, k, _ = CASES["uniform"]
-    rows = run_metrics({n: FAMILIES[n] for n in ("brute", "stripes_training")}, frame(spark, q), frame(spark, t), k).collect()
-    assert [(r["strategy"], r["result_rows"], r["differences"]) for r in rows] == [("brute", 240, 0), ("stripes_training", 240, 0)]
+    rows = run_metrics(["brute", "stripes_training", "grid"], frame(spark, q), frame(spark, t), k).collect()
+    assert [(r["strategy"], r["differences"], r["first_ids"], r["stripes"]) for r in rows] == [("brute", 0, "", None), ("stripes_training", 0, "", 7), ("grid", 0, "", 7)]
+    assert (rows[0]["candidates_total"], rows[0]["candidates_least"], rows[0]["candidates_mean"]) == (12000, 200, 200.0)
+    assert all(k <= r["candidates_least"] <= r["candidates_most"] < 200 for r in rows[1:])
+
+
+def test_merge_of_parts(spark):
+    q, t, k, _ = CASES["lattice with ties"]
+    q, t = frame(spark, q), frame(spark, t)
+    parts = [aknn_join(q, t.where(f"id % 3 = {r}"), k, "brute", pad=True) for r in range(3)]
+    assert sorted(map(tuple, merge(parts, k).collect())) == sorted(map(tuple, aknn_join(q, t, k, "brute").collect()))
+
+
+def test_own_strategy(spark):
+    from knnloom.plans import register
+
+    register("first_of_all", lambda q, t, k, **_: aknn_join(q, t, 1, "brute"))
+    p = frame(spark, [(0, 0), (1, 1)])
+    assert aknn_join(p, p, 2, "first_of_all").count() == 2
+    del FAMILIES["first_of_all"]
 
 
 def test_mask():

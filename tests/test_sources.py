@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from knnloom.operators import aknn_join, generate_uniform, multiply
+from knnloom.operators import aknn_join, generate_uniform, multiply, target_count
 from knnloom.plans.tiles import stripe_stats
 from knnloom.sources import read_points, write_metrics, write_neighbours, write_points, write_stripes
 from knnloom.streaming import stream_aknn
@@ -44,7 +44,7 @@ def test_multiplier_sizes(spark, n, sizes):
     p = generate_uniform(spark, n)
     for factor, size in sizes.items():
         got = multiply(p, factor)
-        assert got.count() == size
+        assert got.count() == size == target_count(n, factor)
         if factor != 1:
             assert sorted(r["id"] for r in got.collect()) == list(range(1, size + 1))
     with pytest.raises(ValueError):
@@ -79,3 +79,13 @@ def test_stream(spark, tmp_path):
     query = stream_aknn(spark.readStream.schema("id bigint, x double, y double").parquet(str(tmp_path / "in")), p, 2, lambda df, n: seen.extend(df.collect()), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert sorted((r["input_id"], r["rnk"]) for r in seen) == [(i, r) for i in range(1, 6) for r in (1, 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from knnloom.__main__ import main
+
+    write_points(generate_uniform(spark, 60), str(tmp_path / "p.bin"))
+    main(["3", str(tmp_path / "p.bin"), str(tmp_path / "p.bin"), "--mask", "1001", "--save", str(tmp_path / "out"), "--metrics", str(tmp_path / "metrics")])
+    assert "loaded in" in capsys.readouterr().out
+    assert spark.read.text(str(tmp_path / "out" / "sweep_x")).count() == 60
+    assert len(spark.read.csv(str(tmp_path / "metrics"), sep=";", header=True).columns) == 16
