@@ -12,6 +12,11 @@ them, and with them what is broadcast.  Boundaries are distinct values, so runs
 of equal coordinates stay in one tile, and the outer tiles are open, so any
 finite coordinates are allowed.  Bounds are compared by <=, so ties at the k-th
 distance survive to the ranking.
+
+Crowds.  Of candidates at one location only the k smallest ids can be
+neighbours; where a block is far over its size, the others are left out before
+the joins.  Where a stripe is far over its size (a long run of equal values),
+stripes are joined by their blocks.  Neither changes a result.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist_sq, optimal_stripes
@@ -32,6 +37,8 @@ from ..operators.results import top_k
 #: Candidates in a block, about; never fewer than FEWEST * k.
 BLOCK_ROWS, FEWEST = 64, 4
 MAX_BLOCKS = 250_000
+#: A tile is crowded beyond so many times its size.
+CROWDED = 8
 #: Relative error allowed to approximate quantiles: 1 / (ACCURACY x parts).
 ACCURACY = 20
 
@@ -181,6 +188,11 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
     grid = build_grid(t if split_by == "training" else i, stripes, max(1, math.ceil(n / rows / stripes)))
     training = _located(t, grid)
     boxes = _boxes(training)
+    if boxes.count.max() > CROWDED * rows:
+        order = Window.partitionBy("v", "u").orderBy("id")
+        training = training.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        boxes = _boxes(training)
+    by_block = by_block or np.bincount(boxes.stripe, boxes.count).max() > CROWDED * max(rows, n / stripes)
     asked = _located(i, grid)
     home = F.arrow_udf(lambda b: _lists(boxes.home(b.to_numpy(zero_copy_only=False), k)), "array<int>")
     tt = training.select(F.col("block").alias("t_block"), F.col("stripe").alias("t_stripe"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu"))

@@ -48,6 +48,8 @@ CASES = {
     "one candidate": (RNG.random((5, 2)), RNG.random((1, 2)), 1, {"stripes": 9}),
     "sparse stripes": (RNG.random((40, 2)), np.c_[RNG.random(120), RNG.random(120) ** 6], 10, {"stripes": 60}),
     "lattice with ties": (np.indices((5, 5)).reshape(2, -1).T, np.indices((9, 9)).reshape(2, -1).T, 6, {"stripes": 4}),
+    "crowd at one place": (np.r_[np.full((20, 2), 0.25), RNG.random((20, 2))], np.r_[np.full((150, 2), 0.25), RNG.random((150, 2))], 4, {}),
+    "crowd on one line": (np.c_[RNG.random(40), np.full(40, 0.5)], np.r_[np.c_[RNG.random(300), np.full(300, 0.5)], RNG.random((30, 2))], 4, {"stripes": 30}),
     "squared gap": ([(0, 0)], [(3, 0), (0.1, 10), (0.5, 2)], 1, {"stripes": 2}),
 }
 
@@ -80,6 +82,16 @@ def test_ids_are_opaque(spark):
     assert [(r["input_id"], r["neighbor_id"]) for r in got] == [(-4, 0), (-4, 10**15)]
 
 
+def test_crowd_is_not_joined_pair_by_pair(spark):
+    from knnloom.operators import candidate_counts
+    from knnloom.plans import candidate_rows
+
+    xy = np.r_[np.full((2000, 2), 0.5), RNG.random((1000, 2))]
+    p = frame(spark, xy)
+    most = candidate_counts(candidate_rows("grid", p, p, 3), p).agg({"n": "max"}).first()[0]
+    assert most < 400
+
+
 def test_bad_arguments(spark):
     p = frame(spark, [(0, 0)])
     with pytest.raises(ValueError):
