@@ -121,7 +121,7 @@ def anchor_rows(parts: int):
         order, start, value = _grouped(part.astype(np.int64) << 40 | (group - (base := group.min())) if len(part) else part)
         cols = [(anchor[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), (anchor[order] >> np.uint64(32)).astype("u1"), ordinal[order].astype("<u2"), run[order].astype("<u4")]
         return pa.RecordBatch.from_arrays(
-            [pa.array((value >> 40).astype(np.int32)), pa.array(np.full(len(start), known)), pa.array((value & ((1 << 40) - 1)) + base), *(_blobs(c, start) for c in cols)],
+            [pa.array((value >> 40).astype(np.int32)), pa.array(np.full(len(start), known)), pa.array((value & ((1 << 40) - 1)) + base), *(_blobs(c, start) for c in cols[:2]), *(_squeezed(c, start) for c in cols[2:])],
             ["part", "answered", "doc_group", "low", "high", "ordinal", "run"],
         )
 
@@ -177,17 +177,12 @@ def _stream(batches):
         yield key, rows
 
 
-def _answers(place: np.ndarray, run: np.ndarray):
-    order, start, value = _grouped(place)
-    return pa.RecordBatch.from_arrays([pa.array(value), _blobs(run[order].astype("<u4"), start)], ["place", "runs"])
-
-
 def candidate_rows(batches):
-    """(place, runs): the runs of each document whose anchors occur more than once."""
+    """(place, run) of each run whose anchor occurs more than once."""
     for _, rows in _stream(batches):
-        size = np.array([len(r[3]) // 4 for r in rows])
-        ordinal = np.frombuffer(b"".join(r[5] for r in rows), "<u2").astype(np.int64)
-        run = np.frombuffer(b"".join(r[6] for r in rows), "<u4")
+        size = [len(r[3]) // 4 for r in rows]
+        ordinal = np.frombuffer(_plain([r[5] for r in rows], [2 * n for n in size]), "<u2").astype(np.int64)
+        run = np.frombuffer(_plain([r[6] for r in rows], [4 * n for n in size]), "<u4")
         place = np.repeat(np.array([r[2] for r in rows], np.int64), size) << _GROUP | ordinal
         known = np.repeat(np.array([r[1] for r in rows]), size)
         ask = np.flatnonzero(~known)
@@ -197,8 +192,9 @@ def candidate_rows(batches):
         count = np.diff(np.r_[start, len(ask)])
         hit = ask[order[np.repeat((count > 1), count)]]
         want = np.r_[np.flatnonzero(known), hit[ordinal[hit] != _SENT]]
-        if len(want):
-            yield _answers(place[want], run[want])
+        place, run = place[want], run[want].astype(np.int32)
+        for k in range(0, len(want), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(place[k : k + (1 << 18)]), pa.array(run[k : k + (1 << 18)])], ["__place", "run"])
         del ordinal, run, place, known, anchor, order, hit, want, rows
         tb.release()
 
@@ -212,14 +208,14 @@ def snippet_rows(shards: int):
     def run(batches):
         for batch in batches:
             place, ident = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            lists = batch.column(3).to_pylist()
+            numbers, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
+            ends = ends - ends[0]
             for data, off, rows in tb.slices(batch.column(2), SLICE_BYTES, whole=True):
                 anchor, first, last, piece = snippets(data, off)
                 base = _runs_in_doc(piece, len(rows))
                 want = np.zeros(len(anchor), bool)
-                for d, r in enumerate(rows.tolist()):
-                    for blob in lists[r]:
-                        want[base[d] + np.frombuffer(blob, "<u4").astype(np.int64)] = True
+                a, b = ends[rows[0]], ends[rows[-1] + 1]
+                want[numbers[a:b] + np.repeat(base[:-1], np.diff(ends[rows[0] : rows[-1] + 2]))] = True
                 k = np.flatnonzero(want)
                 if not len(k):
                     continue
@@ -311,8 +307,8 @@ def repeat_marks(placed: DataFrame, total_bytes: int) -> DataFrame:
     """(__place, __marks) of the rows of (__place, __id, __text) that repeat others."""
     parts, shards = max(1, -(-total_bytes // PART_BYTES)), max(1, -(-total_bytes // SHARD_BYTES))
     packed = placed.select("__place", "__text").mapInArrow(anchor_rows(parts), PACKED)
-    answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "__place bigint, runs binary")
-    runs = answers.groupBy("__place").agg(F.collect_list("runs").alias("runs"))
+    answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "__place bigint, run int")
+    runs = answers.groupBy("__place").agg(F.collect_list("run").alias("runs"))
     again = placed.join(runs, "__place").select("__place", F.coalesce(F.col("__id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "__text", "runs")
     sent = again.mapInArrow(snippet_rows(shards), SNIPPETS)
     marks = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(mark_rows, "__place bigint, span bigint")
