@@ -95,6 +95,7 @@ def document_stats(col: pa.Array) -> np.ndarray:
         np.add.at(add, rows, np.stack(parts, 1))
         if len(size):
             np.maximum.at(longest, rows[wp], size)
+    tb.release()
     nb, nw = np.maximum(add[:, 0], 1), np.maximum(add[:, 1], 1)
     mean = add[:, 2] / nw
     cols = [

@@ -77,6 +77,7 @@ def fingerprints(col: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndar
             counts[full] += np.add.reduceat(part, cut[full], axis=0, dtype=np.int32)
         bits = (2 * counts > grams[:, None]).astype(np.uint8)
         out[rows] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    tb.release()
     return out
 
 

@@ -123,6 +123,7 @@ class Model:
             raw[k] = np.zeros(shape, np.float32)
             raw[k].ravel()[at] = values
         self.__init__(raw, state[1])
+        self.raw = {}  # a copy that was sent isn't sent on
 
     def backoff(self, g: np.ndarray, order: int) -> np.ndarray:
         """The shared probability of the last byte of g after its order-1 predecessors."""
@@ -158,6 +159,7 @@ class Model:
             part = [np.diff(run[off]), tb.segment_sum(ok.view(np.int8), off), tb.segment_sum(np.maximum(w - WORD_NATS, 0), wb), np.diff(wb)]
             np.add.at(add, rows, np.stack(part, 1))
             np.maximum.at(top, rows[wp], w)
+        tb.release()
         loud = add[:, 2] / np.maximum(add[:, 3], 1)
         return np.stack([add[:, 0] / np.maximum(add[:, 1], 1), np.log1p(100 * loud), np.log1p(top), np.log1p(add[:, 3])], 1)
 
