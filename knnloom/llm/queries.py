@@ -29,4 +29,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+#: Every window of 50 bytes (as hex) with the smallest id that has it, then gaps and islands.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+k AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.first < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM k),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+c AS (SELECT p.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(d.h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(c.kept, '') || substr(d.h, CAST(2 * coalesce(c.last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}

@@ -148,7 +148,7 @@ def anchor_rows(parts: int):
         for batch in batches:
             place = batch.column(0).to_numpy(zero_copy_only=False)
             got, size = [], 0
-            for data, off, rows in tb.slices(batch.column(1), whole=True):
+            for data, off, rows in tb.slices(batch.column(1), SLICE_BYTES, whole=True):
                 anchor, _, _, piece = snippets(data, off)
                 got.append((anchor, place[rows[piece]], np.arange(len(piece)) - _runs_in_doc(piece, len(rows))[piece]))
                 size += len(data)
@@ -231,9 +231,9 @@ def snippet_rows(shards: int):
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[one][order], size)
                 by_content = np.argsort(rank[same], kind="stable")
                 count = np.bincount(rank[same], minlength=len(one))
-                ends = lambda v: np.r_[0, np.cumsum(v)][cut]
+                before = lambda v: np.r_[0, np.cumsum(v)][cut]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.astype(np.int32)), _blobs(size.astype("<u4"), cut), _squeezed(data[at], ends(size)), _blobs(count.astype("<u4"), cut), _squeezed(member[by_content], ends(count))],
+                    [pa.array(value.astype(np.int32)), _blobs(size.astype("<u4"), cut), _squeezed(data[at], before(size)), _blobs(count.astype("<u4"), cut), _squeezed(member[by_content], before(count))],
                     ["shard", "sizes", "content", "counts", "members"],
                 )
             tb.release()

@@ -237,6 +237,36 @@ def test_repeats_of_many_copies(spark, tmp_path):
     assert [(r["doc_id"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"])) for r in got] == [(w[0], w[2], w[3]) for w in want]
 
 
+@pytest.mark.parametrize("size", [300, 5000])
+def test_repeats_in_small_packs(docs, monkeypatch, size):
+    """The four steps in this process, with many packs, slices, parts and shards."""
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", size)
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 3 * size)
+    some = docs[:90]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d[0] for d in part]), pa.array([d[1] for d in part])], ["place", "text"]) for part in (some[:40], some[40:])]
+
+    def table(rows):
+        return sorted((r for b in rows for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+
+    def batch(rows, names):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    packed = table(suffix_dedup.anchor_rows(7)(batches))
+    runs = {}
+    for place, run in table(suffix_dedup.candidate_rows([batch(packed[:20], list("abcdefg")), batch(packed[20:], list("abcdefg"))])):
+        runs.setdefault(place, []).append(run)
+    again = [d for d in some if d[0] in runs]
+    sent = table(suffix_dedup.snippet_rows(5)([pa.RecordBatch.from_arrays([pa.array([d[0] for d in again]), pa.array([d[0] for d in again]), pa.array([d[1] for d in again]), pa.array([runs[d[0]] for d in again], pa.list_(pa.int32()))], list("abcd"))]))
+    marks = {}
+    for place, span in table(suffix_dedup.mark_rows([batch(sent, list("abcde"))])):
+        marks.setdefault(place, []).append(span)
+    got = []
+    for i, text, _ in some:
+        a, b = suffix_dedup.union_spans(np.array(marks.get(i, []), np.int64))
+        got.append((i, len(text.encode()), int((b - a).sum()), len(a), hashlib.sha256(suffix_dedup._kept(text.encode(), a, b)).hexdigest()))
+    assert got == removed(some) and marks
+
+
 # 6
 
 
