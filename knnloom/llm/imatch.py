@@ -31,7 +31,8 @@ LEAST_SHARE, MOST_SHARE = 0.002, 0.02
 SUBSETS, RATES = 32, 8
 BROADCAST_TERMS = 1_000_000
 SEED = 3
-EMPTY = "00000000"
+#: The hash of no terms: the first digits of the MD5 of an empty text.
+EMPTY = "d41d8cd9"
 #: Stands in every text, so that texts without lexicon terms stay.
 _MARK = "\x00"
 
@@ -53,8 +54,8 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
     bits = F.lit(0)
     for k in range(SUBSETS):
         rate, draw = k % RATES + 1, k // RATES
-        h = F.xxhash64(F.lit(seed + draw), F.col("term"))
-        bits = bits.bitwiseOR(F.when(h.bitwiseAND((1 << rate) - 1) == 0, 1 << k if k < 31 else -(1 << 31)).otherwise(0))
+        h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed + draw}|"), F.col("term")).cast("binary")), 1, 4), 16, 10).cast("int")
+        bits = bits.bitwiseOR(F.when(h % (1 << rate) == 0, 1 << k if k < 31 else -(1 << 31)).otherwise(0))
     return keep.select("term", bits.cast("int").alias("subsets"))
 
 
@@ -86,7 +87,7 @@ def with_fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], w
 
     def one(found: Column, k: int) -> Column:
         of_subset = F.transform(F.filter(found, lambda x: F.shiftright(x["subsets"], k).bitwiseAND(1) == 1), lambda x: x["term"])
-        return F.lpad(F.hex(F.crc32(F.array_join(of_subset, " ").cast("binary"))), 8, "0")
+        return F.substring(F.md5(F.array_join(of_subset, " ").cast("binary")), 1, 8)
 
     def all_(found: Column) -> Column:  # as the argument of a lambda the sorted terms are made once, not for each subset
         return F.element_at(F.transform(F.array(found), lambda f: F.concat(*(one(f, k) for k in range(SUBSETS)))), 1)
@@ -153,3 +154,31 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 def op1_imatch(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts; see the module for the defined cases."""
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT doc_id, text, n, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_doc_id,
+             coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
+x AS (SELECT *, substr(text, 1, n - n // 4) || substr(next_text, 1, n // 4) AS edited FROM e),
+w AS (SELECT doc_id, 0 AS which, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'))) AS term FROM x
+      UNION ALL SELECT doc_id, 1, unnest(list_distinct(regexp_split_to_array(lower(edited), '[^\\p{{L}}\\p{{N}}]+'))) FROM x),
+df AS (SELECT term, count(*) AS df FROM w WHERE which = 0 AND term <> '' GROUP BY term),
+n AS (SELECT count(*) AS n FROM d),
+lex AS (SELECT term FROM df, n WHERE df >= greatest(2, {LEAST_SHARE}::DOUBLE * n) AND df <= greatest(2, {MOST_SHARE}::DOUBLE * n)),
+sub AS (SELECT term, k FROM lex, range({SUBSETS}) r(k)
+        WHERE CAST('0x' || substr(md5(CAST({SEED} + k // {RATES} AS VARCHAR) || '|' || term), 1, 4) AS INTEGER) % (1 << CAST(k % {RATES} + 1 AS INTEGER)) = 0),
+h AS (SELECT w.doc_id, w.which, sub.k, substr(md5(string_agg(w.term, ' ' ORDER BY w.term)), 1, 8) AS h FROM w JOIN sub USING (term) GROUP BY w.doc_id, w.which, sub.k),
+has AS (SELECT DISTINCT doc_id, which FROM w JOIN lex USING (term)),
+f AS (SELECT has.doc_id, has.which, string_agg(coalesce(h.h, '{EMPTY}'), '' ORDER BY r.k) AS f, list(coalesce(h.h, '{EMPTY}') ORDER BY r.k) AS hs
+      FROM has CROSS JOIN range({SUBSETS}) r(k) LEFT JOIN h ON h.doc_id = has.doc_id AND h.which = has.which AND h.k = r.k GROUP BY has.doc_id, has.which),
+p AS (SELECT x.*, coalesce(a.f, '=' || md5(x.text)) AS fa, coalesce(b.f, '=' || md5(x.edited)) AS fb, a.hs AS ha, b.hs AS hb
+      FROM x LEFT JOIN f a ON a.doc_id = x.doc_id AND a.which = 0 LEFT JOIN f b ON b.doc_id = x.doc_id AND b.which = 1),
+q AS (SELECT p.*, o.fa AS fn, o.ha AS hn, o.n AS next_n FROM p JOIN p o ON o.doc_id = p.next_doc_id),
+u AS (SELECT *, list_filter(range({SUBSETS}), lambda k: ha[k + 1] <> '{EMPTY}' OR hb[k + 1] <> '{EMPTY}') AS ue, list_filter(range({SUBSETS}), lambda k: ha[k + 1] <> '{EMPTY}' OR hn[k + 1] <> '{EMPTY}') AS un FROM q)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+       CASE WHEN fa = fb THEN 1e0 WHEN ha IS NULL OR hb IS NULL OR len(ue) = 0 THEN 0e0 ELSE CAST(len(list_filter(ue, lambda k: ha[k + 1] = hb[k + 1])) AS DOUBLE) / len(ue) END AS near_edited,
+       CASE WHEN fa = fn THEN 1e0 WHEN ha IS NULL OR hn IS NULL OR len(un) = 0 THEN 0e0 ELSE CAST(len(list_filter(un, lambda k: ha[k + 1] = hn[k + 1])) AS DOUBLE) / len(un) END AS near_next,
+       next_doc_id, CAST(next_n AS BIGINT) AS next_n_chars
+FROM u
+"""

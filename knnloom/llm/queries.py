@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .imatch import op1_imatch
+from .imatch import OP1_SQL, op1_imatch
 from .language import op7_language
 from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
@@ -44,4 +44,4 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_rem
        sha256(unhex(coalesce(c.kept, '') || substr(d.h, CAST(2 * coalesce(c.last, 0) + 1 AS BIGINT)))) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
