@@ -17,10 +17,11 @@ def with_place(points: DataFrame, *order: str) -> DataFrame:
     """The points with ``place``, their 0-based rank in an order (by id if none is given).
 
     Ranks are taken inside ranges of the order, and ranges are offset by the
-    counts before them, so no task sorts everything.
+    counts before them, so no task sorts everything.  Range boundaries come from
+    a sample, so the ranged rows are kept: both uses must see the same ranges.
     """
     order = order or ("id",)
-    ranged = points.repartitionByRange(*order).withColumn("pid", F.spark_partition_id())
+    ranged = points.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()).persist()
     counts = ranged.groupBy("pid").agg(F.count("*").alias("n"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

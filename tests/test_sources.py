@@ -51,6 +51,15 @@ def test_multiplier_sizes(spark, n, sizes):
         multiply(p, 3)
 
 
+def test_places_of_many_ranges(spark):
+    from knnloom.operators.datasets import with_place
+
+    p = generate_uniform(spark, 300_000).selectExpr("id * 7 as id", "x", "y").repartition(5)
+    wrong = with_place(p).where("place != id / 7 - 1").count()
+    by_y = with_place(p, "y", "id").select("place").distinct().count()
+    assert wrong == 0 and by_y == 300_000
+
+
 def test_generator_follows_its_seed(spark):
     assert rows(generate_uniform(spark, 20, 4)) == rows(generate_uniform(spark, 20, 4)) != rows(generate_uniform(spark, 20, 5))
 
