@@ -79,13 +79,16 @@ class Vocabulary:
         order[[i for i in range(n) if sp.is_byte(i)]] = n
         self.weight = -alpha * np.log(2.0 + order)
         self.longest = max(len(self.text[i]) for i in plain)
-        self.lengths = sorted({len(self.text[i]) for i in plain})
         self.bits = 18
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
+        fronts: dict[int, int] = {}  # hash of each front of a piece: the piece, or -2 if it is none
         for i in plain:
             h = 0
             for b in self.text[i]:
                 h = (h * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
+                fronts.setdefault(h, -2)
+            fronts[h] = i
+        for h, i in fronts.items():
             at = (h * _GOLD & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
             while self.keys[at]:
                 at = (at + 1) & ((1 << self.bits) - 1)
@@ -94,7 +97,7 @@ class Vocabulary:
         self.size, self.start, self.blob = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.text), np.uint8)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
+        """The piece of each hash, -2 for the front of a longer piece, or -1."""
         at = ((h * np.uint64(_GOLD)) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.full(len(h), -1)
         left = np.arange(len(h))
@@ -137,13 +140,13 @@ class Lattice:
             if not len(live):
                 break
             h[live] = h[live] * _BASE + data[live + ell - 1] + np.uint64(1)
-            if ell in vocab.lengths:
-                got = vocab.find(h[live])
-                hit = got >= 0
-                at = live[hit]
-                found.append((at.astype(np.int32), ell, got[hit].astype(np.int32), count[at].astype(np.int32)))
-                count[at] += 1
-                single[at[width[at] == ell]] = True
+            got = vocab.find(h[live])
+            hit = got >= 0
+            at = live[hit]
+            found.append((at.astype(np.int32), ell, got[hit].astype(np.int32), count[at].astype(np.int32)))
+            count[at] += 1
+            single[at[width[at] == ell]] = True
+            live = live[got != -1]  # what no piece begins with, no longer piece does
         bare = np.flatnonzero(~single[head])
         found.append((bare, 1, vocab.byte_id[data[bare]], count[bare]))
         count[bare] += 1
