@@ -418,13 +418,13 @@ def with_segmentations(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def op3_segmentation(spark, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document as sizes, hashes and scores; see the module."""
+    """Sampled segmentations of every document, with sizes, hashes and scores; see the module."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = with_segmentations(docs)
     s = F.col("segmentations")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))
     return got.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.size(s).alias("n_samples"), F.transform(s, lambda x: F.size(x["ids"])).alias("n_pieces"),
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.size(s).alias("n_samples"), F.transform(s, lambda x: F.size(x["ids"])).alias("n_pieces"), F.transform(s, lambda x: x["ids"]).alias("ids"),
         F.transform(s, lambda x: F.xxhash64(x["ids"])).alias("ids_xxhash64"), F.transform(s, lambda x: x["logp"]).alias("logp"), F.transform(s, lambda x: x["inclusion"]).alias("inclusion"),
         F.forall(s, lambda x: x["decoded_crc32"] == crc).alias("round_trip"),
     )
