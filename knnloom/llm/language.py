@@ -58,12 +58,13 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     return best
 
 
-def gram_slots(data: np.ndarray) -> list[np.ndarray]:
-    """For each size the slot of the n-gram that ends at each byte."""
+def gram_slots(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """For each size the slot of the n-gram that ends at each byte (short at the front of each piece)."""
+    place = np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
     low = _PLAIN[data].astype(np.uint32)
     g, out = np.zeros(len(low), np.uint32), []
     for k in range(max(SIZES)):
-        g[k:] |= low[: len(low) - k] << np.uint32(8 * k)
+        g[k:] |= np.where(place[k:] >= k, low[: len(low) - k] << np.uint32(8 * k), np.uint32(0))
         if k + 1 in SIZES:
             h = ((g + np.uint32(k)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
             out.append(h.astype(np.int64) + (SIZES.index(k + 1) << BITS))
@@ -87,7 +88,7 @@ def count_slots(batches):
     for batch in batches:
         lang = np.array(batch.column(1).to_pylist(), object)
         for data, off, rows in tb.slices(batch.column(0)):
-            slots = gram_slots(data)
+            slots = gram_slots(data, off)
             for name in set(lang[rows]):
                 use = np.repeat(lang[rows] == name, np.diff(off))
                 total = sums.setdefault(name, np.zeros(SLOTS, np.int64))
@@ -110,7 +111,7 @@ class Codes:
         total, n = np.zeros((len(col), self.code.shape[1])), np.zeros(len(col))
         for data, off, rows in tb.slices(col, 1 << 18):
             if len(data):
-                slots = gram_slots(data)
+                slots = gram_slots(data, off)
                 w = self.weight[slots[0]]
                 for s in slots[1:]:
                     w += self.weight[s]
