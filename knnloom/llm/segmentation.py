@@ -18,8 +18,8 @@ would have come is the threshold kappa, and a segmentation of probability p was
 included with chance 1 - exp(-exp(log p - kappa)).
 
 All draws are hashes of (seed, row key, sample, place), so a row's samples
-depend on nothing else.  Words are deduplicated per slice before their lattices
-are built, and all texts of a slice are searched in step, in numpy.
+depend on nothing else.  A word's lattice is built once and kept for later slices,
+up to WORD_BYTES of words, and all texts of a slice are searched in step, in numpy.
 
 Defined cases.  A null or empty text has one segmentation, without pieces, of
 inclusion 1.  A text with fewer segmentations than asked for gets all of them,
@@ -30,6 +30,7 @@ nor changed; input columns with the outputs' names are replaced.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from functools import lru_cache
@@ -49,6 +50,8 @@ ALPHA = 1.5
 SEED = 17
 #: Bytes of text that are searched together; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Bytes of words whose lattices are kept from slice to slice (about 110 bytes each).
+WORD_BYTES = 2 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x100000001B3)
 
@@ -93,6 +96,8 @@ class Vocabulary:
             while self.keys[at]:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.ids[at] = h, i
+        byte = np.arange(256, dtype=np.uint64) + np.uint64(1)
+        self.one, self.two = self.find(byte), self.find((byte[:, None] * _BASE + byte).ravel())  # by the first bytes themselves
         size = np.array([len(t) for t in self.text])
         self.size, self.start, self.blob = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.text), np.uint8)
 
@@ -123,10 +128,51 @@ def vocabulary(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of many words, end to end: nodes are bytes, each word has an end node."""
+    """The lattices of words, end to end: nodes are bytes, each word has an end node.
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, size: np.ndarray) -> None:
-        n = len(data)
+    Words are told apart by their bytes.  Lattices are kept from one slice of texts
+    to the next until they hold more than ``limit`` bytes of words.
+    """
+
+    EDGES = (("src", np.int32), ("dst", np.int32), ("ids", np.int32), ("logp", np.float64), ("upto", np.float64))
+
+    def __init__(self, vocab: Vocabulary, limit: int = 0) -> None:
+        self.vocab, self.limit = vocab, limit
+        self.start: dict[bytes, int] = {}  # first node of each word
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1, np.int64)
+        for name, kind in self.EDGES:
+            setattr(self, name, np.empty(0, kind))
+
+    def starts(self, data: np.ndarray, ws: np.ndarray) -> np.ndarray:
+        """The first node of each word of data, cut at ws; words that are new get their lattices."""
+        if self.nodes > self.limit:  # the room of the arrays is used again
+            self.start = {}
+            self.nodes = self.edges = 0
+        one, same = tb.distinct_words(data, ws)
+        text, we = data.tobytes(), np.r_[ws[1:], len(data)]
+        spans = [text[a:b] for a, b in zip(ws[one].tolist(), we[one].tolist(), strict=True)]
+        at = list(map(self.start.get, spans))
+        new = [w for w, k in zip(spans, at, strict=True) if k is None]
+        if new:
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            first = (self.nodes + np.cumsum(size) - size).tolist()
+            self._add(np.frombuffer(b"".join(new), np.uint8), size)
+            self.start.update(zip(new, first, strict=True))
+            rest = iter(first)
+            at = [next(rest) if k is None else k for k in at]
+        return np.array(at, np.int64)[same]
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if used + len(values) > len(held):
+            more = np.empty(max(used + len(values), used + used // 2), held.dtype)
+            more[:used] = held[:used]
+            setattr(self, name, more)
+        getattr(self, name)[used : used + len(values)] = values
+
+    def _add(self, data: np.ndarray, size: np.ndarray) -> None:
+        vocab, n = self.vocab, len(data)
         stop = np.repeat(np.cumsum(size), size)
         left = stop - np.arange(n)
         lead = (data & 0xC0) != 0x80
@@ -134,13 +180,19 @@ class Lattice:
         width = np.bincount(head, minlength=n)  # bytes of the character that starts here
         single, count = np.zeros(n, bool), np.zeros(n, np.int64)
         found = []  # (source, length, piece, place among the edges of the source)
-        h, live = np.zeros(n, np.uint64), np.arange(n)
+        live = np.arange(n)
         for ell in range(1, vocab.longest + 1):
-            live = live[left[live] >= ell]
+            live = live[left[live] >= ell] if ell > 1 else live
             if not len(live):
                 break
-            h[live] = h[live] * _BASE + data[live + ell - 1] + np.uint64(1)
-            got = vocab.find(h[live])
+            if ell == 1:
+                h, got = data + np.uint64(1), vocab.one[data]
+            elif ell == 2:
+                pair = data[live].astype(np.int64) << 8 | data[live + 1]
+                h[live], got = h[live] * _BASE + (data[live + 1] + np.uint64(1)), vocab.two[pair]
+            else:
+                h[live] = now = h[live] * _BASE + (data[live + ell - 1] + np.uint64(1))
+                got = vocab.find(now)
             hit = got >= 0
             at = live[hit]
             found.append((at.astype(np.int32), ell, got[hit].astype(np.int32), count[at].astype(np.int32)))
@@ -150,38 +202,48 @@ class Lattice:
         bare = np.flatnonzero(~single[head])
         found.append((bare, 1, vocab.byte_id[data[bare]], count[bare]))
         count[bare] += 1
-        self.first = np.r_[0, np.cumsum(count)].astype(np.int32)
-        m = int(self.first[-1])
+        first = np.r_[0, np.cumsum(count)]
+        m = int(first[-1])
         src, dst, ids = np.repeat(np.arange(n, dtype=np.int32), count), np.empty(m, np.int32), np.empty(m, np.int32)
         while found:  # the longest piece first: it is the likeliest
             at, ell, piece, place = found.pop()
-            k = self.first[at + 1] - 1 - place
+            k = first[at + 1] - 1 - place
             dst[k], ids[k] = at + ell, piece
         del h, live
         score = vocab.weight[ids]
         last = dst == stop[src]
         beta = np.zeros(n + 1)
-        far = left[src].astype(np.int32)
-        del left
-        order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
-        cuts = np.r_[0, np.cumsum(np.bincount(far))]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # from the ends of the words to their fronts
-            if a == b:
+        # from the ends of the words to their fronts: nodes by their distance from the end
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(left))]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            node = order[a:b]
+            node = node[count[node] > 0]  # the others lie within a character
+            if not len(node):
                 continue
-            k = order[a:b]
-            to = src[k]
-            s = score[k] + np.where(last[k], 0.0, beta[dst[k]])
-            start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            many = count[node]
+            start = np.cumsum(many) - many
+            k = np.arange(int(start[-1] + many[-1])) + np.repeat(first[node] - start, many)
+            s = score[k] + beta[dst[k]] * ~last[k]
             top = np.maximum.reduceat(s, start)
-            base = np.where(np.isfinite(top), top, 0.0)
-            beta[to[start]] = np.log(np.add.reduceat(np.exp(s - np.repeat(base, np.diff(np.r_[start, b - a]))), start)) + base
+            beta[node] = np.log(np.add.reduceat(np.exp(s - np.repeat(top, many)), start)) + top
             score[k] = s
-        self.logp = score - beta[src]
-        run = np.cumsum(np.exp(self.logp))
-        self.upto = run - np.r_[0.0, run][self.first[src]]  # cumulative probability within the source
-        self.upto[self.first[1:] - 1] = 2.0
+        logp = score - beta[src]
+        p = np.exp(logp)
+        upto = p.copy()  # cumulative probability within the source, each source by itself
+        at, rest = first[:-1], count
+        for _ in range(1, int(count.max())):
+            more = rest > 1
+            at, rest = at[more] + 1, rest[more] - 1
+            upto[at] += upto[at - 1]
+        upto[first[1:] - 1] = 2.0
+        dst += np.int32(self.nodes)
         dst[last] = -1
-        self.src, self.dst, self.ids = src, dst, ids
+        self._append("first", self.nodes, first + self.edges)
+        for name, values in zip((e[0] for e in self.EDGES), (src + np.int32(self.nodes), dst, ids, logp, upto), strict=True):
+            self._append(name, self.edges, values)
+        self.nodes += n
+        self.edges += m
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that a uniform number picks at each node."""
@@ -214,19 +276,13 @@ def _cut_words(data: np.ndarray, off: np.ndarray, lines: bool) -> np.ndarray:
 class Search:
     """Samples of the texts of one slice; a path is an array of edges for each text."""
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, off: np.ndarray, keys: np.ndarray, samples: int, seed: int) -> None:
-        self.vocab, self.docs, self.samples = vocab, len(off) - 1, samples
+    def __init__(self, lattice: Lattice, data: np.ndarray, off: np.ndarray, keys: np.ndarray, samples: int, seed: int) -> None:
+        self.lattice, self.docs, self.samples = lattice, len(off) - 1, samples
         self.seed = tb.mix64(keys.astype(np.int64).view(np.uint64) + np.uint64((seed * _GOLD) & 0xFFFFFFFFFFFFFFFF))
-        ws = _cut_words(data, off, vocab.split_lines)
-        we = np.r_[ws[1:], len(data)]
+        ws = _cut_words(data, off, lattice.vocab.split_lines)
         self.doc = np.searchsorted(off, ws, "right") - 1
         self.word_first = np.searchsorted(self.doc, np.arange(self.docs + 1))
-        h = tb.span_hashes(data, ws, we, lower=False)
-        _, one, self.word = np.unique(h, return_index=True, return_inverse=True)
-        size = (we - ws)[one]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ws[one], size)
-        self.lattice = Lattice(vocab, data[at], size)
-        self.start = np.cumsum(size) - size
+        self.start = lattice.starts(data, ws)
 
     def complete(self, sample: int, doc: np.ndarray, place: np.ndarray, node: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Samples words to their ends; returns edges in order of (word, step), with the word's row."""
@@ -253,7 +309,7 @@ class Search:
         lat = self.lattice
         n = self.docs
         place = np.arange(len(self.doc)) - self.word_first[self.doc]
-        edges, which, steps = self.complete(0, self.doc, place, self.start[self.word], np.zeros(len(self.doc), np.int64))
+        edges, which, steps = self.complete(0, self.doc, place, self.start, np.zeros(len(self.doc), np.int64))
         bounds = np.searchsorted(self.doc[which], np.arange(n + 1))
         top = -np.log(-np.log(_uniform(self.seed ^ np.uint64(0xA5A5A5A5))))
         # open sets of each text: arrays over the steps of a path after its branch
@@ -281,9 +337,10 @@ class Search:
         lat, n = self.lattice, self.docs
         lp = lat.logp[p["edges"]]
         doc = np.repeat(np.arange(n), np.diff(p["bounds"]))
-        run = np.cumsum(lp) - lp
-        first = np.minimum(p["bounds"][:-1], max(len(lp) - 1, 0))
-        prefix = run - (run[first][doc] if len(lp) else 0) + p["base"][doc]
+        prefix = np.empty(len(lp))  # each text's sums are its own, to the last digit
+        for a, b in itertools.pairwise(p["bounds"].tolist()):
+            np.cumsum(lp[a:b], out=prefix[a:b])
+        prefix += p["base"][doc] - lp
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(-np.expm1(lp), 0))
         rest[lat.first[lat.src[p["edges"]] + 1] - lat.first[lat.src[p["edges"]]] == 1] = -np.inf
@@ -305,40 +362,40 @@ class Search:
         lat, n = self.lattice, self.docs
         live = np.flatnonzero(value > -np.inf)
         heads: dict[int, np.ndarray] = {}
-        doc_rows, place_rows, node_rows, step_rows = [], [], [], []
         base, shared, edge_of = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         word_at, step_at = np.zeros(n, np.int64), np.zeros(n, np.int64)
         u = _uniform(self.seed ^ np.uint64((j * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF))
-        again = -np.log(_uniform(self.seed ^ np.uint64((j * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF)))
-        for d in live.tolist():
-            q = int(best[d])
+        again = np.log(-np.log(_uniform(self.seed ^ np.uint64((j * 0x165667B19E3779F9) & 0xFFFFFFFFFFFFFFFF))))
+        for d, q in zip(live.tolist(), best[live].tolist(), strict=True):
             p = paths[q]
-            a, b = int(p["bounds"][d]), int(p["bounds"][d + 1])
-            t = a + int(np.argmax(p["value"][a:b]))
+            a, b = p["bounds"][d], p["bounds"][d + 1]
+            t = int(a + p["value"][a:b].argmax())
             e = int(p["edges"][t])
             s = int(lat.src[e])
+            x, z = int(lat.first[s]), int(lat.first[s + 1])
+            w = np.exp(lat.logp[x:z])
             out = taken.setdefault((q, d, t), [e])
-            rest = [x for x in range(int(lat.first[s]), int(lat.first[s + 1])) if x not in out]
-            w = np.exp(lat.logp[rest])
-            new = rest[min(int(np.searchsorted(np.cumsum(w), u[d] * w.sum())), len(rest) - 1)]
-            out.append(new)
-            with np.errstate(divide="ignore"):  # the set without what was taken
-                left = [x for x in rest if x != new]
-                p["mass"][t] = p["prefix"][t] + (np.log(np.exp(lat.logp[left]).sum()) if left else -np.inf)
-            p["value"][t] = -np.logaddexp(-value[d], np.log(again[d]) - p["mass"][t])
-            prior = found[d][q]
-            keep = int(p["shared"][d]) + t - a
-            heads[d] = np.r_[prior[0][:keep], new]
-            base[d], shared[d], edge_of[d] = p["prefix"][t] + lat.logp[new], keep + 1, new
+            w[[o - x for o in out]] = 0
+            run = w.cumsum()
+            new = int(run.searchsorted(u[d] * run[-1]))
+            if new >= z - x or w[new] == 0:
+                new = int(np.flatnonzero(w)[-1])
+            out.append(x + new)
+            w[new] = 0  # the set without what was taken
+            left = w.sum()
+            p["mass"][t] = p["prefix"][t] + np.log(left) if left > 0 else -np.inf
+            p["value"][t] = -np.logaddexp(-value[d], again[d] - p["mass"][t]) if left > 0 else -np.inf
+            heads[d] = np.concatenate((found[d][q][0][: int(p["shared"][d]) + t - a], [x + new]))
+            base[d], shared[d], edge_of[d] = p["prefix"][t] + lat.logp[x + new], len(heads[d]), x + new
             word_at[d], step_at[d] = p["word"][t], p["step"][t]
         for p in paths:
             self._best(p)
         # the rest of the branching word, then all later words of the text
         inner = live[lat.dst[edge_of[live]] >= 0]
-        later = [np.arange(word_at[d] + 1, self.word_first[d + 1]) for d in live.tolist()]
-        after = np.concatenate(later) if later else np.empty(0, np.int64)
+        rest = self.word_first[live + 1] - word_at[live] - 1
+        after = np.arange(int(rest.sum())) + np.repeat(word_at[live] + 1 - np.cumsum(rest) + rest, rest)
         doc_rows, word_rows = np.r_[inner, self.doc[after]], np.r_[word_at[inner], after]
-        node_rows, step_rows = np.r_[lat.dst[edge_of[inner]], self.start[self.word[after]]], np.r_[step_at[inner] + 1, np.zeros(len(after), np.int64)]
+        node_rows, step_rows = np.r_[lat.dst[edge_of[inner]], self.start[after]], np.r_[step_at[inner] + 1, np.zeros(len(after), np.int64)]
         order = np.lexsort((word_rows, doc_rows))
         doc_rows, word_rows, node_rows, step_rows = doc_rows[order], word_rows[order], node_rows[order], step_rows[order]
         edges, which, steps = self.complete(j, doc_rows, word_rows - self.word_first[doc_rows], node_rows, step_rows)
@@ -347,7 +404,7 @@ class Search:
         self._value(path, j)
         paths.append(path)
         for d in live.tolist():
-            whole = np.r_[heads[d], edges[bounds[d] : bounds[d + 1]]]
+            whole = np.concatenate((heads[d], edges[bounds[d] : bounds[d + 1]]))
             found[d].append((whole, float(lat.logp[whole].sum()), float(value[d])))
 
 
@@ -359,24 +416,25 @@ def _framed(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(b), 0), b, pc.binary_join_element_wise(pa.scalar(b"", pa.large_binary()), b, pa.scalar(b" ", pa.large_binary())))
 
 
-def sampled(keys: np.ndarray, col: pa.Array, samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED):
+def sampled(keys: np.ndarray, col: pa.Array, samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, lattice: Lattice | None = None):
     """(first row, samples of each row) of one slice of texts after another.
 
     A sample is (ids, log-probability, value, inclusion), best value first.
+    ``lattice`` may be handed from one column to the next of the same model.
     """
-    vocab = vocabulary(model, alpha)
+    lattice = lattice or Lattice(vocabulary(model, alpha), WORD_BYTES)
     for data, off, rows in tb.slices(_framed(col), SLICE_BYTES, whole=True):
         if not len(data):
             yield int(rows[0]), [[(np.empty(0, np.int32), 0.0, 0.0, 1.0)] for _ in rows]
             continue
-        search = Search(vocab, data, off, keys[rows], samples, seed)
+        search = Search(lattice, data, off, keys[rows], samples, seed)
         out = []
         for found, kappa in zip(search.run(), search.kappa.tolist(), strict=True):
-            out.append([(search.lattice.ids[e].astype(np.int32), lp, v, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for e, lp, v in found])
+            out.append([(lattice.ids[e], lp, v, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(lp - kappa, 50.0))))) for e, lp, v in found])
         del search
         yield int(rows[0]), out
         del out
-        tb.release()
+    tb.release()
 
 
 def sample_segmentations(keys: np.ndarray, col: pa.Array, **options) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -396,7 +454,10 @@ def _column(part: list[list[tuple]], vocab: Vocabulary) -> pa.Array:
     flat = [s for row in part for s in row]
     n = [len(s[0]) for s in flat]
     ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate([s[0] for s in flat]) if flat else np.empty(0, np.int32)))
-    crc = [zlib.crc32(vocab.decode(s[0])[1:]) for s in flat]
+    every = ids.values.to_numpy()
+    size = np.r_[0, np.cumsum(vocab.size[every])][np.r_[0, np.cumsum(n)]].tolist() if flat else [0]
+    text = memoryview(vocab.decode(every))
+    crc = [zlib.crc32(text[min(a + 1, b) : b]) for a, b in itertools.pairwise(size)]
     items = pa.StructArray.from_arrays([ids, *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)), pa.array(crc, pa.int64())], ["ids", "logp", "value", "inclusion", "decoded_crc32"])
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in part])].astype(np.int32)), items)
 
@@ -407,9 +468,10 @@ def with_segmentations(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     key, value = docs.columns.index(id_col), docs.columns.index(text)
 
     def run(batches):
+        lattice = Lattice(vocabulary(model, alpha), WORD_BYTES)
         for batch in batches:
             k = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            for first, part in sampled(k, batch.column(value), samples, model, alpha, seed):
+            for first, part in sampled(k, batch.column(value), samples, model, alpha, seed, lattice):
                 rows = batch.slice(first, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, _column(part, vocabulary(model, alpha))], [*rows.schema.names, out])
 

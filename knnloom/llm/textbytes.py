@@ -139,6 +139,23 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix64(np.add.reduceat(term, first) + size.astype(np.uint64))
 
 
+def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, same) of the spans that ``data`` is cut into at ``cuts``: a span of each content, and each span's.
+
+    Found by hash, then compared by their bytes; contents of equal hash are told apart.
+    """
+    size = np.diff(np.r_[cuts, len(data)])
+    place = np.arange(len(data)) - np.repeat(cuts, size)
+    h = np.add.reduceat(_BYTE_HASH[data] * _POW[place & 4095], cuts) + size.astype(np.uint64) if len(cuts) else np.empty(0, np.uint64)
+    _, one, same = np.unique(h, return_index=True, return_inverse=True)
+    like = one[same]
+    if (size[like] == size).all() and (data[np.repeat(cuts[like], size) + place] == data).all():
+        return one, same
+    text, ends, seen = data.tobytes(), cuts + size, {}
+    same = np.array([seen.setdefault(text[a:b], len(seen)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)])
+    return np.unique(same, return_index=True)[1], same
+
+
 def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     """For each n the hash of the n bytes that end at each byte (short at the front)."""
     out, h = {}, np.zeros(len(data), np.uint64)
