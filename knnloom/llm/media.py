@@ -1,8 +1,8 @@
 """Media columns by signature sniffing.
 
-One Aho-Corasick automaton finds the magic bytes of all known formats in one
-walk over a value; a validator of each format then checks structure and lengths
-from there.  What is confirmed at the start is the value's real type, which
+One Aho-Corasick automaton finds the magic bytes of all known formats, and their
+end marks, in one walk over a value; a validator of each format then checks
+structure and lengths from there, in the value itself.  What is confirmed at the start is the value's real type, which
 corrects a declared one; what is confirmed further on is embedded and can be
 carved out.  Magic bytes without a valid structure count for nothing.
 
@@ -11,7 +11,7 @@ samples.  Its validator gives back the extent of the samples.
 
 Defined cases.  A null or empty value has type ``unknown`` and no objects.
 Truncated objects aren't confirmed.  Objects inside a confirmed object are
-listed as well.  Very long values are walked whole.  Equal values give equal
+listed as well, those that seem to lie within gzip data excepted.  Very long values are walked whole.  Equal values give equal
 results.  Other columns are neither read nor changed; input columns with the
 outputs' names are replaced.
 """
@@ -19,10 +19,13 @@ outputs' names are replaced.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -42,25 +45,60 @@ class Found:
     length: int
 
 
-def _riff(b: memoryview, at: int, form: bytes, need: tuple[bytes, ...]) -> int | None:
-    if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) != form:
+class Value:
+    """The bytes of a value and where its magic bytes and end marks are, found in one walk."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.view = raw, memoryview(raw)
+        self.at: dict[bytes, list[int]] = {}
+        for end, magic in automaton().iter(raw.decode("latin-1")):
+            self.at.setdefault(magic, []).append(end + 1 - len(magic))
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start and end of each ZIP archive whose end record fits the directory before it."""
+        out, b = {}, self.raw
+        for end in self.at.get(ZIP_END, []):
+            if end + 22 > len(b):
+                continue
+            n, start, note = struct.unpack_from("<4xIIH", b, end + 8)
+            at = end - n - start
+            if at >= 0 and n and b[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+                out[at] = end + 22 + note
+        return out
+
+    @cached_property
+    def documents(self) -> dict[int, int]:
+        """Start and end of each PDF: its last end mark that a cross-reference goes before."""
+        out, heads = {}, self.at.get(PDF, [])
+        starts = self.at.get(PDF_REFERENCE, [])
+        for end in self.at.get(PDF_END, []):
+            head, ref = bisect(heads, end) - 1, bisect(starts, end) - 1
+            if head >= 0 and ref >= 0 and starts[ref] > heads[head] and self.raw[starts[ref] + len(PDF_REFERENCE) : end].strip().isdigit():
+                out[heads[head]] = end + len(PDF_END)
+        return out
+
+
+def _riff(v: Value, at: int, form: bytes, need: tuple[bytes, ...]) -> int | None:
+    b = v.raw
+    if at + 12 > len(b) or b[at + 8 : at + 12] != form:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return None
     seen, k = set(), at + 12
     while k + 8 <= end:
-        seen.add(bytes(b[k : k + 4]))
+        seen.add(b[k : k + 4])
         n = struct.unpack_from("<I", b, k + 4)[0]
         k += 8 + n + (n & 1)
     return end - at if k in (end, end + 1) and (not need or seen & set(need)) else None
 
 
-def _png(b: memoryview, at: int) -> int | None:
-    k, first = at + 8, True
+def _png(v: Value, at: int) -> int | None:
+    b, k, first = v.raw, at + 8, True
     while k + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, k)
-        if k + 12 + n > len(b) or (first and kind != b"IHDR") or zlib.crc32(b[k + 4 : k + 8 + n]) != struct.unpack_from(">I", b, k + 8 + n)[0]:
+        if k + 12 + n > len(b) or (first and kind != b"IHDR") or zlib.crc32(v.view[k + 4 : k + 8 + n]) != struct.unpack_from(">I", b, k + 8 + n)[0]:
             return None
         k, first = k + 12 + n, False
         if kind == b"IEND":
@@ -68,7 +106,9 @@ def _png(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> int | None:
+def _gif(v: Value, at: int) -> int | None:
+    b = v.raw
+
     def blocks(k: int) -> int:
         while k < len(b) and b[k]:
             k += 1 + b[k]
@@ -91,75 +131,81 @@ def _gif(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> int | None:
-    k = at + 2
+def _jpeg(v: Value, at: int) -> int | None:
+    b, k = v.raw, at + 2
     while k + 4 <= len(b) and b[k] == 255:
         kind = b[k + 1]
-        if kind in (0xD8, 0xD9, 0, 255):
+        if kind == 255:  # a fill byte
+            k += 1
+            continue
+        if kind in (0xD8, 0xD9, 0):
             return None
         k += 2 + struct.unpack_from(">H", b, k + 2)[0]
         if kind == 0xDA:  # entropy-coded data up to a marker that isn't stuffing or a restart
-            raw = bytes(b[k:])
-            j = raw.find(b"\xff")
-            while j >= 0 and j + 1 < len(raw) and (raw[j + 1] == 0 or 0xD0 <= raw[j + 1] <= 0xD7):
-                j = raw.find(b"\xff", j + 2)
-            if j < 0 or j + 1 >= len(raw):
+            k = b.find(b"\xff", k)
+            while k >= 0 and k + 1 < len(b) and (b[k + 1] in (0, 255) or 0xD0 <= b[k + 1] <= 0xD7):
+                k = b.find(b"\xff", k + (1 if b[k + 1] == 255 else 2))
+            if k < 0 or k + 1 >= len(b):
                 return None
-            k += j
             if b[k + 1] == 0xD9:
                 return k + 2 - at
     return None
 
 
-def _bmp(b: memoryview, at: int) -> int | None:
+def _bmp(v: Value, at: int) -> int | None:
+    b = v.raw
     if at + 26 > len(b):
         return None
     size, _, start, head = struct.unpack_from("<IIII", b, at + 2)
     return size if head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= size and at + size <= len(b) else None
 
 
-def _gzip(b: memoryview, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+def _gzip(v: Value, at: int) -> int | None:
+    d, k = zlib.decompressobj(31), at
     try:
-        d.decompress(b[at:])
+        while not d.eof and (k < len(v.raw) or d.unconsumed_tail):
+            part = d.unconsumed_tail or v.view[k : k + CHUNK]
+            k += 0 if d.unconsumed_tail else len(part)
+            d.decompress(part, 16 * CHUNK)
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    return k - len(d.unused_data) - len(d.unconsumed_tail) - at if d.eof else None
 
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    end = bytes(b[at:]).find(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in bytes(b[at : at + end]) else None
+def _pdf(v: Value, at: int) -> int | None:
+    return v.documents[at] - at if at in v.documents else None
 
 
-def _zip(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
-        return None
-    n, start, note = struct.unpack_from("<4xIIH", raw, end + 8)
-    return end + 22 + note if start + n == end and raw[start : start + 4] == b"PK\x01\x02" and end + 22 + note <= len(raw) else None
+def _zip(v: Value, at: int) -> int | None:
+    return v.archives[at] - at if at in v.archives else None
+
+
+#: Fixed value: magic, width, height and largest sample, with white space and comments between them.
+_NETPBM = re.compile(rb"P([56])" + rb"(?:\s|#[^\n]*+\n)++(\d++)" * 3 + rb"\s")
 
 
-def _netpbm(b: memoryview, at: int) -> int | None:
-    head = bytes(b[at : at + 64]).split(None, 4)
-    if len(head) < 4 or not all(x.isdigit() for x in head[1:4]) or not 0 < int(head[3]) < 256:
+def _netpbm(v: Value, at: int) -> int | None:
+    m = _NETPBM.match(v.raw, at)
+    if not m or any(len(x) > 9 for x in m.groups()):
         return None
-    start = bytes(b[at : at + 64]).find(head[3], 3 + len(head[1]) + len(head[2])) + len(head[3]) + 1
-    end = start + int(head[1]) * int(head[2]) * (3 if head[0] == b"P6" else 1)
-    return end if at + end <= len(b) and end > start else None
+    wide, high, most = (int(x) for x in m.groups()[1:])
+    end = m.end() + wide * high * (3 if m[1] == b"6" else 1) * (2 if most > 255 else 1)
+    return end - at if 0 < most < 65536 and m.end() < end <= len(v.raw) else None
 
 
+#: Bytes of a stream that are decompressed at a time.
+CHUNK = 1 << 16
+PDF, PDF_REFERENCE, PDF_END, ZIP_END = b"%PDF-", b"startxref", b"%%EOF", b"PK\x05\x06"
 #: The magic bytes of each format.
-MAGIC: dict[bytes, list[tuple[str, Callable[[memoryview, int], int | None]]]] = {
-    b"RIFF": [("wav", lambda b, at: _riff(b, at, b"WAVE", (b"data",))), ("webp", lambda b, at: _riff(b, at, b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"))), ("avi", lambda b, at: _riff(b, at, b"AVI ", ()))],
+MAGIC: dict[bytes, list[tuple[str, Callable[[Value, int], int | None]]]] = {
+    b"RIFF": [("wav", lambda v, at: _riff(v, at, b"WAVE", (b"data",))), ("webp", lambda v, at: _riff(v, at, b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"))), ("avi", lambda v, at: _riff(v, at, b"AVI ", ()))],
     b"\x89PNG\r\n\x1a\n": [("png", _png)],
     b"GIF87a": [("gif", _gif)],
     b"GIF89a": [("gif", _gif)],
     b"\xff\xd8\xff": [("jpeg", _jpeg)],
     b"BM": [("bmp", _bmp)],
     b"\x1f\x8b\x08": [("gzip", _gzip)],
-    b"%PDF-": [("pdf", _pdf)],
+    PDF: [("pdf", _pdf)],
     b"PK\x03\x04": [("zip", _zip)],
     b"P5\n": [("pgm", _netpbm)],
     b"P6\n": [("ppm", _netpbm)],
@@ -168,11 +214,11 @@ _automaton = None
 
 
 def automaton():
-    """The automaton of all magic bytes, built once in a process."""
+    """The automaton of all magic bytes and end marks, built once in a process."""
     global _automaton
     if _automaton is None:
         made = ahocorasick.Automaton()
-        for magic in MAGIC:
+        for magic in (*MAGIC, PDF_REFERENCE, PDF_END, ZIP_END):
             made.add_word(magic.decode("latin-1"), magic)
         made.make_automaton()
         _automaton = made
@@ -180,16 +226,16 @@ def automaton():
 
 
 def sniff(value: bytes | None) -> list[Found]:
-    """All confirmed objects of a value, by offset."""
+    """All confirmed objects of a value, by offset; what looks like one inside compressed data isn't."""
     if not value:
         return []
-    out, view = [], memoryview(value)
-    for end, magic in automaton().iter(value.decode("latin-1")):
-        at = end + 1 - len(magic)
-        for kind, check in MAGIC[magic]:
-            if (n := check(view, at)) is not None:
-                out.append(Found(kind, at, n))
-    return sorted(out, key=lambda x: (x.offset, x.kind))
+    found, v, packed = [], Value(value), 0
+    for at, magic in sorted((at, magic) for magic, places in v.at.items() if magic in MAGIC for at in places):
+        for kind, check in MAGIC[magic] if at >= packed else ():
+            if (n := check(v, at)) is not None:
+                found.append(Found(kind, at, n))
+                packed = at + n if kind == "gzip" else packed
+    return sorted(found, key=lambda x: (x.offset, x.kind))
 
 
 def with_media(table: DataFrame, content: str, declared: str | None = None) -> DataFrame:
