@@ -82,7 +82,9 @@ def document_stats(col: pa.Array) -> np.ndarray:
         lp = np.searchsorted(off, ls, "right") - 1
         lines, _ = _repeats(tb.span_hashes(data, ls, le), lp, m)
         n_lines = np.bincount(lp, minlength=m)
-        change = np.flatnonzero(np.r_[True, data[1:] != data[:-1]])
+        turn = np.r_[True, data[1:] != data[:-1]]
+        turn[off[:-1][off[:-1] < len(data)]] = True  # a run ends with its text
+        change = np.flatnonzero(turn)
         same = np.diff(np.r_[change, len(data)])
         np.maximum.at(run, rows[np.searchsorted(off, change, "right") - 1], same)
         w = lambda v: tb.segment_sum(np.asarray(v, np.float64), wb)
