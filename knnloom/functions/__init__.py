@@ -1,5 +1,5 @@
 """Column expressions."""
 
-from .geometry import dist_sq, finite_points, gap_sq, optimal_stripes
+from .geometry import dist_sq, finite_points, optimal_stripes
 
-__all__ = ["dist_sq", "finite_points", "gap_sq", "optimal_stripes"]
+__all__ = ["dist_sq", "finite_points", "optimal_stripes"]

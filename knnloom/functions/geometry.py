@@ -14,12 +14,6 @@ def dist_sq(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return dx * dx + dy * dy
 
 
-def gap_sq(value: Column, low: Column, high: Column) -> Column:
-    """Squared distance from a coordinate to an interval; 0 inside."""
-    gap = F.greatest(low - value, value - high, F.lit(0.0))
-    return gap * gap
-
-
 def finite_points(df: DataFrame) -> DataFrame:
     """(id, x, y) without rows whose coordinates are null, NaN or infinite."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))

@@ -1,11 +1,11 @@
 """Operators over points and over results of the join."""
 
-from .datasets import convert, generate_uniform, multiply, target_count
+from .datasets import FACTORS, convert, generate_uniform, multiply, target_count
 from .join import aknn_join, with_padding
 from .results import difference_ids, first_differences, merge, nested, positions, result_lines, top_k
 from .statistics import candidate_counts, candidate_stats, dataset_counts, heap_additions, run_metrics
 
 __all__ = [
-    "aknn_join", "candidate_counts", "candidate_stats", "convert", "dataset_counts", "difference_ids", "first_differences", "generate_uniform", "heap_additions", "merge",
+    "FACTORS", "aknn_join", "candidate_counts", "candidate_stats", "convert", "dataset_counts", "difference_ids", "first_differences", "generate_uniform", "heap_additions", "merge",
     "multiply", "nested", "positions", "result_lines", "run_metrics", "target_count", "top_k", "with_padding",
 ]

@@ -9,8 +9,9 @@ FACTORS = (-2, -1, 1, 2, 4)
 
 
 def generate_uniform(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """n points with ids 1 to n and x, y uniform in [0, 1)."""
-    return spark.range(1, n + 1).select("id", F.rand(seed).alias("x"), F.rand(seed + 1).alias("y"))
+    """n points with ids 1 to n and x, y uniform in [0, 1): 52 bits of a hash of seed, axis and id, so n and seed say all."""
+    draw = lambda axis: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|{axis}|"), F.col("id").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return spark.range(1, n + 1).select("id", draw("x").alias("x"), draw("y").alias("y"))
 
 
 def with_place(points: DataFrame, *order: str) -> DataFrame:

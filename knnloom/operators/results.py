@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def top_k(candidates: DataFrame, k: int) -> DataFrame:
@@ -35,9 +37,24 @@ def nested(result: DataFrame) -> DataFrame:
     return lists.select("input_id", F.transform("neighbors", lambda n: F.struct(n["neighbor_id"].alias("neighbor_id"), n["dist_sq"].alias("dist_sq"))).alias("neighbors"))
 
 
-def result_lines(result: DataFrame) -> DataFrame:
-    """(input_id, line): ``id<TAB>(neighbor distance)...``, farthest first, NULL for empty slots."""
-    one = F.when(F.col("n.neighbor_id").isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("("), F.col("n.neighbor_id").cast("string"), F.lit(" "), F.col("n.dist_sq").cast("string"), F.lit(")")))
+#: Fixed value: what an empty slot's distance is written as, the largest double.
+EMPTY_SLOT = 1.7976931348623157e308
+
+
+@F.arrow_udf(StringType())
+def short_number(value: pa.Array) -> pa.Array:
+    """A number of six significant digits, as C writes it; Java's rounding of ties differs, so not by its formatter."""
+    return pa.array([None if v is None else f"{v:g}" for v in value.to_pylist()], pa.string())
+
+
+def result_lines(result: DataFrame, full: bool = False) -> DataFrame:
+    """(input_id, line): ``id<TAB>(neighbor distance)...``, farthest first; empty slots are NULL, at the largest distance.
+
+    Distances have six significant digits, or all if ``full``.
+    """
+    far = F.coalesce("n.dist_sq", F.lit(EMPTY_SLOT))
+    number = far.cast("string") if full else short_number(far)
+    one = F.concat(F.lit("("), F.coalesce(F.col("n.neighbor_id").cast("string"), F.lit("NULL")), F.lit(" "), number, F.lit(")"))
     parts = result.select("input_id", "rnk", F.struct("neighbor_id", "dist_sq").alias("n")).select("input_id", F.struct((-F.col("rnk")).alias("o"), one.alias("s")).alias("p"))
     lists = parts.groupBy("input_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     return lists.select("input_id", F.concat_ws("\t", F.col("input_id").cast("string"), F.transform("ps", lambda p: p["s"])).alias("line"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import time
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +30,34 @@ def pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 def heap_additions(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(input_id, additions): how often a bounded heap of k, fed in order of id, takes a candidate.
 
-    A candidate is taken if fewer than k earlier ones are at most as far.
+    A candidate is taken if fewer than k earlier ones are at most as far.  Each
+    input point's candidates stream by in order of id, past a heap of k.
     """
-    d = pairs(queries, candidates)
-    earlier = d.select("input_id", F.col("neighbor_id").alias("other"), F.col("dist_sq").alias("other_sq"))
-    joined = d.join(earlier, "input_id").where((F.col("other") < F.col("neighbor_id")) & (F.col("other_sq") <= F.col("dist_sq")))
-    blocked = joined.groupBy("input_id", "neighbor_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).groupBy("input_id").agg(F.count("*").alias("blocked"))
-    total = d.groupBy("input_id").agg(F.count("*").alias("n"))
-    return total.join(blocked, "input_id", "left").select("input_id", (F.col("n") - F.coalesce("blocked", F.lit(0))).cast("bigint").alias("additions"))
+
+    def count(batches):
+        point, heap, taken = None, [], 0
+        for batch in batches:
+            ids, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                if ids[a] != point:
+                    if point is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([point]), pa.array([taken])], ["input_id", "additions"])
+                    point, heap, taken = int(ids[a]), [], 0
+                for lo in range(a, b, 4096):
+                    part = far[lo : min(lo + 4096, b)]
+                    for d in (part[part < -heap[0]] if len(heap) == k else part).tolist():  # the others are too far already
+                        if len(heap) < k:
+                            heapq.heappush(heap, -d)
+                            taken += 1
+                        elif d < -heap[0]:
+                            heapq.heapreplace(heap, -d)
+                            taken += 1
+        if point is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([point]), pa.array([taken])], ["input_id", "additions"])
+
+    rows = pairs(queries, candidates).repartition("input_id").sortWithinPartitions("input_id", "neighbor_id")
+    return rows.select("input_id", "dist_sq").mapInArrow(count, "input_id bigint, additions bigint")
 
 
 def candidate_stats(candidates: DataFrame, column: str = "n") -> DataFrame:
@@ -49,31 +73,42 @@ def candidate_counts(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("input_id")).join(counts, "input_id", "left").select("input_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-#: Columns of the metrics of a run; what Spark does itself (sorting, windows, spilling) has no figure.
+#: Columns of the metrics of a run.  Spark sorts, spills and merges inside its stages, so sorting, windows, commits and
+#: the final sort have no figure of their own: these columns are null.
 METRICS = (
     "strategy string, total_seconds double, sorting_seconds double, candidates_total bigint, candidates_least bigint, candidates_most bigint, candidates_mean double, stripes bigint, "
     "allocation_error boolean, pending_points bigint, first_pass_windows bigint, second_pass_windows bigint, commit_seconds double, final_sort_seconds double, differences bigint, first_ids string"
 )
 
 
-def run_metrics(names: list[str], queries: DataFrame, candidates: DataFrame, k: int, accuracy: float = 1e-15, compare: bool = True, count: bool = True, **options: object) -> DataFrame:
+def run_metrics(
+    names: list[str], queries: DataFrame, candidates: DataFrame, k: int, accuracy: float = 1e-15, compare: bool = True, count: bool = True, pad: bool = False, save: Callable[[str, DataFrame, float], None] | None = None, **options: object,
+) -> DataFrame:
     """Runs several strategies and compares each with the first; one row of METRICS a strategy.
 
     ``compare`` and ``count`` switch the comparison and the candidate counts,
-    which run the plans once more.
+    which run the plans once more; strategies of one's own have no such counts.
+    ``save`` gets each strategy's name, result and seconds.
     """
-    from ..functions import optimal_stripes
-    from ..plans import candidate_rows, strategy
+    from ..functions import finite_points, optimal_stripes
+    from ..plans import candidate_rows
+    from .join import aknn_join
     from .results import difference_ids
 
+    if k < 1:
+        raise ValueError("k must be at least 1")
     spark, first, rows = queries.sparkSession, None, []
     stripes = options.get("stripes") or optimal_stripes(candidates.count(), k)
     for name in names:
         began = time.perf_counter()
-        got = strategy(name)(queries, candidates, k, **options).persist()
+        got = aknn_join(queries, candidates, k, name, pad, **options).persist()
         got.count()
         seconds = time.perf_counter() - began
-        stats = candidate_stats(candidate_counts(candidate_rows(name, queries, candidates, k, **options), queries)).first() if count else (None,) * 4
+        if save:
+            save(name, got, seconds)
+        points = finite_points(queries)
+        ranked = candidate_rows(name, points, finite_points(candidates), k, **options) if count else None
+        stats = candidate_stats(candidate_counts(ranked, points)).first() if ranked is not None else (None,) * 4
         different, ids = None, None
         if compare:
             first = first or got

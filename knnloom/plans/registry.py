@@ -31,10 +31,13 @@ FAMILIES: dict[str, Strategy] = {
     "grid": partial(tiles, axis="y", by_block=True),
 }
 
-def candidate_rows(name: str, queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame:
-    """(input_id, neighbor_id, dist_sq): what a built-in strategy ranks."""
+
+def candidate_rows(name: str, queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame | None:
+    """(input_id, neighbor_id, dist_sq): what a built-in strategy ranks; None for others."""
     plan = strategy(name)
-    return pairs(queries, candidates) if plan is brute else reached(queries, candidates, k, **plan.keywords, **options)
+    if plan is brute:
+        return pairs(queries, candidates)
+    return reached(queries, candidates, k, **plan.keywords, **options) if isinstance(plan, partial) and plan.func is tiles else None
 
 
 #: By place of the 30-digit mask: nested loop serial and on two thread runtimes,

@@ -12,6 +12,7 @@ from . import operators as ops
 from .functions import optimal_stripes
 from .plans import candidate_rows
 from .plans.tiles import stripe_stats
+from .sources import THIN_DIGITS, load_points, read_points, scratch, write_metrics, write_neighbours, write_points, write_stripes
 
 #: Point sets of the test tables: (Spark SQL, DuckDB SQL, table).
 _POINTS = {
@@ -24,18 +25,19 @@ _POINTS = {
     "cust": ("SELECT c_custkey + 1 AS id, (c_acctbal + 1000e0) / 11000e0 AS x, CAST(c_nationkey AS DOUBLE) / 25e0 AS y FROM customer",) * 2 + ("customer",),
     "supp": ("SELECT s_suppkey + 1 AS id, (s_acctbal + 1000e0) / 11000e0 AS x, CAST(s_nationkey AS DOUBLE) / 25e0 AS y FROM supplier",) * 2 + ("supplier",),
     "part": ("SELECT p_partkey + 1 AS id, (p_retailprice - 900e0) / 100e0 AS x, CAST(p_size AS DOUBLE) / 50e0 AS y FROM part",) * 2 + ("part",),
+    "region": ("SELECT r_regionkey + 1 AS id, r_regionkey / 5e0 AS x, length(r_name) / 10e0 AS y FROM region",) * 2 + ("region",),
     "raw_cust": ("SELECT c_custkey + 1 AS id, CAST(c_acctbal AS DOUBLE) AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer",) * 2 + ("customer",),
     "raw_supp": ("SELECT s_suppkey + 1 AS id, CAST(s_acctbal AS DOUBLE) AS x, CAST(s_suppkey AS DOUBLE) AS y FROM supplier",) * 2 + ("supplier",),
 }
 #: Query and candidate sets: (points, filter) each.
 _SETS = {
-    "emb": (("emb", "id % 2 = 0"), ("emb", "id % 2 = 1")),
+    "emb": (("emb", "true"), ("emb", "true")),
     "events": (("ev", "event_type = 'purchase'"), ("ev", "event_type = 'view'")),
     "supp_cust": (("supp", "true"), ("cust", "true")),
     "cust_supp": (("cust", "true"), ("supp", "true")),
     "part_self": (("part", "true"), ("part", "true")),
     "unnormalised": (("raw_supp", "true"), ("raw_cust", "true")),
-    "few": (("supp", "true"), ("supp", "id <= 7")),
+    "few": (("supp", "true"), ("region", "true")),
 }
 
 
@@ -97,7 +99,9 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("aknn_nested_lists", _flat, _knn_sql("supp_cust", 10))
-_add("aknn_result_lines", lambda spark, d: ops.result_lines(_join("supp_cust", 10, "grid", spark, d)), None)
+_LINES = "SELECT input_id, CAST(input_id AS VARCHAR) || chr(9) || string_agg('(' || coalesce(CAST(neighbor_id AS VARCHAR), 'NULL') || ' ' || printf('%g', coalesce(dist_sq, 1.7976931348623157e308)) || ')', chr(9) ORDER BY rnk DESC) AS line FROM {0} GROUP BY input_id"
+_add("aknn_result_lines", lambda spark, d: ops.result_lines(_join("supp_cust", 10, "grid", spark, d)), _knn_sql("supp_cust", 10, tail=_LINES.format("knn")))
+_add("aknn_result_lines_padded", lambda spark, d: ops.result_lines(_join("few", 10, "grid", spark, d, pad=True)), f"WITH padded AS ({_PAD_SQL}) {_LINES.format('padded')}")
 _add("aknn_position_farthest_first", lambda spark, d: ops.positions(_join("supp_cust", 10, "grid", spark, d), 10), _knn_sql("supp_cust", 10, tail="SELECT input_id, 10 - rnk AS position, neighbor_id, dist_sq FROM knn"))
 _add("final_sorted_output", lambda spark, d: _join("events", 10, "grid", spark, d).orderBy("input_id", "rnk"), _knn_sql("events", 10))
 
@@ -163,4 +167,69 @@ for _name, _factor, _sql in [
     ("convert_1", 1, f"{_RANKED} SELECT id, x, y FROM p"),
 ]:
     _add(_name, lambda spark, d, factor=_factor: ops.multiply(points(spark, d, "part"), factor), _sql)
-_add("generate_uniform", lambda spark, d: ops.generate_uniform(spark, points(spark, d, "part").count()), None)
+_DRAW = "CAST('0x' || substr(md5('1|{0}|' || CAST(id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496e0 AS {0}"
+_add("generate_uniform", lambda spark, d: ops.generate_uniform(spark, points(spark, d, "part").count()), f"SELECT id, {_DRAW.format('x')}, {_DRAW.format('y')} FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) + 1)) AS id)")
+
+
+def _read_back(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
+    path = scratch(spark, suffix)
+    write_points(points(spark, sf_dir, "part"), path)
+    return read_points(spark, path)
+
+
+_TEXT = "CAST(printf('%.8f', x) AS DOUBLE) AS x, CAST(printf('%.8f', y) AS DOUBLE) AS y"
+for _suffix in ("txt", "bin", "parquet"):
+    _add(f"points_{_suffix}_read_back", partial(_read_back, suffix=f".{_suffix}"), f"SELECT id, {_TEXT if _suffix == 'txt' else 'x, y'} FROM ({_POINTS['part'][1]})")
+
+
+def _thinned_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, ".txt")
+    write_points(ops.multiply(points(spark, sf_dir, "part"), -1), path, digits=THIN_DIGITS)
+    return read_points(spark, path)
+
+
+_add("points_thinned_read_back", _thinned_file, f"{_RANKED} SELECT CAST(place // 2 + 1 AS BIGINT) AS id, CAST(printf('%.10f', x) AS DOUBLE) AS x, CAST(printf('%.10f', y) AS DOUBLE) AS y FROM p WHERE place % 2 = 1")
+
+
+def _neighbour_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    write_neighbours(_join("cust_supp", 10, "stripes", spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+_add("neighbour_file_read_back", _neighbour_file, f"SELECT line FROM ({_knn_sql('cust_supp', 10, tail=_LINES.format('knn'))})")
+
+
+def _stripe_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    write_stripes(stripe_stats(*sets(spark, sf_dir, "events"), 10), path)
+    return spark.read.csv(path, sep=";", header=True, schema="StripeId bigint, MinY double, MaxY double, InputPoints bigint, TrainingPoints bigint")
+
+
+_add("stripe_file_read_back", _stripe_file, f"SELECT stripe AS StripeId, min_y AS MinY, max_y AS MaxY, n_input AS InputPoints, n_training AS TrainingPoints FROM ({ORACLE_SQL['stripe_stats_training']})")
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [scratch(spark, s) for s in (".txt", ".bin")]
+    for df, path in zip(sets(spark, sf_dir, "cust_supp"), paths, strict=True):
+        write_points(df, path)
+    return ops.dataset_counts(*load_points(spark, *paths)[:2])
+
+
+_add("loaded_counts", _loaded, f"{_with('cust_supp')} SELECT (SELECT count(*) FROM q) AS n_input, (SELECT count(*) FROM t) AS n_training")
+
+
+def _metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the metrics file is the same in each run."""
+    path = scratch(spark)
+    write_metrics(ops.run_metrics(["brute", "stripes_training", "grid"], *sets(spark, sf_dir, "supp_cust"), 10), path)
+    rows = spark.read.csv(path, sep=";", header=True)
+    brute = F.when(F.col("Algorithm") == "brute", F.col("Total Heap Additions").cast("bigint"))
+    return rows.select(F.col("Algorithm").alias("algorithm"), F.col("NumberOfStripes").cast("bigint").alias("stripes"), brute.alias("candidates"), F.col("Differences").cast("bigint").alias("differences"))
+
+
+_add(
+    "metrics_file_read_back", _metrics_file,
+    f"""{_with("supp_cust")}, n AS (SELECT (SELECT count(*) FROM q) AS q, (SELECT count(*) FROM t) AS t) SELECT algorithm, CASE WHEN algorithm <> 'brute' THEN CAST(greatest(1, floor(sqrt(t) / sqrt(10e0) + 0.5)) AS BIGINT) END AS stripes,
+CASE WHEN algorithm = 'brute' THEN q * t END AS candidates, CAST(0 AS BIGINT) AS differences FROM n, (VALUES ('brute'), ('stripes_training'), ('grid')) a(algorithm)""",
+)

@@ -1,6 +1,7 @@
 """Readers and writers of points, and writers of results."""
 
-from .points import load_points, read_points, write_points
-from .results import write_metrics, write_neighbours, write_stripes
+from .points import DIGITS, THIN_DIGITS, load_points, read_points, write_points
+from .results import result_name, write_metrics, write_neighbours, write_stripes
+from .scratch import scratch
 
-__all__ = ["load_points", "read_points", "write_metrics", "write_neighbours", "write_points", "write_stripes"]
+__all__ = ["DIGITS", "THIN_DIGITS", "load_points", "read_points", "result_name", "scratch", "write_metrics", "write_neighbours", "write_points", "write_stripes"]

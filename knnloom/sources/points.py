@@ -69,6 +69,8 @@ class BinaryPointsReader(DataSourceReader):
             while left:
                 rows = np.frombuffer(f.read(min(left, 65_536) * RECORD.itemsize), RECORD)
                 left -= len(rows)
+                if (rows["id"] >> np.uint64(63)).any():
+                    raise ValueError(f"{split.path}: an id of 2^63 or more")
                 yield pa.RecordBatch.from_arrays([pa.array(rows["id"].astype(np.int64)), pa.array(rows["x"].copy()), pa.array(rows["y"].copy())], ["id", "x", "y"])
 
 
@@ -97,11 +99,24 @@ def load_points(spark: SparkSession, queries: str, candidates: str) -> tuple[Dat
     return both[0], both[1], time.perf_counter() - began
 
 
-def write_points(points: DataFrame, path: str, fmt: str | None = None, digits: int = 8) -> None:
+def _records(batches):
+    """The records of the binary format, a batch of points a row."""
+    for batch in batches:
+        rows = np.empty(batch.num_rows, RECORD)
+        for c in RECORD.names:
+            rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["records"])
+
+
+#: Digits of text points, and of thinned ones.
+DIGITS, THIN_DIGITS = 8, 10
+
+
+def write_points(points: DataFrame, path: str, fmt: str | None = None, digits: int = DIGITS) -> None:
     """Writes (id, x, y) as Parquet, as text of a fixed number of digits, or as one binary file.
 
-    The binary format is a single file with its count in front, so its records
-    are streamed through the driver, a partition at a time.
+    The binary format is a single file with its count in front, so its records,
+    made by the tasks, are streamed through the driver, a partition at a time.
     """
     fmt = fmt or ("bin" if path.endswith(".bin") else "parquet" if path.endswith(".parquet") else "text")
     if fmt == "parquet":
@@ -109,10 +124,10 @@ def write_points(points: DataFrame, path: str, fmt: str | None = None, digits: i
     elif fmt == "text":
         points.select(F.format_string(f"%d\t%.{digits}f\t%.{digits}f", "id", "x", "y").alias("value")).write.text(path)
     else:
-        store, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        store, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
         ordered = points.select("id", "x", "y").persist()
         with store.open_output_stream(inner) as f:
             f.write(HEADER.pack(ordered.count()))
-            for r in ordered.toLocalIterator(prefetchPartitions=True):
-                f.write(struct.pack("<Qdd", r["id"], r["x"], r["y"]))
+            for part in ordered.mapInArrow(_records, "records binary").toLocalIterator(prefetchPartitions=True):
+                f.write(part["records"])
         ordered.unpersist()

@@ -119,7 +119,8 @@ def test_forms_of_a_result(spark):
     r = aknn_join(frame(spark, [(0, 0)]), frame(spark, [(3, 0), (1, 0)]), 3, "brute", pad=True)
     assert [n["neighbor_id"] for n in nested(r).first()["neighbors"]] == [2, 1, None]
     assert {(x["position"], x["neighbor_id"]) for x in positions(r, 3).collect()} == {(2, 2), (1, 1), (0, None)}
-    assert result_lines(r).first()["line"] == "1\tNULL\t(1 9.0)\t(2 1.0)"
+    assert result_lines(r).first()["line"] == "1\t(NULL 1.79769e+308)\t(1 9)\t(2 1)"
+    assert result_lines(r, full=True).first()["line"] == "1\t(NULL 1.7976931348623157E308)\t(1 9.0)\t(2 1.0)"
 
 
 def test_metrics_compare_strategies(spark):
@@ -130,6 +131,33 @@ def test_metrics_compare_strategies(spark):
     assert all(k <= r["candidates_least"] <= r["candidates_most"] < 200 for r in rows[1:])
 
 
+def test_metrics_leave_out_points_that_are_not_finite(spark):
+    p = frame(spark, [(0, 0), (1, 1), (float("nan"), 0)])
+    saved = {}
+    rows = run_metrics(["brute", "grid"], p, p, 3, pad=True, save=lambda name, result, seconds: saved.update({name: sorted(map(tuple, result.collect()), key=str)})).collect()
+    assert [r["differences"] for r in rows] == [0, 0] and saved["brute"] == saved["grid"]
+    assert len(saved["grid"]) == 6 and sum(r[2] is None for r in saved["grid"]) == 2
+    with pytest.raises(ValueError):
+        run_metrics(["brute"], p, p, 0)
+
+
+def test_heap_additions(spark):
+    from knnloom.operators import heap_additions
+
+    q, t = RNG.random((7, 2)), np.round(RNG.random((300, 2)), 1)
+    want = {}
+    for i, (a, b) in enumerate(q, 1):
+        heap, n = [], 0
+        for x, y in t:
+            d = (x - a) * (x - a) + (y - b) * (y - b)
+            if len(heap) < 5 or d < heap[-1]:
+                heap, n = sorted([*heap, d])[:5], n + 1
+        want[i] = n
+    got = heap_additions(frame(spark, q), frame(spark, t), 5).collect()
+    assert {r["input_id"]: r["additions"] for r in got} == want
+    assert heap_additions(frame(spark, q), frame(spark, []), 5).count() == 0
+
+
 def test_merge_of_parts(spark):
     q, t, k, _ = CASES["lattice with ties"]
     q, t = frame(spark, q), frame(spark, t)
@@ -143,6 +171,8 @@ def test_own_strategy(spark):
     register("first_of_all", lambda q, t, k, **_: aknn_join(q, t, 1, "brute"))
     p = frame(spark, [(0, 0), (1, 1)])
     assert aknn_join(p, p, 2, "first_of_all").count() == 2
+    rows = run_metrics(["brute", "first_of_all"], p, p, 2).collect()
+    assert [(r["strategy"], r["differences"], r["candidates_total"]) for r in rows] == [("brute", 0, 4), ("first_of_all", 2, None)]
     del FAMILIES["first_of_all"]
 
 

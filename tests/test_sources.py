@@ -1,5 +1,6 @@
 """Files, tools and the stream."""
 
+import re
 import struct
 
 import pytest
@@ -96,5 +97,50 @@ def test_command_line(spark, tmp_path, capsys):
     write_points(generate_uniform(spark, 60), str(tmp_path / "p.bin"))
     main(["3", str(tmp_path / "p.bin"), str(tmp_path / "p.bin"), "--mask", "1001", "--save", str(tmp_path / "out"), "--metrics", str(tmp_path / "metrics")])
     assert "loaded in" in capsys.readouterr().out
-    assert spark.read.text(str(tmp_path / "out" / "sweep_x")).count() == 60
-    assert len(spark.read.csv(str(tmp_path / "metrics"), sep=";", header=True).columns) == 16
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert [re.sub(r"_\d{14}_\d+$", "", n) for n in names] == ["brute", "sweep_x"]
+    assert all(spark.read.text(str(tmp_path / "out" / n)).count() == 60 for n in names)
+    head = spark.read.csv(str(tmp_path / "metrics"), sep=";", header=True).columns
+    assert len(head) == 16 and head[0] == "Algorithm" and head[-1] == "First 5 different point ids"
+
+
+def test_command_line_pads_and_checks(spark, tmp_path, capsys):
+    from knnloom.__main__ import main
+
+    (tmp_path / "q.txt").write_text("1 0.5 0.25\n2 NaN 0.5\n")
+    (tmp_path / "t.txt").write_text("1 0.5 0.5\n2 NaN 1\n")
+    main(["2", str(tmp_path / "q.txt"), str(tmp_path / "t.txt"), "--mask", "1", "--save", str(tmp_path / "out")])
+    (name,) = (tmp_path / "out").iterdir()
+    assert [r[0] for r in spark.read.text(str(name)).collect()] == ["1\t(NULL 1.79769e+308)\t(1 0.0625)"]
+    with pytest.raises(SystemExit):
+        main(["0", str(tmp_path / "q.txt"), str(tmp_path / "t.txt")])
+
+
+def test_tools_on_the_command_line(spark, tmp_path, capsys):
+    from knnloom.__main__ import main
+
+    main(["generate", "11", str(tmp_path / "p.bin"), "--seed", "4"])
+    assert rows(read_points(spark, str(tmp_path / "p.bin"))) == rows(generate_uniform(spark, 11, 4))
+    main(["multiply", str(tmp_path / "p.bin"), str(tmp_path / "thin.txt"), "-2"])
+    main(["multiply", str(tmp_path / "p.bin"), str(tmp_path / "four.parquet"), "4"])
+    main(["multiply", str(tmp_path / "p.bin"), str(tmp_path / "same.txt"), "1"])
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "thin.txt")).collect())
+    assert len(lines) == 6 and all(re.fullmatch(r"\d\t0\.\d{10}\t0\.\d{10}", x) for x in lines)
+    assert read_points(spark, str(tmp_path / "four.parquet")).count() == 44
+    assert all(re.fullmatch(r"\d+\t0\.\d{8}\t0\.\d{8}", r[0]) for r in spark.read.text(str(tmp_path / "same.txt")).collect())
+    assert "6 points written" in capsys.readouterr().out
+
+
+def test_generator_does_not_depend_on_partitions(spark):
+    one = rows(generate_uniform(spark, 100, 4))
+    assert one == rows(generate_uniform(spark, 100, 4).repartition(7)) and all(0 <= x < 1 and 0 <= y < 1 for _, x, y in one)
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "9")
+    assert rows(generate_uniform(spark, 100, 4)) == one
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_large_ids_of_binary_files(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    path.write_bytes(struct.pack("<QQdd", 1, 1 << 63, 0.0, 0.0))
+    with pytest.raises(Exception, match="id"):
+        read_points(spark, str(path)).collect()
