@@ -108,49 +108,61 @@ class Boxes:
     high: np.ndarray
     count: np.ndarray
 
-    def runs(self, k: int) -> dict[int, tuple[int, int]]:
-        """Runs of filled blocks, by place, around places that hold fewer than k points."""
-        total = np.r_[0, np.cumsum(self.count)]
-        out = {}
-        for i in np.flatnonzero(self.count < k):
-            r = 1
-            while total[min(i + r + 1, len(self.count))] - total[max(i - r, 0)] < k and r < len(self.count):
-                r *= 2
-            out[int(i)] = (max(i - r, 0), min(i + r, len(self.count) - 1))
-        return out
-
-    def home(self, block: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each home block the numbers of the filled blocks that bound its points."""
+    def __post_init__(self) -> None:
+        self.cuts = np.flatnonzero(np.r_[True, self.stripe[1:] != self.stripe[:-1], True])  # first box of each filled stripe
+        if len(self.block):
+            self.floor, self.top = np.minimum.reduceat(self.low[:, 0], self.cuts[:-1]), np.maximum.reduceat(self.high[:, 0], self.cuts[:-1])
+
+    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last of the filled blocks, by place, that bound a block's points: itself, or a run around it that holds k."""
+        total, n = np.r_[0, np.cumsum(self.count)], len(self.count)
+        first, last = np.arange(n), np.arange(n)
+        few, r = np.flatnonzero(self.count < k), 1
+        while len(few):
+            first[few], last[few] = np.maximum(few - r, 0), np.minimum(few + r, n - 1)
+            few = few[(total[last[few] + 1] - total[first[few]] < k) & (r < n)]
+            r *= 2
+        return first, last
+
+    def home(self, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the point, block) for each home block of the points."""
         at = np.minimum(np.searchsorted(self.block, block), len(self.block) - 1)
-        wide = self.runs(k)
-        return [self.block[wide[i][0] : wide[i][1] + 1] if i in wide else self.block[i : i + 1] for i in at.tolist()]
+        first, last = self.runs(k)
+        owner, j = _ranges(first[at], last[at] + 1)
+        return owner, self.block[j]
 
-    def reach(self, v: np.ndarray, u: np.ndarray, bound: np.ndarray, by_stripe: bool) -> list[np.ndarray]:
-        """For each point the stripes or blocks whose box is within its bound (null: all)."""
+    def reach(self, v: np.ndarray, u: np.ndarray, bound: np.ndarray, by_stripe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the point, stripe or block) for each whose box is within the point's bound (null: all)."""
         limit = np.where(np.isnan(bound), np.inf, bound)
-        owner, found = [], []
-        cuts = np.flatnonzero(np.r_[True, self.stripe[1:] != self.stripe[:-1], True])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            gap = np.maximum(np.maximum(self.low[a:b, 0].min() - v, v - self.high[a:b, 0].max()), 0)
-            near = np.flatnonzero(gap * gap <= limit)
-            if by_stripe or not len(near):
-                owner.append(near)
-                found.append(np.full(len(near), self.stripe[a]))
-                continue
-            side = np.sqrt(limit[near]) * (1 + 1e-12)  # rounded up: the join condition decides
-            lo = np.searchsorted(self.high[a:b, 1], u[near] - side, "left")
-            hi = np.searchsorted(self.low[a:b, 1], u[near] + side, "right")
-            n = np.maximum(hi - lo, 0)
-            row = np.repeat(np.arange(len(near)), n)
-            j = a + np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            gv = np.maximum(np.maximum(self.low[j, 0] - v[near][row], v[near][row] - self.high[j, 0]), 0)
-            gu = np.maximum(np.maximum(self.low[j, 1] - u[near][row], u[near][row] - self.high[j, 1]), 0)
-            keep = gv * gv + gu * gu <= limit[near][row]
-            owner.append(near[row[keep]])
-            found.append(self.block[j[keep]])
-        owner, found = np.concatenate(owner), np.concatenate(found)
-        order = np.argsort(owner, kind="stable")
-        return np.split(found[order], np.searchsorted(owner[order], np.arange(1, len(v))))
+        side = np.sqrt(limit) * (1 + 1e-12)  # rounded up: the exact comparison follows
+        # stripes follow each other along v, so those in reach are a range
+        owner, s = _ranges(np.searchsorted(self.top, v - side, "left"), np.searchsorted(self.floor, v + side, "right"))
+        gap = np.maximum(np.maximum(self.floor[s] - v[owner], v[owner] - self.top[s]), 0)
+        near = gap * gap <= limit[owner]
+        owner, s = owner[near], s[near]
+        if by_stripe:
+            return owner, self.stripe[self.cuts[s]]
+        order = np.argsort(s, kind="stable")
+        owner, s = owner[order], s[order]
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+        lo, hi = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True):
+            a, b = self.cuts[s[x]], self.cuts[s[x] + 1]
+            mine = owner[x:y]
+            lo[x:y] = a + np.searchsorted(self.high[a:b, 1], u[mine] - side[mine], "left")
+            hi[x:y] = a + np.searchsorted(self.low[a:b, 1], u[mine] + side[mine], "right")
+        pair, j = _ranges(lo, hi)
+        i = owner[pair]
+        gv = np.maximum(np.maximum(self.low[j, 0] - v[i], v[i] - self.high[j, 0]), 0)
+        gu = np.maximum(np.maximum(self.low[j, 1] - u[i], u[i] - self.high[j, 1]), 0)
+        keep = gv * gv + gu * gu <= limit[i]
+        return i[keep], self.block[j[keep]]
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for each number of each range [lo, hi)."""
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(np.arange(len(n)), n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _boxes(training: DataFrame) -> Boxes:
@@ -159,9 +171,12 @@ def _boxes(training: DataFrame) -> Boxes:
     return Boxes(got["block"].to_numpy(np.int64), got["stripe"].to_numpy(np.int64), got[["v0", "u0"]].to_numpy(float), got[["v1", "u1"]].to_numpy(float), got["n"].to_numpy(np.int64))
 
 
-def _lists(items: list[np.ndarray]) -> pa.Array:
-    size = np.array([len(x) for x in items])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array((np.concatenate(items) if len(items) else np.empty(0)).astype(np.int32)))
+def _lists(found: tuple[np.ndarray, np.ndarray], n: int) -> pa.Array:
+    """A list for each of n rows from (row, value) pairs."""
+    owner, value = found
+    order = np.argsort(owner, kind="stable")
+    size = np.bincount(owner, minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(value[order].astype(np.int32)))
 
 
 def tiles(queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame:
@@ -194,7 +209,7 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
         boxes = _boxes(training)
     by_block = by_block or np.bincount(boxes.stripe, boxes.count).max() > CROWDED * max(rows, n / stripes)
     asked = _located(i, grid)
-    home = F.arrow_udf(lambda b: _lists(boxes.home(b.to_numpy(zero_copy_only=False), k)), "array<int>")
+    home = F.arrow_udf(lambda b: _lists(boxes.home(b.to_numpy(zero_copy_only=False), k), len(b)), "array<int>")
     tt = training.select(F.col("block").alias("t_block"), F.col("stripe").alias("t_stripe"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu"))
     # the distance is written in x and y, so that it rounds like the nested loop's
     ix, iy, tx, ty = ("u", "v", "tu", "tv") if axis == "y" else ("v", "u", "tv", "tu")
@@ -207,7 +222,7 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
 
     def reach(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         cols = [x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (a, b, c)]
-        return _lists(boxes.reach(*cols, by_stripe=not by_block))
+        return _lists(boxes.reach(*cols, by_stripe=not by_block), len(a))
 
     wanted = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias(tile))
     side = (F.col("tu") - F.col("u")) * (F.col("tu") - F.col("u"))
