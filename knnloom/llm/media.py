@@ -51,9 +51,15 @@ class Value:
     def __init__(self, raw: bytes) -> None:
         self.raw, self.view = raw, memoryview(raw)
         self.at: dict[bytes, list[int]] = {}
+        self.streams: dict[int, int | None] = {}  # ends of deflate streams by their start
         for end, magic in automaton().iter(raw.decode("latin-1")):
             self.at.setdefault(magic, []).append(end + 1 - len(magic))
 
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        """Places of the zero bytes."""
+        return np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 0)
+
     @cached_property
     def archives(self) -> dict[int, int]:
         """Start and end of each ZIP archive whose end record fits the directory before it."""
@@ -161,15 +167,38 @@ def _bmp(v: Value, at: int) -> int | None:
 
 
 def _gzip(v: Value, at: int) -> int | None:
-    d, k = zlib.decompressobj(31), at
+    b, k = v.raw, at + 10
+    if k > len(b) or b[at + 3] & 0xE0:
+        return None
+    flags = b[at + 3]
+    if flags & 4:  # extra field
+        k += 2 + (struct.unpack_from("<H", b, k)[0] if k + 2 <= len(b) else 0)
+    for flag in (8, 16):  # name and comment, up to a zero byte each
+        if flags & flag:
+            i = int(np.searchsorted(v.zeros, k))
+            if i == len(v.zeros):
+                return None
+            k = int(v.zeros[i]) + 1
+    k += 2 if flags & 2 else 0
+    if k not in v.streams:
+        v.streams[k] = _inflated(v, k)
+    end = v.streams[k]
+    return end - at if end is not None else None
+
+
+def _inflated(v: Value, k: int) -> int | None:
+    """The end of a deflate stream and its checksum and length."""
+    d, crc, size = zlib.decompressobj(-15), 0, 0
     try:
         while not d.eof and (k < len(v.raw) or d.unconsumed_tail):
             part = d.unconsumed_tail or v.view[k : k + CHUNK]
             k += 0 if d.unconsumed_tail else len(part)
-            d.decompress(part, 16 * CHUNK)
+            out = d.decompress(part, 16 * CHUNK)
+            crc, size = zlib.crc32(out, crc), size + len(out)
     except zlib.error:
         return None
-    return k - len(d.unused_data) - len(d.unconsumed_tail) - at if d.eof else None
+    k -= len(d.unused_data) + len(d.unconsumed_tail)
+    return k + 8 if d.eof and v.raw[k : k + 8] == struct.pack("<II", crc, size & 0xFFFFFFFF) else None
 
 
 def _pdf(v: Value, at: int) -> int | None:
