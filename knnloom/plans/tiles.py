@@ -7,8 +7,9 @@ where that holds fewer than k).  Round two joins each point, on stripe or block
 number, with those tiles whose bounding box is no farther than the bound, and
 keeps candidates within it.  Both rounds are equi-joins.
 
-What comes to the driver are boundaries and one row a block; MAX_BLOCKS bounds
-them, and with them what is broadcast.  Boundaries are distinct values, so runs
+What comes to the driver are boundaries and one row a block, up to MAX_BLOCKS,
+and that is what is broadcast; more blocks than that are tables (``reached_wide``).
+Boundaries are distinct values, so runs
 of equal coordinates stay in one tile, and the outer tiles are open, so any
 finite coordinates are allowed.  Bounds are compared by <=, so ties at the k-th
 distance survive to the ranking.
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist_sq, optimal_stripes
@@ -196,7 +197,9 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
     n = t.count()
     if n == 0:
         return i.limit(0).select(F.col("id").alias("input_id"), F.col("id").alias("neighbor_id"), F.lit(0.0).alias("dist_sq"))
-    rows = max(BLOCK_ROWS, FEWEST * k, math.ceil(n / MAX_BLOCKS))
+    rows = max(BLOCK_ROWS, FEWEST * k)
+    if n > rows * MAX_BLOCKS:
+        return reached_wide(i, t, k, n, axis, rows)
     if by_block:
         stripes = stripes or math.ceil(math.sqrt(n / rows))
     stripes = max(1, min(stripes or optimal_stripes(n, k), n, MAX_BLOCKS))
@@ -230,6 +233,70 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
     return within.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
 
 
+def reached_wide(i: DataFrame, t: DataFrame, k: int, n: int, axis: str, rows: int) -> DataFrame:
+    """``reached`` with blocks of constant depth, however many: they are tables, and points find them by rank.
+
+    Blocks are cut by rank along each stripe.  A point's home block, and the run of
+    blocks that its bound reaches in a stripe, are counts of the blocks before it,
+    taken in one order of blocks and points.  Boundaries and extents of the stripes
+    come to the driver, the square root of the number of blocks.
+    """
+    ix, iy, tx, ty = ("u", "v", "tu", "tv") if axis == "y" else ("v", "u", "tv", "tu")
+    apart = dist_sq(F.col(ix), F.col(iy), F.col(tx), F.col(ty))
+    place = Window.partitionBy("v", "u").orderBy("id")
+    t = t.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).drop("rank")
+    cuts = quantiles(t, "v", math.ceil(math.sqrt(n / rows)))
+    number = lambda cuts: F.arrow_udf(lambda v: pa.array(np.searchsorted(cuts, v.to_numpy(zero_copy_only=False), "right").astype(np.int32)), "int")
+    size = {r[0]: r[1] for r in t.groupBy(number(cuts)("v").alias("s")).count().collect()}
+    kept, held = [], 0
+    for s, cut in enumerate(cuts.tolist()):  # stripes hold FEWEST * k points at least
+        held += size.get(s, 0)
+        if held >= FEWEST * k:
+            kept.append(cut)
+            held = 0
+    if kept and held + size.get(len(cuts), 0) < FEWEST * k:
+        kept.pop()
+    striped = t.withColumn("stripe", number(np.array(kept))("v"))
+    extent = striped.groupBy("stripe").agg(F.min("v").alias("floor"), F.max("v").alias("top"), F.count("*").alias("n")).toPandas().sort_values("stripe")
+    floor, top = extent["floor"].to_numpy(float), extent["top"].to_numpy(float)
+    blocks = i.sparkSession.createDataFrame(extent.assign(blocks=np.maximum(extent["n"] // rows, 1)).drop(columns=["floor", "top", "n"]), "stripe int, blocks bigint")
+    rank = F.row_number().over(Window.partitionBy("stripe").orderBy("u", "id")) - 1
+    training = striped.withColumn("rank", rank).join(F.broadcast(blocks), "stripe")
+    training = training.select("stripe", F.least(F.floor(F.col("rank") / rows), F.col("blocks") - 1).alias("block"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu")).persist()
+    boxes = training.groupBy("stripe", "block").agg(F.min("tu").alias("low"), F.max("tu").alias("high")).persist()
+
+    def before(points: DataFrame, at: Column, edge: str, first: int) -> DataFrame:
+        """The points with ``count``, how many blocks of their stripe have their edge before ``at`` (first=0) or up to it (1)."""
+        both = points.withColumns({"x": at, "tie": F.lit(first)}).unionByName(boxes.select("stripe", F.col(edge).alias("x"), F.lit(1 - first).alias("tie"), F.lit(1).alias("box")), allowMissingColumns=True)
+        run = Window.partitionBy("stripe").orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = both.withColumn("count", F.coalesce(F.sum("box").over(run), F.lit(0)))
+        return counted.where("box is null").drop("x", "tie", "box")
+
+    home = F.arrow_udf(lambda v: pa.array(np.minimum(np.searchsorted(top, v.to_numpy(zero_copy_only=False), "left"), len(top) - 1).astype(np.int32)), "int")
+    stripe_at = extent["stripe"].to_numpy()
+    filled = F.arrow_udf(lambda s: pa.array(stripe_at[s.to_numpy(zero_copy_only=False)].astype(np.int32)), "int")
+    places = i.select("v", "u").distinct()  # a crowd of points finds its block once
+    asked = before(places.withColumn("stripe", filled(home("v"))), F.col("u"), "high", 0).join(F.broadcast(blocks), "stripe")
+    asked = asked.select("v", "u", "stripe", F.least("count", F.col("blocks") - 1).alias("block"))
+    first = asked.join(training, ["stripe", "block"]).select(F.struct("v", "u").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
+    kth = top_k(first, k).where(F.col("rnk") == k).select("input_id.*", F.col("dist_sq").alias("bound"))
+    bounded = places.join(kth, ["v", "u"], "left")
+
+    def stripes(v: pa.Array, bound: pa.Array) -> pa.Array:
+        v, bound = (x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (v, bound))
+        side = np.sqrt(np.where(np.isnan(bound), np.inf, bound)) * (1 + 1e-12)
+        owner, s = _ranges(np.searchsorted(top, v - side, "left"), np.searchsorted(floor, v + side, "right"))
+        return _lists((owner, stripe_at[s]), len(v))
+
+    side = F.coalesce(F.sqrt("bound") * (1 + 1e-12), F.lit(float("inf")))  # rounded up: the exact comparison follows
+    near = bounded.withColumn("stripe", F.explode(F.arrow_udf(stripes, "array<int>")("v", "bound")))
+    near = before(near, F.col("u") - side, "high", 0).withColumnRenamed("count", "lo")
+    near = before(near, F.col("u") + side, "low", 1).withColumnRenamed("count", "hi").where("lo < hi")
+    wanted = near.withColumn("block", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    within = wanted.join(training, ["stripe", "block"]).withColumn("dist_sq", apart).where(F.col("bound").isNull() | (F.col("dist_sq") <= F.col("bound")))
+    return i.join(within.select("v", "u", "neighbor_id", "dist_sq"), ["v", "u"]).select(F.col("id").alias("input_id"), "neighbor_id", "dist_sq")
+
+
 def stripe_stats(queries: DataFrame, candidates: DataFrame, k: int, split_by: str = "training", stripes: int | None = None) -> DataFrame:
     """(stripe, min_y, max_y, n_input, n_training) with exact boundaries of equal depth.
 

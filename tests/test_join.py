@@ -63,6 +63,29 @@ def test_equals_nested_loop(spark, case, name, monkeypatch):
     assert run(spark, q, t, k, name, **options) == want(q, t, k)
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_blocks_as_tables_equal_the_nested_loop(spark, case, monkeypatch):
+    monkeypatch.setattr(tiles_module, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(tiles_module, "FEWEST", 1)
+    monkeypatch.setattr(tiles_module, "MAX_BLOCKS", 0)
+    q, t, k, options = CASES[case]
+    assert run(spark, q, t, k, "sweep_x" if case == "clustered" else "grid", **options) == want(q, t, k)
+
+
+def test_blocks_do_not_grow_with_the_data(spark, monkeypatch):
+    """Candidates ranked for a point are about as many for eight times the points, and what is collected grows by the root."""
+    from knnloom.operators import candidate_counts, generate_uniform
+    from knnloom.plans import candidate_rows
+
+    monkeypatch.setattr(tiles_module, "MAX_BLOCKS", 0)
+    mean = []
+    for n in (4000, 32_000):
+        p = generate_uniform(spark, n, 3)
+        q = p.where("id <= 500")
+        mean.append(candidate_counts(candidate_rows("grid", q, p, 5), q).agg({"n": "avg"}).first()[0])
+    assert mean[1] < 1.5 * mean[0]
+
+
 def test_brute(spark):
     q, t, k, _ = CASES["uniform"]
     assert run(spark, q, t, k, "brute") == want(q, t, k)
