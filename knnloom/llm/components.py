@@ -28,10 +28,14 @@ def _step(edges: DataFrame, about: int) -> DataFrame:
     return pinned(edges.coalesce(max(1, -(-about // FILE_EDGES))), "none")
 
 
-def _star(both: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    """The edges with their node's m; written down where there are many, so that a large node's edges can be split at the join."""
+    return edges.join(pinned(least, "none") if many else least, "u")
+
+
+def _star(both: DataFrame, many: bool) -> DataFrame:
     """Each node's neighbours with the smallest of node and neighbours as m."""
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u")
+    return _joined(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), many)
 
 
 def components(edges: DataFrame, about: int, most_steps: int = 100) -> DataFrame:
@@ -48,10 +52,11 @@ def components(edges: DataFrame, about: int, most_steps: int = 100) -> DataFrame
             break
         was = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        many = state[0] > FILE_EDGES
+        large = _star(both, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = _joined(down, least, many).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = _step(small.distinct(), state[0])
     else:
         raise RuntimeError("components did not settle")

@@ -223,6 +223,6 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     roots = components(edges, edges.count())
     distinct = prints.groupBy("h").agg(F.min("id").alias("least"))
     rooted = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("root", "h").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = pinned(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "none")  # so that a large root's rows can be split at the join
     of_set = rooted.select("h", "root").join(smallest, "root").select("h", "component_id")
     return prints.join(of_set, "h").select("id", "component_id")

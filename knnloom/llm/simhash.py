@@ -2,11 +2,15 @@
 
 A fingerprint of 64 bits is cut into three segments of at most 23 bits.  The
 [23,12,7] Golay code is perfect: every segment value decodes to one codeword.
-The keys of a value are the codewords of all values within one bit of it; two
+The codes of a value are the codewords of all values within one bit of it; two
 values at most two bits apart have a value within one bit of both, so they
-share a key.  Of four errors over three segments two segments have at most two
-together, so a pair of keys for each pair of segments finds every link of four
-bits or fewer; candidates that meet in a key are verified by their distance.
+share a code.  Of four errors over three segments, either one segment has none
+and another two at most, or two segments have one each and the third two at
+most.  So the keys of a fingerprint are a whole segment with a code of another,
+and halves of two segments (a single error leaves a half as it is) with a code of
+the third.  They find every link of four bits or fewer, and each key fixes 32
+bits or more, so chance meetings stay rare up to 10^9 fingerprints; candidates
+that meet in a key are verified by their distance.
 
 Equal fingerprints are joined first.  Keys are sorted on the cluster and read
 as a stream: within a key, links are found by shifted comparison or, for more
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
+from .resemblance import resembling
 from .session import pinned
 
 WORDS = 4
@@ -43,7 +48,7 @@ SEGMENTS = (22, 21, 21)
 GENERATOR = 0xC75
 SMALL, BLOCK = 16, 1024
 #: Keys of a fingerprint, about, and keys whose links make one file.
-KEYS, FILE_KEYS = 85, 1_000_000
+KEYS, FILE_KEYS = 96, 1_000_000
 
 
 def fingerprints(col: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -117,19 +122,24 @@ def key_rows(batches):
         whole = batch.column(0).to_numpy(zero_copy_only=False)
         for k in range(0, len(whole), 4096):
             fp = whole[k : k + 4096]
-            u, seg, shift = fp.astype(np.int64).view(np.uint64), [], 0
-            for bits in SEGMENTS:
-                v = ((u >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            u, seg, raw = fp.astype(np.int64).view(np.uint64), [], []
+            for i, bits in enumerate(SEGMENTS):
+                v = ((u >> np.uint64(sum(SEGMENTS[:i]))) & np.uint64((1 << bits) - 1)).astype(np.int64)
                 got, new = code.keys(v, bits)
                 most = int(new.sum(1).max())
                 order = np.argsort(~new, 1, kind="stable")[:, :most]
                 seg.append((np.take_along_axis(got, order, 1), np.take_along_axis(new, order, 1)))
-                shift += bits
-            for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                key = (p << 24) | (seg[i][0][:, :, None] << 12) | seg[j][0][:, None, :]
-                use = seg[i][1][:, :, None] & seg[j][1][:, None, :]
-                owner = np.broadcast_to(np.arange(len(fp))[:, None, None], use.shape)[use]
-                yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(fp[owner])], ["key", "fp"])
+                raw.append(v)
+            whole_of = [v[:, None] for v in raw]
+            halves = [np.stack([v & 2047, v >> 11 | 1 << 11], 1) for v in raw]  # 12 bits: which half, and its 11 bits at most
+            for third, (codes, new) in enumerate(seg):
+                i, j = (x for x in range(3) if x != third)
+                pairs = (halves[i][:, :, None] << 12 | halves[j][:, None, :]).reshape(len(fp), 4)
+                for p, known in ((0, whole_of[i]), (1, whole_of[j]), (2, pairs)):
+                    key = ((known[:, :, None] << 12) | codes[:, None, :]) << 4 | (3 * third + p)
+                    use = np.broadcast_to(new[:, None, :], key.shape)
+                    owner = np.broadcast_to(np.arange(len(fp))[:, None, None], key.shape)[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(fp[owner])], ["key", "fp"])
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,13 +268,20 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", words
     return docs.withColumn(out, udf(F.col(text)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp, component_id) of each row: the smallest id that links of LINK_BITS bits reach."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, least: float | None = None) -> DataFrame:
+    """(id, fp, component_id) of each row: the smallest id that links of LINK_BITS bits reach.
+
+    With ``least``, links are similarities of the sets of shingles of that much or
+    more instead, and there is no fp.  Texts of similarity 0.8 differ in ten of 64
+    bits, beyond the reach of any code of 23, so ``resemblance`` finds these.
+    """
+    if least is not None:
+        return resembling(docs, id_col, text, words, least)
     prints = pinned(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words).select("id", "fp"), "none")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(*links(distinct)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = pinned(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "none")  # so that a large root's rows can be split at the join
     of_print = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
