@@ -86,4 +86,5 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
     files = docs.sparkSession.createDataFrame([(p, i << _FILE_BITS) for i, p in enumerate(paths)], "__path string, __base bigint")
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     found = rows.join(F.broadcast(files), F.col("__file") == F.col("__path"))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("__base") + F.col("__row")).alias(name))
+    place = F.coalesce(F.col("__base") + F.col("__row"), F.lit(-1))  # never null, so that joins of any kind read the same rows
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(name))
