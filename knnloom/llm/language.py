@@ -127,7 +127,8 @@ class Codes:
         if len(self.langs) < 2:
             return np.where(ok, 0, -1), ok.astype(float), ~ok
         m = np.clip(self.margins(col) / self.scale, -3, 3)
-        loss = (np.exp(-m[:, None, :] * self.code) * self.trust).sum(2)
+        wrong, right = np.exp(m) * self.trust, np.exp(-m) * self.trust  # the loss of a bit that is -1, or 1
+        loss = np.stack([np.where(word > 0, right, wrong).sum(1) for word in self.code], 1)
         p = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best, two = p.argmax(1), np.sort(p, 1)[:, -2:]
