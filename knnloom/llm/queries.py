@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .imatch import OP1_SQL, op1_imatch
 from .language import op7_language
@@ -17,6 +18,18 @@ from .simhash import op6_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op2_toxicity
 
+
+def sharding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: rows, bytes and slots of the shards."""
+    slots = op4_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"), F.sum("size").alias("n_bytes"))
+    return slots.withColumn("all_bytes", F.sum("n_bytes").over(Window.partitionBy())).drop("n_bytes")  # 24 rows
+
+
+def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: sizes and digests, without the checksum and the features."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_toxicity": op2_toxicity,
@@ -28,6 +41,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "sharding_counts": sharding_counts,
+    "media_digests": media_digests,
 }
 #: Every window of 50 bytes (as hex) with the smallest id that has it, then gaps and islands.
 OP5_SQL = """
@@ -44,4 +59,18 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_rem
        sha256(unhex(coalesce(c.kept, '') || substr(d.h, CAST(2 * coalesce(c.last, 0) + 1 AS BIGINT)))) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)
 """
-ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+SHARDING_COUNTS_SQL = """
+WITH n AS (SELECT count(*) AS n, CAST(sum(octet_length(encode(coalesce(text, ''))) + 8) AS BIGINT) AS b FROM documents),
+s AS (SELECT CAST(i AS INTEGER) AS shard, CAST(n // 24 + (CASE WHEN i < n % 24 THEN 1 ELSE 0 END) AS BIGINT) AS k, b FROM n, range(24) r(i))
+SELECT shard, k AS n_rows, CAST(0 AS BIGINT) AS first_slot, k - 1 AS last_slot, k AS n_slots, b AS all_bytes FROM s WHERE k > 0
+"""
+#: The 44 bytes of a WAV file's head in hex, with its two lengths as little-endian numbers.
+MEDIA_DIGESTS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT *, greatest(1, CAST(ceil(n / 576e0) AS BIGINT)) * 576 AS m FROM d),
+q AS (SELECT *, h || repeat('FF', m - n) AS payload, printf('%08X', m + 36) AS a, printf('%08X', m) AS z FROM p),
+w AS (SELECT *, '52494646' || substr(a, 7, 2) || substr(a, 5, 2) || substr(a, 3, 2) || substr(a, 1, 2) || '57415645666D74201000000001000100401F0000401F00000100080064617461'
+             || substr(z, 7, 2) || substr(z, 5, 2) || substr(z, 3, 2) || substr(z, 1, 2) || payload AS stored FROM q)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, m + 44 AS media_bytes, sha256(unhex(stored)) AS media_sha256 FROM w
+"""
+ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "sharding_counts": SHARDING_COUNTS_SQL, "media_digests": MEDIA_DIGESTS_SQL}

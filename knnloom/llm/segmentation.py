@@ -23,8 +23,8 @@ up to WORD_BYTES of words, and all texts of a slice are searched in step, in num
 
 Defined cases.  A null or empty text has one segmentation, without pieces, of
 inclusion 1.  A text with fewer segmentations than asked for gets all of them,
-with inclusion 1.  A null key draws like key 0; equal keys and texts give equal
-samples.  Very long texts are searched whole.  Other columns are neither read
+with inclusion 1.  A null key draws like key 0, one that isn't an integer by its hash;
+equal keys and texts give equal samples.  Very long texts are searched whole.  Other columns are neither read
 nor changed; input columns with the outputs' names are replaced.
 """
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from . import textbytes as tb
 
@@ -465,18 +465,19 @@ def _column(part: list[list[tuple]], vocab: Vocabulary) -> pa.Array:
 def with_segmentations(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "segmentations", samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The documents with their sampled segmentations; each carries the checksum of its decoding."""
     docs = docs.drop(out)
-    key, value = docs.columns.index(id_col), docs.columns.index(text)
+    keyed = docs.withColumn("__key", F.col(id_col).cast("bigint") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)))
+    value = docs.columns.index(text)
 
     def run(batches):
         lattice = Lattice(vocabulary(model, alpha), WORD_BYTES)
         for batch in batches:
-            k = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            k = batch.column(batch.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False)
             for first, part in sampled(k, batch.column(value), samples, model, alpha, seed, lattice):
                 rows = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, _column(part, vocabulary(model, alpha))], [*rows.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], _column(part, vocabulary(model, alpha))], [*rows.schema.names[:-1], out])
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{out} {SCHEMA}").fields])
-    return docs.mapInArrow(run, schema)
+    return keyed.mapInArrow(run, schema)
 
 
 def op3_segmentation(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,12 @@ def drop_tables(first: int, keep: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _file_and_row(docs: DataFrame) -> tuple:
+    """The file and the row in it, hidden columns of a scan of files, whatever its other columns are called."""
+    hidden = docs.metadataColumn("_metadata")
+    return hidden["file_path"].alias("__file"), hidden["row_index"].alias("__row")
+
+
 def _scans_files(docs: DataFrame) -> bool:
     """Whether the rows are those of files, at most filtered and projected."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -67,7 +73,7 @@ def _scans_files(docs: DataFrame) -> bool:
     if plan.nodeName() != "LogicalRelation":
         return False
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+        docs.select(*_file_and_row(docs)).schema  # noqa: B018
     except AnalysisException:
         return False
     return True
@@ -82,9 +88,9 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
     One path a file comes to the driver and is broadcast, as for the scan itself.
     """
     docs = docs if _scans_files(docs) else pinned(docs)
-    paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("path")).distinct().collect())
+    paths = sorted(r[0] for r in docs.select(_file_and_row(docs)[0]).distinct().collect())
     files = docs.sparkSession.createDataFrame([(p, i << _FILE_BITS) for i, p in enumerate(paths)], "__path string, __base bigint")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), *_file_and_row(docs))
     found = rows.join(F.broadcast(files), F.col("__file") == F.col("__path"))
     place = F.coalesce(F.col("__base") + F.col("__row"), F.lit(-1))  # never null, so that joins of any kind read the same rows
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), place.alias(name))

@@ -1,0 +1,73 @@
+"""Induced sorting with queues, arrays and seeds on disk, and its memory."""
+
+import tracemalloc
+
+import numpy as np
+import pytest
+
+from knnloom.llm import suffix_dedup, suffixes
+
+
+@pytest.mark.parametrize(("block", "memory"), [(1, 10), (2, 40), (7, 10), (50, 300), (1 << 12, 64 << 20)])
+def test_order_and_groups(monkeypatch, block, memory):
+    monkeypatch.setattr(suffixes, "LEAST_BLOCK", block)
+    rng = np.random.default_rng(block)
+    for _ in range(40):
+        match, top = int(rng.choice([1, 2, 3, 5, 9, 17, 50])), int(rng.choice([1, 2, 3, 30, 255]))
+        parts = [rng.integers(1, top + 1, rng.integers(0, 80)).astype(np.uint8).tobytes() for _ in range(3)]
+        data = np.frombuffer(b"\0".join([*parts, parts[0][5:], parts[1]]) + b"\0", np.uint8)
+        at, new = suffixes.repeats(data, match, memory=memory)
+        raw = data.tobytes() + b"\0" * match
+        keys = [raw[i : i + match] for i in at]
+        assert sorted(at.tolist()) == list(range(len(data))) and keys == sorted(keys, reverse=True)
+        for a, b, n in zip(keys[:-1], keys[1:], new[1:], strict=True):
+            assert 0 in a or 0 in b or (a != b) == n
+
+
+def shard(n, seed):
+    """Snippets of which many hold windows of others, and their places."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(97, 123, 200_000).astype(np.uint8)
+    size = rng.integers(50, 85, n)
+    start = rng.integers(0, len(pool) - 100, n)
+    content = pool[np.concatenate([np.arange(a, a + k) for a, k in zip(start, size, strict=True)])]
+    member = np.empty(n, suffix_dedup.MEMBER)
+    member["place"], member["id"], member["start"] = np.arange(n), rng.integers(-5, n, n), 0
+    return size.astype(np.int64), content, np.ones(n, np.int64), member
+
+
+def marks(memory, args):
+    got = [np.stack(p, 1) for p in suffix_dedup.shard_marks(*args, memory=memory)]
+    return sorted(map(tuple, np.concatenate(got).tolist()))
+
+
+def test_shards_larger_than_memory(monkeypatch):
+    """A shard of more than ten times the budget gives the same marks, with arrays and queues on disk."""
+    monkeypatch.setattr(suffix_dedup, "SNIPPETS_AT_ONCE", 1 << 12)
+    args, budget = shard(80_000, 1), 400_000
+    assert len(args[1]) > 10 * budget
+    spills, real = [], suffixes.BucketQueue._spill
+    monkeypatch.setattr(suffixes.BucketQueue, "_spill", lambda self: (spills.append(1), real(self)))
+    seen = {}
+    for memory in (1 << 30, budget):
+        tracemalloc.start()
+        seen[memory] = marks(memory, args), tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert seen[budget][0] == seen[1 << 30][0] and len(seen[budget][0]) > 1000
+    assert len(spills) > 10
+    # what grows with the shard are some numbers a snippet, not a byte: less than a third of the sort in memory
+    assert seen[budget][1] < seen[1 << 30][1] / 3
+
+
+def test_marks_against_every_window():
+    size, content, count, member = shard(600, 2)
+    first, start = {}, np.cumsum(size) - size
+    text = [bytes(content[a : a + n]) for a, n in zip(start, size, strict=True)]
+    for i, t in zip(member["id"].tolist(), text, strict=True):
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
+    want = set()
+    for p, (i, t) in enumerate(zip(member["id"].tolist(), text, strict=True)):
+        want |= {(p, k) for k in range(len(t) - 49) if first[t[k : k + 50]] < i}
+    got = {(p, (s >> 32) + k) for p, s in marks(1 << 20, (size, content, count, member)) for k in range((s & 0xFFFFFFFF) - 49)}
+    assert got == want and want

@@ -48,6 +48,15 @@ def test_places(spark, many):
     assert placed(joined, "place").select("place").distinct().count() == joined.count()
 
 
+def test_places_beside_a_column_of_that_name(spark, tmp_path):
+    spark.range(50).selectExpr("id as doc_id", "'x' as _metadata", "'y' as file_path").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = placed(docs, "place")
+    assert got.columns == [*docs.columns, "place"] and got.select("place").distinct().count() == 50
+    assert {r["_metadata"] for r in got.collect()} == {"x"}
+    assert placed(spark.createDataFrame([(1, "a")], "doc_id int, _metadata string"), "place").count() == 1
+
+
 def test_places_survive_other_partitions_between_plan_and_run(spark, many):
     cut(spark, 2)
     rows = placed(spark.read.parquet(many), "place")
