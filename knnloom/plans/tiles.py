@@ -3,9 +3,10 @@
 Candidates are cut into stripes along one axis, at quantiles, and each stripe
 into blocks along the other.  Round one measures an upper bound of each point's
 k-th distance on the candidates of its home block (on a run of blocks around it
-where that holds fewer than k).  Round two joins each point, on stripe or block
-number, with those tiles whose bounding box is no farther than the bound, and
-keeps candidates within it.  Both rounds are equi-joins.
+where that holds fewer than k).  Round two joins each point, on block number, with
+the blocks of the stripes in reach whose bounding box is no farther than the bound
+(the sweep along a stripe), and keeps candidates within it.  Both rounds are
+equi-joins.
 
 What comes to the driver are boundaries and one row a block, up to MAX_BLOCKS,
 and that is what is broadcast; more blocks than that are tables (``reached_wide``).
@@ -16,8 +17,7 @@ distance survive to the ranking.
 
 Crowds.  Of candidates at one location only the k smallest ids can be
 neighbours; where a block is far over its size, the others are left out before
-the joins.  Where a stripe is far over its size (a long run of equal values),
-stripes are joined by their blocks.  Neither changes a result.
+the joins, which changes no result.
 """
 
 from __future__ import annotations
@@ -132,8 +132,8 @@ class Boxes:
         owner, j = _ranges(first[at], last[at] + 1)
         return owner, self.block[j]
 
-    def reach(self, v: np.ndarray, u: np.ndarray, bound: np.ndarray, by_stripe: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the point, stripe or block) for each whose box is within the point's bound (null: all)."""
+    def reach(self, v: np.ndarray, u: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the point, block) for each whose box is within the point's bound (null: all)."""
         limit = np.where(np.isnan(bound), np.inf, bound)
         side = np.sqrt(limit) * (1 + 1e-12)  # rounded up: the exact comparison follows
         # stripes follow each other along v, so those in reach are a range
@@ -141,8 +141,6 @@ class Boxes:
         gap = np.maximum(np.maximum(self.floor[s] - v[owner], v[owner] - self.top[s]), 0)
         near = gap * gap <= limit[owner]
         owner, s = owner[near], s[near]
-        if by_stripe:
-            return owner, self.stripe[self.cuts[s]]
         order = np.argsort(s, kind="stable")
         owner, s = owner[order], s[order]
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
@@ -189,7 +187,7 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
     """(input_id, neighbor_id, dist_sq) of all candidates within each point's bound.
 
     ``axis``: that of the stripes; ``split_by``: the set whose quantiles cut them;
-    ``stripes``: how many (by default from the sizes); ``by_block``: join on blocks.
+    ``stripes``: how many (by default from the sizes); ``by_block``: so many that blocks are about square.
     """
     v, u = (axis, "x" if axis == "y" else "y")
     points = lambda df: df.select("id", F.col(v).alias("v"), F.col(u).alias("u"))
@@ -210,26 +208,23 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
         order = Window.partitionBy("v", "u").orderBy("id")
         training = training.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
         boxes = _boxes(training)
-    by_block = by_block or np.bincount(boxes.stripe, boxes.count).max() > CROWDED * max(rows, n / stripes)
     asked = _located(i, grid)
     home = F.arrow_udf(lambda b: _lists(boxes.home(b.to_numpy(zero_copy_only=False), k), len(b)), "array<int>")
-    tt = training.select(F.col("block").alias("t_block"), F.col("stripe").alias("t_stripe"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu"))
+    tt = training.select(F.col("block").alias("t_block"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu"))
     # the distance is written in x and y, so that it rounds like the nested loop's
     ix, iy, tx, ty = ("u", "v", "tu", "tv") if axis == "y" else ("v", "u", "tv", "tu")
     apart = dist_sq(F.col(ix), F.col(iy), F.col(tx), F.col(ty))
 
-    first = asked.select("id", "v", "u", F.explode(home("block")).alias("t_block")).join(tt.drop("t_stripe"), "t_block")
+    first = asked.select("id", "v", "u", F.explode(home("block")).alias("t_block")).join(tt, "t_block")
     kth = top_k(first.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq")), k).where(F.col("rnk") == k)
     bounded = asked.join(kth.select(F.col("input_id").alias("id"), F.col("dist_sq").alias("bound")), "id", "left")
-    tile = "t_block" if by_block else "t_stripe"
 
     def reach(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         cols = [x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (a, b, c)]
-        return _lists(boxes.reach(*cols, by_stripe=not by_block), len(a))
+        return _lists(boxes.reach(*cols), len(a))
 
-    wanted = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias(tile))
-    side = (F.col("tu") - F.col("u")) * (F.col("tu") - F.col("u"))
-    within = wanted.join(tt.select(tile, "neighbor_id", "tv", "tu"), tile).where(F.col("bound").isNull() | ((side <= F.col("bound")) & (apart <= F.col("bound"))))
+    wanted = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias("t_block"))
+    within = wanted.join(tt, "t_block").where(F.col("bound").isNull() | (apart <= F.col("bound")))
     return within.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
 
 
