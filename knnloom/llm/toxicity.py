@@ -240,7 +240,7 @@ class Toxicity:
     def __init__(self, rows: DataFrame, broadcast_grams: int | None = None) -> None:
         self.rows, self.curve, self.sent = rows, np.zeros(FEATURES + 1), None
         if rows.count() <= (BROADCAST_GRAMS if broadcast_grams is None else broadcast_grams):
-            got = rows.orderBy("key").toArrow()
+            got = rows.toArrow()
             self.sent = rows.sparkSession.sparkContext.broadcast(Model(got["key"].to_numpy(), got["r"].to_numpy()))
 
     def with_features(self, docs: DataFrame, text: str = "text", out: str = "__x") -> DataFrame:
