@@ -34,6 +34,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Pairs of one text that one task verifies, about; members of a block, about, and shingles of a matrix.
 PART, COLUMNS = 256, 8192
+#: Mixed keys that are broadcast (8 bytes each), at most; more are joined by a shuffle, in which a large key can be split.
+BROADCAST_KEYS = 1_000_000
 SEED = 6
 
 _ODD = tb._odd(SEED, BANDS * ROWS)
@@ -205,8 +207,8 @@ def links(keyed: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
     roots = pinned(components(first, first.count()), "none")
     # Members of keys of three and more, where these aren't of one component, in blocks that are compared in pairs.
     more = members.where("n > 2").join(roots.withColumnRenamed("node", "v"), "v", "left").select("key", "n", "v", F.coalesce("root", "v").alias("c"))
-    mixed = more.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a != z").select("key")
-    block = more.join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    mixed = pinned(more.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a != z").select("key"), "none")
+    block = more.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed, "key").withColumn("parts", F.ceil(F.col("n") / PART)).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     pairs = block.select("key", "v", "c", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
     pairs = pairs.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "v", "c")
     filled = pairs.join(sets.select(F.col("h").alias("v"), "shingles"), "v").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
