@@ -168,12 +168,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: in
     """Trees fitted on at most ``rows`` labelled documents of each class.
 
     Only the sampled ids (bounded by 2 x rows) are broadcast, and only their
-    statistics come to the driver.
+    statistics come to the driver; of documents that repeat an id the smallest.
     """
     ids = sample_labels(labels, "quality", folds, held_out, rows)
     stats = F.arrow_udf(lambda text: pa.FixedSizeListArray.from_arrays(pa.array(document_stats(text).ravel()), len(STATS)).cast(pa.list_(pa.float64())), "array<double>")
     use = docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "labelled_id")), F.col("doc_id") == F.col("labelled_id"))
-    got = use.select("doc_id", "y", stats("text").alias("x")).toArrow()
+    got = use.select("doc_id", "y", stats("text").alias("x")).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).toArrow()
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, len(STATS)) if got.num_rows else np.empty((0, len(STATS)))
     y, doc = got["y"].to_numpy().astype(float), got["doc_id"].to_numpy()
     order = np.lexsort((*x.T, doc))
