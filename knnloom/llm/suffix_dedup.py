@@ -22,8 +22,8 @@ which Spark reuses.
 
 Defined cases.  A null text is empty.  Texts shorter than a match keep all.
 Rows with equal ids (or both null) don't remove from each other; a null id comes
-after all others.  Repeated rows are told apart by their place in the scan, so
-the input must come from a stable scan, such as files.  Very long texts are read
+after all others.  Repeated rows are told apart by file and row (input that isn't
+read from files is pinned first).  Very long texts are read
 whole.  An empty table gives an empty result.  Other columns are kept; input
 columns with the names of the outputs are replaced.
 """
@@ -31,6 +31,8 @@ columns with the names of the outputs are replaced.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .suffixes import repeats
+from .session import placed
+from .suffixes import _PAD, MEMORY, repeat_chunks, room
 
 MATCH, ANCHOR = 50, 16
 LAST_ID = (1 << 63) - 1
@@ -46,28 +49,43 @@ LAST_ID = (1 << 63) - 1
 PART_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Bytes of text whose anchors, or whose snippets, are packed together; they bound a worker's memory.
 PACK_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+#: Tasks of a step, at most; each goes through its parts or shards one after another.
+TASKS = 50_000
+#: Snippets, or places of them, that are looked at together in a shard.
+SNIPPETS_AT_ONCE = 1 << 16
+#: Windows whose anchors are found at a time.
+BLOCK = 1 << 15
+_PLACE = np.uint64((1 << 24) - 1)
 _GROUP = 10  # documents with equal place >> _GROUP share packed rows
 _SENT = 0xFFFF  # ordinal of an entry that wants no answer
 MEMBER = np.dtype([("place", "<i8"), ("id", "<i8"), ("start", "<i4")])
 
 
-def snippets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window, piece) of each run of windows with one anchor."""
-    n = len(data)
-    if n < MATCH:
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
+def _least(data: np.ndarray, first: int) -> np.ndarray:
+    """For each window of MATCH bytes its anchor (40 bits) and the place of that (24 bits)."""
     h, size = tb._BYTE_HASH[data], 1
     while size < ANCHOR:
-        h = h[:-size] * tb._POW[2 * size + 1] + h[size:]
-        size *= 2
-    h = (tb.mix64(h) >> np.uint64(24) << np.uint64(24)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFFFF))
+        low = h[:-size] * tb._POW[2 * size + 1]
+        low += h[size:]
+        h, size = low, 2 * size
+    h = tb.mix64(h)
+    h &= ~_PLACE
+    h |= np.arange(first, first + len(h), dtype=np.uint64) & _PLACE
     wide, size = MATCH - ANCHOR + 1, 1
     while 2 * size <= wide:
         h = np.minimum(h[:-size], h[size:])
         size *= 2
-    if wide > size:
-        h = np.minimum(h[: -(wide - size)], h[wide - size :])
-    h = h[: n - MATCH + 1]
+    return np.minimum(h[: -(wide - size)], h[wide - size :]) if wide > size else h
+
+
+def snippets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window, piece) of each run of windows with one anchor."""
+    n = len(data)
+    if n < MATCH:
+        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 3
+    h = np.empty(n - MATCH + 1, np.uint64)
+    for a in range(0, len(h), BLOCK):  # so much at a time that it stays in the processor's cache
+        h[a : a + BLOCK] = _least(data[a : a + BLOCK + MATCH - 1], a)
     valid = np.zeros(len(h) + 1, np.int8)
     long = np.flatnonzero(np.diff(off) >= MATCH)
     np.add.at(valid, off[long], 1)
@@ -87,9 +105,9 @@ def _runs_in_doc(piece: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(piece, np.arange(n + 1))
 
 
-def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(key: np.ndarray, stable: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, starts, values) of equal keys."""
-    order = np.argsort(key, kind="stable")
+    order = tb.stable_order(key) if stable else np.argsort(key)
     k = key[order]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
     return order, start, k[start]
@@ -118,10 +136,12 @@ def anchor_rows(parts: int):
     """Packs the anchors of (place, text): by part those to be compared, and those known to repeat."""
 
     def pack(anchor, ordinal, run, group, part, known):
-        order, start, value = _grouped(part.astype(np.int64) << 40 | (group - (base := group.min())) if len(part) else part)
+        one, number = tb.distinct(group)
+        groups = max(len(one), 1)
+        order, start, value = _grouped(part.astype(np.int64) * groups + number)
         cols = [(anchor[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), (anchor[order] >> np.uint64(32)).astype("u1"), ordinal[order].astype("<u2"), run[order].astype("<u4")]
         return pa.RecordBatch.from_arrays(
-            [pa.array((value >> 40).astype(np.int32)), pa.array(np.full(len(start), known)), pa.array((value & ((1 << 40) - 1)) + base), *(_blobs(c, start) for c in cols[:2]), *(_squeezed(c, start) for c in cols[2:])],
+            [pa.array((value // groups).astype(np.int32)), pa.array(np.full(len(start), known)), pa.array(group[one][value % groups]), *(_blobs(c, start) for c in cols[:2]), *(_squeezed(c, start) for c in cols[2:])],
             ["part", "answered", "doc_group", "low", "high", "ordinal", "run"],
         )
 
@@ -131,7 +151,7 @@ def anchor_rows(parts: int):
         anchor, where, number = (np.concatenate(c) for c in zip(*got, strict=True))
         if not len(anchor):
             return
-        order, start, value = _grouped(anchor)
+        order, start, value = _grouped(anchor, stable=False)
         count = np.diff(np.r_[start, len(anchor)])
         group, ordinal = where >> _GROUP, where & ((1 << _GROUP) - 1)
         again = np.zeros(len(anchor), bool)
@@ -188,7 +208,7 @@ def candidate_rows(batches):
         ask = np.flatnonzero(~known)
         anchor = np.frombuffer(b"".join(r[3] for r in rows), "<u4").astype(np.uint64)
         anchor |= np.frombuffer(b"".join(r[4] for r in rows), "u1").astype(np.uint64) << np.uint64(32)
-        order, start, _ = _grouped(anchor[ask])
+        order, start, _ = _grouped(anchor[ask], stable=False)
         count = np.diff(np.r_[start, len(ask)])
         hit = ask[order[np.repeat((count > 1), count)]]
         want = np.r_[np.flatnonzero(known), hit[ordinal[hit] != _SENT]]
@@ -220,7 +240,7 @@ def snippet_rows(shards: int):
                 if not len(k):
                     continue
                 start, end = first[k], last[k] + MATCH
-                _, one, same = np.unique(tb.span_hashes(data, start, end, lower=False), return_index=True, return_inverse=True)
+                one, same = tb.distinct(tb.span_hashes(data, start, end, lower=False))
                 member = np.empty(len(k), MEMBER)
                 member["place"], member["id"], member["start"] = place[rows[piece[k]]], ident[rows[piece[k]]], start - off[piece[k]]
                 shard = (tb.mix64(anchor[k[one]] ^ np.uint64(0x5BF03635)) % np.uint64(shards)).astype(np.int32)
@@ -229,7 +249,7 @@ def snippet_rows(shards: int):
                 rank[order] = np.arange(len(one))
                 size = (end - start)[one][order]
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[one][order], size)
-                by_content = np.argsort(rank[same], kind="stable")
+                by_content = tb.stable_order(rank[same])
                 count = np.bincount(rank[same], minlength=len(one))
                 before = lambda v: np.r_[0, np.cumsum(v)][cut]
                 yield pa.RecordBatch.from_arrays(
@@ -241,55 +261,95 @@ def snippet_rows(shards: int):
     return run
 
 
-def shard_marks(size: np.ndarray, content: np.ndarray, count: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, span) for each run of windows that occurs with a smaller id, of one shard's snippets."""
+def _distinct(content: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, same): a snippet of each content, and each snippet's; by hash, then by the bytes themselves."""
+    h, cuts = np.empty(len(size), np.uint64), [*range(0, len(size), SNIPPETS_AT_ONCE), len(size)]
+    for a, b in itertools.pairwise(cuts):
+        h[a:b] = tb.span_hashes(np.asarray(content[start[a] : start[b - 1] + size[b - 1]]), start[a:b] - start[a], start[a:b] + size[a:b] - start[a], lower=False)
+    one, same = tb.distinct(h)
+    like = one[same]
+    for a, b in itertools.pairwise(cuts):
+        if not (size[like[a:b]] == size[a:b]).all() or not (content[_positions(start[like[a:b]], size[a:b])] == content[start[a] : start[b - 1] + size[b - 1]]).all():
+            seen: dict[bytes, int] = {}  # two contents of one hash
+            same = np.array([seen.setdefault(bytes(content[x : x + n]), len(seen)) for x, n in zip(start.tolist(), size.tolist(), strict=True)])
+            return np.unique(same, return_index=True)[1], same
+    return one, same
+
+
+def _positions(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of spans, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def shard_marks(size: np.ndarray, content: np.ndarray, count: np.ndarray, member: np.ndarray, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, span) arrays of the runs of windows that occur with a smaller id, of one shard's snippets."""
     start = np.cumsum(size) - size
-    _, one, same = np.unique(tb.span_hashes(content, start, start + size, lower=False), return_index=True, return_inverse=True)
+    one, same = _distinct(content, start, size)
     owner = np.repeat(same, count)  # distinct snippet of each member
-    least = np.full(len(one), LAST_ID)
-    np.minimum.at(least, owner, member["id"])
-    length = size[one]
-    at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start[one], length)
-    present = np.zeros(256, bool)
-    present[np.unique(content)] = True
-    code = np.cumsum(present).astype(np.uint8)  # UTF-8 leaves bytes unused, so 0 is free
+    _, rank = tb.distinct(member["id"])  # ids by their order among those of the shard
+    rank = rank.astype(np.int32)
+    least = np.full(len(one), len(member), np.int32)
+    np.minimum.at(least, owner, rank)
+    length, first = size[one], start[one]
     begin = np.cumsum(length + 1) - length - 1
-    text = np.zeros(int((length + 1).sum()), np.uint8)
-    text[np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin, length)] = code[content[at]]
-    order, new = repeats(text, MATCH)
-    snippet = np.repeat(np.arange(len(one)), length + 1)
-    inside = np.arange(len(text)) - begin[snippet] <= length[snippet] - MATCH  # a window starts here
-    group = np.cumsum(new)
-    pick = inside[order]
-    order, group = order[pick], group[pick]
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    low = np.full(len(text), LAST_ID)
-    low[order] = np.repeat(np.minimum.reduceat(least[snippet[order]], first), np.diff(np.r_[first, len(order)]))
+    n = int((length + 1).sum())
+    text, snippet, starts = room(n + _PAD, np.uint8, memory), room(n, np.int32, memory), room(n, bool, memory)
+    for a in range(0, len(one), SNIPPETS_AT_ONCE):
+        b = min(a + SNIPPETS_AT_ONCE, len(one))
+        # UTF-8 has no byte 0xFF, so that all bytes can be raised by one and 0 is free
+        text[_positions(begin[a:b], length[a:b])] = content[_positions(first[a:b], length[a:b])] + np.uint8(1)
+        x, y = begin[a], begin[b - 1] + length[b - 1] + 1
+        snippet[x:y] = np.repeat(np.arange(a, b, dtype=np.int32), length[a:b] + 1)
+        starts[x:y] = np.arange(x, y) <= np.repeat(begin[a:b] + length[a:b] - MATCH, length[a:b] + 1)  # a window starts here
+    # windows that are equal are a group; the smallest id of each
+    number_type = np.int32 if n < 1 << 31 else np.int64
+    group, smallest, groups = room(n, number_type, memory), room(n, np.int32, memory), -1
+    for order, new in repeat_chunks(text, n, MATCH, memory):
+        inside = starts[order]
+        number = groups + np.cumsum(new, dtype=number_type)
+        groups = int(number[-1])
+        order, number = order[inside], number[inside]
+        if not len(order):
+            continue
+        group[order] = number
+        cut = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        low, at = np.minimum.reduceat(least[snippet[order]], cut) + np.int32(1), number[cut]
+        known = smallest[at[0]]  # of a group that goes on; 0 if it is new, as ranks are kept from 1
+        smallest[at] = low
+        if known:
+            smallest[at[0]] = min(known, low[0])
     # windows of each member that have a smaller id elsewhere
     windows = (length - MATCH + 1)[owner]
-    row = np.repeat(np.arange(len(member)), windows)
-    j = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    mark = low[begin[owner][row] + j] < member["id"][row]
-    turn_on = mark.copy()
-    turn_on[1:] &= ~mark[:-1] | (row[1:] != row[:-1])
-    turn_off = mark.copy()
-    turn_off[:-1] &= ~mark[1:] | (row[1:] != row[:-1])
-    a, b = np.flatnonzero(turn_on), np.flatnonzero(turn_off)
-    who = row[a]
-    return member["place"][who], (member["start"][who].astype(np.int64) + j[a]) << 32 | (j[b] - j[a] + MATCH)
+    for a in range(0, len(member), SNIPPETS_AT_ONCE):
+        some, n_windows = member[a : a + SNIPPETS_AT_ONCE], windows[a : a + SNIPPETS_AT_ONCE]
+        row = np.repeat(np.arange(len(some)), n_windows)
+        at = _positions(begin[owner[a : a + SNIPPETS_AT_ONCE]], n_windows)
+        j = at - begin[owner[a : a + SNIPPETS_AT_ONCE]][row]
+        mark = smallest[group[at]] <= rank[a : a + SNIPPETS_AT_ONCE][row]
+        turn_on = mark.copy()
+        turn_on[1:] &= ~mark[:-1] | (row[1:] != row[:-1])
+        turn_off = mark.copy()
+        turn_off[:-1] &= ~mark[1:] | (row[1:] != row[:-1])
+        x, y = np.flatnonzero(turn_on), np.flatnonzero(turn_off)
+        who = row[x]
+        yield some["place"][who], (some["start"][who].astype(np.int64) + j[x]) << 32 | (j[y] - j[x] + MATCH)
 
 
 def mark_rows(batches):
     """(place, span) of a stream of packed snippets, sorted by shard; a span is start << 32 | length."""
     for _, rows in _stream(batches):
         size, count = (np.frombuffer(b"".join(r[c] for r in rows), "<u4").astype(np.int64) for c in (1, 3))
-        total = [[int(np.frombuffer(r[c], "<u4").sum(dtype=np.int64)) * width for r in rows] for c, width in ((1, 1), (3, MEMBER.itemsize))]
-        content, member = _plain([r[2] for r in rows], total[0]), _plain([r[4] for r in rows], total[1])
-        place, span = shard_marks(size, np.frombuffer(content, np.uint8), count, np.frombuffer(member, MEMBER))
-        del rows, size, count, content, member
+        content, member, a, b = room(int(size.sum()), np.uint8), room(int(count.sum()), MEMBER), 0, 0
+        for r in rows:
+            n, m = int(np.frombuffer(r[1], "<u4").sum(dtype=np.int64)), int(np.frombuffer(r[3], "<u4").sum(dtype=np.int64))
+            content[a : a + n] = np.frombuffer(pa.decompress(r[2], n, "zstd", asbytes=True), np.uint8)
+            member[b : b + m] = np.frombuffer(pa.decompress(r[4], m * MEMBER.itemsize, "zstd", asbytes=True), MEMBER)
+            a, b = a + n, b + m
+        del rows
+        for place, span in shard_marks(size, content, count, member):
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(span)], ["place", "span"])
+        del size, count, content, member
         tb.release()
-        for k in range(0, len(place), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(place[k : k + (1 << 16)]), pa.array(span[k : k + (1 << 16)])], ["place", "span"])
 
 
 def union_spans(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,15 +363,15 @@ def union_spans(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], reach[np.r_[first[1:] - 1, len(a) - 1]]
 
 
-def repeat_marks(placed: DataFrame, total_bytes: int) -> DataFrame:
+def repeat_marks(rows: DataFrame, total_bytes: int) -> DataFrame:
     """(__place, __marks) of the rows of (__place, __id, __text) that repeat others."""
     parts, shards = max(1, -(-total_bytes // PART_BYTES)), max(1, -(-total_bytes // SHARD_BYTES))
-    packed = placed.select("__place", "__text").mapInArrow(anchor_rows(parts), PACKED)
-    answers = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "__place bigint, run int")
+    packed = rows.select("__place", "__text").mapInArrow(anchor_rows(parts), PACKED)
+    answers = packed.repartition(min(parts, TASKS), "part").sortWithinPartitions("part").mapInArrow(candidate_rows, "__place bigint, run int")
     runs = answers.groupBy("__place").agg(F.collect_list("run").alias("runs"))
-    again = placed.join(runs, "__place").select("__place", F.coalesce(F.col("__id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "__text", "runs")
+    again = rows.join(runs, "__place").select("__place", F.coalesce(F.col("__id").cast("bigint"), F.lit(LAST_ID)).alias("id"), "__text", "runs")
     sent = again.mapInArrow(snippet_rows(shards), SNIPPETS)
-    marks = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(mark_rows, "__place bigint, span bigint")
+    marks = sent.repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard").mapInArrow(mark_rows, "__place bigint, span bigint")
     return marks.groupBy("__place").agg(F.collect_list("span").alias("__marks"))
 
 
@@ -331,8 +391,8 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ou
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     made = [c for c in (out, kept, digest) if c]
     rest = [c for c in docs.columns if c not in (*made, id_col, text)]
-    placed = docs.select(F.monotonically_increasing_id().alias("__place"), F.col(id_col).alias("__id"), F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in rest))
-    marks = repeat_marks(placed, total)
+    rows = placed(docs, "__place").select("__place", F.col(id_col).alias("__id"), F.col(text).alias("__text"), *(F.col(f"`{c}`") for c in rest))
+    marks = repeat_marks(rows, total)
 
     def unite(texts: pa.Array, col: pa.Array) -> pa.Array:
         lists = [union_spans(np.array(x or [], np.int64)) for x in col.to_pylist()]
@@ -349,7 +409,7 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ou
 
     kind = "spans array<struct<start:bigint,end:bigint>>" + ", kept string" * bool(kept) + ", digest string" * bool(digest)
     columns = {id_col: F.col("__id"), text: F.col("__text")}
-    joined = placed.join(marks, "__place", "left").withColumn("__cut", F.arrow_udf(unite, kind)("__text", "__marks"))
+    joined = rows.join(marks, "__place", "left").withColumn("__cut", F.arrow_udf(unite, kind)("__text", "__marks"))
     names = {out: "spans", kept: "kept", digest: "digest"}
     return joined.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in made), *(F.col(f"__cut.{names[c]}").alias(c) for c in made))
 

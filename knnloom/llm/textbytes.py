@@ -139,6 +139,30 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix64(np.add.reduceat(term, first) + size.astype(np.uint64))
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, same): the place of a key of each value, in order of value, and the number of each key's value."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
+    same = np.empty(len(key), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
+
+
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """A stable order of integers; by 16 bits at a time, which is quicker, where they lie close together."""
+    if not len(key):
+        return np.empty(0, np.int64)
+    low = key - key.min()
+    most = int(low.max())
+    if most < 1 << 16:
+        return np.argsort(low.astype(np.uint16), kind="stable")
+    if most < 1 << 32:
+        order = np.argsort((low & 0xFFFF).astype(np.uint16), kind="stable")
+        return order[np.argsort((low >> 16).astype(np.uint16)[order], kind="stable")]
+    return np.argsort(key, kind="stable")
+
+
 def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one, same) of the spans that ``data`` is cut into at ``cuts``: a span of each content, and each span's.
 
@@ -147,7 +171,7 @@ def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.n
     size = np.diff(np.r_[cuts, len(data)])
     place = np.arange(len(data)) - np.repeat(cuts, size)
     h = np.add.reduceat(_BYTE_HASH[data] * _POW[place & 4095], cuts) + size.astype(np.uint64) if len(cuts) else np.empty(0, np.uint64)
-    _, one, same = np.unique(h, return_index=True, return_inverse=True)
+    one, same = distinct(h)
     like = one[same]
     if (size[like] == size).all() and (data[np.repeat(cuts[like], size) + place] == data).all():
         return one, same
