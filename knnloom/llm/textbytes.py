@@ -136,6 +136,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     at = np.arange(int(size.sum())) - np.repeat(first, size)
     src = data[at + np.repeat(start, size)]
     term = _BYTE_HASH[_LOWER[src] if lower else src] * _POW[at & 4095]
+    if size.max() > 4096:  # so that blocks of 4096 bytes can't change places
+        term *= (2 * (at >> 12) + 1).astype(np.uint64)
     return mix64(np.add.reduceat(term, first) + size.astype(np.uint64))
 
 
@@ -180,18 +182,6 @@ def distinct_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.n
     return np.unique(same, return_index=True)[1], same
 
 
-def gram_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """For each n the hash of the n bytes that end at each byte (short at the front)."""
-    out, h = {}, np.zeros(len(data), np.uint64)
-    term = _BYTE_HASH[data]
-    for n in range(1, max(sizes) + 1):
-        k = n - 1
-        h[k:] += term[: len(term) - k or None][: len(h[k:])] * _POW[n]
-        if n in sizes:
-            out[n] = mix64(h)
-    return out
-
-
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values in [bounds[i], bounds[i+1]); 0 where that is empty."""
     out = np.zeros((len(bounds) - 1, *values.shape[1:]), np.result_type(values.dtype, np.float64) if values.dtype.kind == "f" else np.int64)

@@ -81,3 +81,12 @@ def test_words_of_equal_hash_are_told_apart(monkeypatch):
     one, same = tb.distinct_words(data, np.arange(0, 10, 2))
     words = [bytes(data[i : i + 2]) for i in range(0, 10, 2)]
     assert [words[one[k]] for k in same] == words and len(one) == 3
+
+
+def test_hashes_of_long_spans():
+    a, b = (np.random.default_rng(s).integers(97, 123, 4096).astype(np.uint8) for s in (3, 4))
+    data = np.concatenate([a, b, b, a])
+    h = tb.span_hashes(data, np.array([0, 8192]), np.array([8192, 16384]))
+    assert h[0] != h[1]
+    again = tb.span_hashes(np.concatenate([a, b, a, b]), np.array([0, 8192]), np.array([8192, 16384]))
+    assert again[0] == again[1]
