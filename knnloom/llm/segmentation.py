@@ -134,7 +134,7 @@ class Lattice:
     to the next until they hold more than ``limit`` bytes of words.
     """
 
-    EDGES = (("src", np.int32), ("dst", np.int32), ("ids", np.int32), ("logp", np.float64), ("upto", np.float64))
+    EDGES = (("dst", np.int32), ("ids", np.int32), ("logp", np.float64), ("upto", np.float64))
 
     def __init__(self, vocab: Vocabulary, limit: int = 0) -> None:
         self.vocab, self.limit = vocab, limit
@@ -240,11 +240,15 @@ class Lattice:
         dst += np.int32(self.nodes)
         dst[last] = -1
         self._append("first", self.nodes, first + self.edges)
-        for name, values in zip((e[0] for e in self.EDGES), (src + np.int32(self.nodes), dst, ids, logp, upto), strict=True):
+        for name, values in zip((e[0] for e in self.EDGES), (dst, ids, logp, upto), strict=True):
             self._append(name, self.edges, values)
         self.nodes += n
         self.edges += m
 
+    def source(self, edge: int) -> int:
+        """The node that an edge starts from."""
+        return int(np.searchsorted(self.first[: self.nodes + 1], edge, "right")) - 1
+
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that a uniform number picks at each node."""
         e = self.first[node]
@@ -301,7 +305,7 @@ class Search:
         if not edges:
             return (np.empty(0, np.int64),) * 3
         edges, which, steps = map(np.concatenate, (edges, which, steps))
-        order = np.lexsort((steps, which)) if len(which) else which
+        order = tb.stable_order(which)  # a word's steps come one after another already
         return edges[order], which[order], steps[order]
 
     def run(self) -> list[list[tuple]]:
@@ -341,9 +345,8 @@ class Search:
         for a, b in itertools.pairwise(p["bounds"].tolist()):
             np.cumsum(lp[a:b], out=prefix[a:b])
         prefix += p["base"][doc] - lp
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore"):  # the only edge of a node has log-probability 0, so nothing leaves it
             rest = np.log(np.maximum(-np.expm1(lp), 0))
-        rest[lat.first[lat.src[p["edges"]] + 1] - lat.first[lat.src[p["edges"]]] == 1] = -np.inf
         mass = prefix + rest
         e = -np.log(_uniform(self.seed[doc] + np.uint64(((sample + 101) * 0x8CB92BA72F3D8DD7) & 0xFFFFFFFFFFFFFFFF) + (np.arange(len(doc)) - p["bounds"][:-1][doc]).astype(np.uint64)))
         p["prefix"], p["mass"] = prefix, mass
@@ -371,7 +374,7 @@ class Search:
             a, b = p["bounds"][d], p["bounds"][d + 1]
             t = int(a + p["value"][a:b].argmax())
             e = int(p["edges"][t])
-            s = int(lat.src[e])
+            s = lat.source(e)
             x, z = int(lat.first[s]), int(lat.first[s + 1])
             w = np.exp(lat.logp[x:z])
             out = taken.setdefault((q, d, t), [e])
@@ -396,7 +399,7 @@ class Search:
         after = np.arange(int(rest.sum())) + np.repeat(word_at[live] + 1 - np.cumsum(rest) + rest, rest)
         doc_rows, word_rows = np.r_[inner, self.doc[after]], np.r_[word_at[inner], after]
         node_rows, step_rows = np.r_[lat.dst[edge_of[inner]], self.start[after]], np.r_[step_at[inner] + 1, np.zeros(len(after), np.int64)]
-        order = np.lexsort((word_rows, doc_rows))
+        order = tb.stable_order(doc_rows)  # the branching word, then the later ones, which ascend
         doc_rows, word_rows, node_rows, step_rows = doc_rows[order], word_rows[order], node_rows[order], step_rows[order]
         edges, which, steps = self.complete(j, doc_rows, word_rows - self.word_first[doc_rows], node_rows, step_rows)
         bounds = np.searchsorted(doc_rows[which], np.arange(n + 1)) if len(which) else np.zeros(n + 1, np.int64)
@@ -465,7 +468,7 @@ def _column(part: list[list[tuple]], vocab: Vocabulary) -> pa.Array:
 def with_segmentations(docs: DataFrame, id_col: str = "doc_id", text: str = "text", out: str = "segmentations", samples: int = SAMPLES, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The documents with their sampled segmentations; each carries the checksum of its decoding."""
     docs = docs.drop(out)
-    keyed = docs.withColumn("__key", F.col(id_col).cast("bigint") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)))
+    keyed = docs.withColumn("__draws", F.col(id_col).cast("bigint") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)))
     value = docs.columns.index(text)
 
     def run(batches):
