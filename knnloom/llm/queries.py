@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .clustering import OP11_SQL, op11_clustering
 from .imatch import OP1_SQL, op1_imatch
+from .infilling import OP12_SQL, op12_infilling
 from .language import op7_language
 from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
@@ -41,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op11_clustering": op11_clustering,
+    "op12_infilling": op12_infilling,
     "sharding_counts": sharding_counts,
     "media_digests": media_digests,
 }
@@ -73,4 +77,4 @@ w AS (SELECT *, '52494646' || substr(a, 7, 2) || substr(a, 5, 2) || substr(a, 3,
              || substr(z, 7, 2) || substr(z, 5, 2) || substr(z, 3, 2) || substr(z, 1, 2) || payload AS stored FROM q)
 SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, m + 44 AS media_bytes, sha256(unhex(stored)) AS media_sha256 FROM w
 """
-ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "sharding_counts": SHARDING_COUNTS_SQL, "media_digests": MEDIA_DIGESTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_clustering": OP11_SQL, "op12_infilling": OP12_SQL, "sharding_counts": SHARDING_COUNTS_SQL, "media_digests": MEDIA_DIGESTS_SQL}
