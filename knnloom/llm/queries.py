@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .clustering import OP11_SQL, op11_clustering
 from .imatch import OP1_SQL, op1_imatch
 from .infilling import OP12_SQL, op12_infilling
+from .interpolation import op13_interpolation
 from .language import op7_language
 from .media import op9_media
 from .mixing import OP8_SQL, op8_mixing
@@ -32,6 +33,11 @@ def media_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256")
 
 
+def lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op13: tokens and the score by single tokens, to six decimals."""
+    return op13_interpolation(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_toxicity": op2_toxicity,
@@ -45,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_clustering": op11_clustering,
     "op12_infilling": op12_infilling,
+    "op13_interpolation": op13_interpolation,
+    "lm_counts": lm_counts,
     "sharding_counts": sharding_counts,
     "media_digests": media_digests,
 }
@@ -77,4 +85,14 @@ w AS (SELECT *, '52494646' || substr(a, 7, 2) || substr(a, 5, 2) || substr(a, 3,
              || substr(z, 7, 2) || substr(z, 5, 2) || substr(z, 3, 2) || substr(z, 1, 2) || payload AS stored FROM q)
 SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, m + 44 AS media_bytes, sha256(unhex(stored)) AS media_sha256 FROM w
 """
-ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_clustering": OP11_SQL, "op12_infilling": OP12_SQL, "sharding_counts": SHARDING_COUNTS_SQL, "media_digests": MEDIA_DIGESTS_SQL}
+#: The remainder is of a CRC-32 by its table; a text's last token is null.
+LM_COUNTS_SQL = """
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+f AS MATERIALIZED (SELECT r, doc_id, t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda p: CAST(ord(s[p]) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 2 AS held_out FROM d, tab),
+w AS MATERIALIZED (SELECT r, held_out, unnest(list_append(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), NULL)) AS w FROM f),
+c AS (SELECT w, count(*) AS c FROM w WHERE NOT held_out GROUP BY w), n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT f.doc_id, any_value(f.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / CAST(n.n + n.v + 1 AS DOUBLE))), 6) AS base_score
+FROM f JOIN w USING (r) CROSS JOIN n LEFT JOIN c ON c.w IS NOT DISTINCT FROM w.w GROUP BY f.r, f.doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op1_imatch": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op11_clustering": OP11_SQL, "op12_infilling": OP12_SQL, "lm_counts": LM_COUNTS_SQL, "sharding_counts": SHARDING_COUNTS_SQL, "media_digests": MEDIA_DIGESTS_SQL}
