@@ -183,11 +183,14 @@ class Sizes:
     left_kinds: int
 
 
-def looked_up(data: np.ndarray, off: np.ndarray, order: int, known: np.ndarray, *counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """([order, tokens] for each of the counts of the ``known`` keys, bounds of the pieces)."""
-    keys, bounds = gram_keys(data, off, order)
-    at = np.searchsorted(known, (keys >> np.uint64(2)).ravel())
-    return [c[at].reshape(keys.shape) for c in counts], bounds
+def looked_up(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """For each key its place in each of the counts, which are in order of the distinct keys."""
+    keys = keys >> np.uint64(2)
+    order = np.argsort(keys)
+    new = np.diff(keys[order], prepend=keys[order][:1]) > 0
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new)
+    return [c[at] for c in counts]
 
 
 def contexts(n: np.ndarray, bounds: np.ndarray, rows: int, tokens: int) -> np.ndarray:
@@ -245,9 +248,21 @@ def learned(rows: DataFrame, order: int, kinds: int) -> np.ndarray:
     return weights
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of whole numbers, and how often each occurs."""
+    bits = [int(x).bit_length() for x in rows.max(0)]
+    if sum(bits) > 63:
+        return np.unique(rows, axis=0, return_counts=True)
+    one = np.zeros(len(rows), np.int64)
+    for x, b in zip(rows.T, bits, strict=True):
+        one = one << b | x
+    _, first, times = np.unique(one, return_index=True, return_counts=True)
+    return rows[first], times
+
+
 def deleted_rows(order: int, sizes: Sizes):
     """(w; n, c, b of each order) from the counts of (size, n, deleted) of rows of the deleted part, equal ones added up."""
-    names = [f"{x}{k}" for k in range(order) for x in "ncb"]
+    names = [f"{x}{k}" for x in "ncb" for k in range(order)]
 
     def made(batches):
         for batch in batches:
@@ -259,10 +274,10 @@ def deleted_rows(order: int, sizes: Sizes):
                 c = contexts(n, np.array([0, m]), sizes.left_rows, sizes.left_tokens)
                 b = bucket(c)
                 c = np.where(n > 0, c, np.where(b > 0, 1 << np.maximum(b - 1, 0), 0))  # what wasn't seen is of one kind in a bucket
-                found.append(np.stack([x[k] for k in range(order) for x in (n, c, b)], 1))
+                found.append(np.concatenate([n, c]).T)
             if found:
-                kind, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(times), *(pa.array(x) for x in kind.T)], ["w", *names])
+                kind, times = distinct_rows(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(times), *(pa.array(x) for x in kind.T), *(pa.array(bucket(x).astype(np.int64)) for x in kind[:, order:].T)], ["w", *names])
 
     return made, ", ".join(f"{x} bigint" for x in ["w", *names])
 
@@ -297,12 +312,13 @@ def scored(docs: DataFrame, keep: list[str], train: Column, tune: Column, text:
         right = right.sort_by("shard")
         number = right["size"].to_pylist()
         n, gone = (np.concatenate([unpacked(b.as_py(), m) for b, m in zip(right[name], number, strict=True)]) for name in ("n", "deleted"))
-        pieces = list(tb.slices(left["__text"], whole=True))
-        known = np.concatenate([np.unique(gram_keys(data, off, order)[0] >> np.uint64(2)) for data, off, _ in pieces])
-        known = np.unique(known)
+        pieces = [(at, *gram_keys(data, off, order)) for data, off, at in tb.slices(left["__text"], whole=True)]
+        mine_all, less_all = looked_up(np.concatenate([keys.ravel() for _, keys, _ in pieces]), n, gone)
         out: list[tuple] = []
-        for data, off, at in pieces:
-            (mine, less), bounds = looked_up(data, off, order, known, n, gone)
+        done = 0
+        for at, keys, bounds in pieces:
+            mine, less = (c[done : done + keys.size].reshape(keys.shape) for c in (mine_all, less_all))
+            done += keys.size
             base = tb.segment_sum(np.log10((mine[0] + np.uint64(1)).astype(float) / (sizes.tokens + sizes.kinds + 1)), bounds)
             seen = tb.segment_sum((mine[0] > 0).astype(np.int8), bounds)
             tuned = left["__tune"].take(pa.array(at)).to_pylist()

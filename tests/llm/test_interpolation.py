@@ -135,3 +135,12 @@ def test_planes():
     for a in ([], [0], [1, 255], [256, 0, 7], [1 << 61, 3]):
         a = np.array(a, np.uint64)
         assert (interpolation.unpacked(interpolation.packed(a), len(a)) == a).all()
+
+
+def test_distinct_rows():
+    rng = np.random.default_rng(5)
+    for most in (3, 1 << 40):
+        x = rng.integers(0, most, (200, 4))
+        x = x[rng.integers(0, 200, 900)]
+        got, times = interpolation.distinct_rows(x)
+        assert {tuple(r): t for r, t in zip(got.tolist(), times.tolist(), strict=True)} == Counter(map(tuple, x.tolist()))
