@@ -3,9 +3,10 @@
 from .datasets import FACTORS, convert, generate_uniform, multiply, target_count
 from .join import aknn_join, with_padding
 from .results import difference_ids, first_differences, merge, nested, positions, result_lines, top_k
+from .states import merge_states, nearest_states, ranked
 from .statistics import candidate_counts, candidate_stats, dataset_counts, heap_additions, run_metrics
 
 __all__ = [
-    "FACTORS", "aknn_join", "candidate_counts", "candidate_stats", "convert", "dataset_counts", "difference_ids", "first_differences", "generate_uniform", "heap_additions", "merge",
-    "multiply", "nested", "positions", "result_lines", "run_metrics", "target_count", "top_k", "with_padding",
+    "FACTORS", "aknn_join", "candidate_counts", "candidate_stats", "convert", "dataset_counts", "difference_ids", "first_differences", "generate_uniform", "heap_additions", "merge", "merge_states",
+    "multiply", "nearest_states", "nested", "positions", "ranked", "result_lines", "run_metrics", "target_count", "top_k", "with_padding",
 ]

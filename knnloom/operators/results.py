@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .states import nearest_states, ranked
+
 
 def top_k(candidates: DataFrame, k: int) -> DataFrame:
     """The k nearest of (input_id, neighbor_id, dist_sq), ranked from 1; ties go to the smaller id.
@@ -23,7 +25,7 @@ def merge(parts: list[DataFrame], k: int) -> DataFrame:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return top_k(union.where("neighbor_id is not null").select("input_id", "neighbor_id", "dist_sq"), k)
+    return ranked(nearest_states(union.select("input_id", "neighbor_id", "dist_sq"), k))
 
 
 def positions(result: DataFrame, k: int) -> DataFrame:

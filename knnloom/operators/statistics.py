@@ -91,7 +91,8 @@ def run_metrics(
     ``save`` gets each strategy's name, result and seconds.
     """
     from ..functions import finite_points, optimal_stripes
-    from ..plans import candidate_rows
+    from ..plans import candidate_rows, compared, strategy
+    from ..plans.sweep import sweep
     from .join import aknn_join
     from .results import difference_ids
 
@@ -108,7 +109,10 @@ def run_metrics(
             save(name, got, seconds)
         points = finite_points(queries)
         ranked = candidate_rows(name, points, finite_points(candidates), k, **options) if count else None
-        stats = candidate_stats(candidate_counts(ranked, points)).first() if ranked is not None else (None,) * 4
+        counts = candidate_counts(ranked, points) if ranked is not None else None
+        if count and strategy(name) is sweep:  # it ranks what a window holds: the distances taken
+            counts = compared(name, points, finite_points(candidates), k, **options)
+        stats = candidate_stats(counts).first() if counts is not None else (None,) * 4
         different, ids = None, None
         if compare:
             first = first or got

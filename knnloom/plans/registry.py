@@ -11,9 +11,11 @@ from functools import partial
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.statistics import pairs
+from ..operators.statistics import candidate_counts, pairs
 from .brute import brute
+from .sweep import sweep, sweep_states
 from .tiles import reached, tiles
 
 
@@ -25,6 +27,7 @@ class Strategy(Protocol):
 
 FAMILIES: dict[str, Strategy] = {
     "brute": brute,
+    "sweep": sweep,
     "sweep_x": partial(tiles, axis="x"),
     "stripes_input": partial(tiles, axis="y", split_by="input"),
     "stripes_training": partial(tiles, axis="y", split_by="training"),
@@ -40,6 +43,15 @@ def candidate_rows(name: str, queries: DataFrame, candidates: DataFrame, k: int,
     return reached(queries, candidates, k, **plan.keywords, **options) if isinstance(plan, partial) and plan.func is tiles else None
 
 
+def compared(name: str, queries: DataFrame, candidates: DataFrame, k: int, **options: object) -> DataFrame | None:
+    """(input_id, n): how many distances a built-in strategy takes for each point (beyond MAX_BLOCKS: ranks); None for others."""
+    if strategy(name) is sweep:
+        seen = sweep_states(queries, candidates, k, **options)[1]
+        return queries.select(F.col("id").alias("input_id")).join(seen, "input_id", "left").select("input_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    rows = candidate_rows(name, queries, candidates, k, **options, every=True)
+    return None if rows is None else candidate_counts(rows, queries)
+
+
 #: By place of the 30-digit mask: nested loop serial and on two thread runtimes,
 #: sweeps, stripes by input, stripes by training, out-of-core stripes.
 _BY_PLACE = ["brute"] * 3 + ["sweep_x"] * 6 + ["stripes_input"] * 9 + ["stripes_training"] * 8 + ["stripes_input", "stripes_training"] * 2

@@ -183,11 +183,12 @@ def tiles(queries: DataFrame, candidates: DataFrame, k: int, **options: object)
     return top_k(reached(queries, candidates, k, **options), k)
 
 
-def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y", split_by: str = "training", stripes: int | None = None, by_block: bool = False, **_: object) -> DataFrame:
+def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y", split_by: str = "training", stripes: int | None = None, by_block: bool = False, every: bool = False, **_: object) -> DataFrame:
     """(input_id, neighbor_id, dist_sq) of all candidates within each point's bound.
 
     ``axis``: that of the stripes; ``split_by``: the set whose quantiles cut them;
-    ``stripes``: how many (by default from the sizes); ``by_block``: so many that blocks are about square.
+    ``stripes``: how many (by default from the sizes); ``by_block``: so many that blocks are about square;
+    ``every``: all pairs whose distance either round takes, to count them.
     """
     v, u = (axis, "x" if axis == "y" else "y")
     points = lambda df: df.select("id", F.col(v).alias("v"), F.col(u).alias("u"))
@@ -224,7 +225,11 @@ def reached(queries: DataFrame, candidates: DataFrame, k: int, axis: str = "y",
         return _lists(boxes.reach(*cols), len(a))
 
     wanted = bounded.select("id", "v", "u", "bound", F.explode(F.arrow_udf(reach, "array<int>")("v", "u", "bound")).alias("t_block"))
-    within = wanted.join(tt, "t_block").where(F.col("bound").isNull() | (apart <= F.col("bound")))
+    within = wanted.join(tt, "t_block")
+    if every:
+        within = within.unionByName(first, allowMissingColumns=True)
+    else:
+        within = within.where(F.col("bound").isNull() | (apart <= F.col("bound")))
     return within.select(F.col("id").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
 
 

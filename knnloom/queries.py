@@ -84,6 +84,8 @@ for _name, _set, _k, _strategy in [
     ("aknn_stripes_training_emb_k10", "emb", 10, "stripes_training"), ("aknn_grid_emb_k10", "emb", 10, "grid"), ("aknn_supp_cust_k10", "supp_cust", 10, "stripes"),
     ("aknn_cust_supp_k10", "cust_supp", 10, "grid"), ("aknn_part_self_k10", "part_self", 10, "grid"), ("aknn_part_self_stripes_k10", "part_self", 10, "stripes_input"),
     ("aknn_unnormalised_k5", "unnormalised", 5, "stripes"), ("aknn_unnormalised_grid_k5", "unnormalised", 5, "grid"), ("aknn_k1", "events", 1, "auto"), ("aknn_k30", "supp_cust", 30, "auto"),
+    ("aknn_sweep_events_k10", "events", 10, "sweep"), ("aknn_sweep_part_self_k10", "part_self", 10, "sweep"), ("aknn_sweep_cust_supp_k10", "cust_supp", 10, "sweep"), ("aknn_sweep_emb_k10", "emb", 10, "sweep"),
+    ("aknn_sweep_unnormalised_k5", "unnormalised", 5, "sweep"),
 ]:
     _add(_name, partial(_join, _set, _k, _strategy), _knn_sql(_set, _k))
 
@@ -114,6 +116,9 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("aknn_merge_of_parts", _merged, _knn_sql("events", 10))
 
 
+_add("aknn_states_of_pairs", lambda spark, d: ops.ranked(ops.nearest_states(candidate_rows("brute", *sets(spark, d, "emb"), 10), 10)), _knn_sql("emb", 10))
+
+
 def _perturbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     good = _join("supp_cust", 10, "stripes", spark, sf_dir)
     off = F.when((F.col("rnk") == 3) & (F.col("input_id") % 7 == 0), 1e-6).otherwise(0.0)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, suffix: str = "") -> str:
@@ -25,3 +25,10 @@ def scratch(spark: SparkSession, suffix: str = "") -> str:
     store.mkdirs(path.getParent())
     store.deleteOnExit(path)
     return path.toString()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of its own in the shared folder, which cuts the lineage; it goes when the driver ends."""
+    path = scratch(df.sparkSession, ".parquet")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
