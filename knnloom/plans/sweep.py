@@ -22,16 +22,18 @@ Round one's rows are a table in the shared folder, as both rounds' ends read the
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions import optimal_stripes
 from ..operators.states import STATE, best, lists, merge_states, ranked
 from ..sources.scratch import kept
-from .tiles import CROWDED, FEWEST, MAX_BLOCKS, Boxes, _boxes, _located, _ranges as ranges, build_grid
+from .tiles import CROWDED, FEWEST, MAX_BLOCKS, Boxes, Grid, _boxes, _located, _ranges as ranges, build_grid
 
 #: Candidates in a tile, about; height of a stripe in stripes of the optimal number; points of a tile that go to one task.
 TILE_ROWS, HEIGHT, MOST_POINTS = 4096, 3, 65_536
@@ -133,14 +135,18 @@ def dealt(points: DataFrame, training: DataFrame, tasks: int) -> tuple[DataFrame
     return tuple(s.repartition(tasks, "tile", "part") for s in sides)
 
 
-def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int | None = None, **_: object) -> tuple[DataFrame, DataFrame]:
-    """(states, seen): each point's k nearest, and (input_id, n), how many candidates it was compared with in each tile."""
-    points = lambda df, name: df.select(F.col("id").alias(name), F.col("y").alias("v"), F.col("x").alias("u"))
-    i, t = points(queries, "id"), points(candidates, "id")
-    n, asked_rows = t.count(), i.count()
-    if n == 0:
-        nothing = i.limit(0).select(F.col("id").alias("input_id"))
-        return nothing.select("input_id", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<double>").alias("far")), nothing.withColumn("n", F.lit(0).cast("bigint"))
+@dataclass
+class Tiles:
+    """Candidates cut into tiles: boundaries, boxes, and a table (tile, neighbor_id, tv, tu)."""
+
+    grid: Grid
+    boxes: Boxes
+    rows: DataFrame
+
+
+def cut(candidates: DataFrame, k: int, n: int, stripes: int | None = None) -> Tiles:
+    """The tiles of n candidates (id, x, y), n > 0."""
+    t = _points(candidates)
     rows = max(TILE_ROWS, FEWEST * k, n // MAX_BLOCKS)
     stripes = max(1, min(stripes or optimal_stripes(n, k) // HEIGHT, n, MAX_BLOCKS))
     grid = build_grid(t, stripes, max(1, math.ceil(n / rows / stripes)))
@@ -150,17 +156,34 @@ def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int
         order = Window.partitionBy("v", "u").orderBy("id")
         training = training.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
         boxes = _boxes(training)
-    ends, filled = Ends(boxes, k), boxes.block
-    training = training.select(F.col("block").alias("tile"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu"))
-    tasks = max(int(i.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n + asked_rows) // TASK_ROWS))
+    return Tiles(grid, boxes, training.select(F.col("block").alias("tile"), "stripe", F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu")))
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("y").alias("v"), F.col("x").alias("u"))
+
+
+def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int | None = None, **_: object) -> tuple[DataFrame, DataFrame]:
+    """(states, seen): each point's k nearest, and (input_id, n), how many distances were taken for it."""
+    n = candidates.count()
+    if n == 0:
+        nothing = queries.limit(0).select(F.col("id").alias("input_id"))
+        return nothing.select("input_id", F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<double>").alias("far")), nothing.withColumn("n", F.lit(0).cast("bigint"))
+    tiles = cut(candidates, k, n, stripes)
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n + queries.count()) // TASK_ROWS))
+    return rounds(queries, tiles, k, lambda points: tuple(s.groupBy("tile", "part") for s in dealt(points, tiles.rows.drop("stripe"), tasks)))
+
 
+def rounds(queries: DataFrame, tiles: Tiles, k: int, sides: Callable[[DataFrame], tuple[GroupedData, GroupedData]]) -> tuple[DataFrame, DataFrame]:
+    """Both rounds; ``sides`` groups points (tile, input_id, ...) and the candidates of their tiles alike, by tile first."""
+    ends, filled, grid = Ends(tiles.boxes, k), tiles.boxes.block, tiles.grid
     home = F.arrow_udf(lambda b: pa.array(filled[np.minimum(np.searchsorted(filled, b.to_numpy(zero_copy_only=False)), len(filled) - 1)].astype(np.int32)), "int")
-    asked = _located(i, grid).select(home("block").alias("tile"), F.col("id").alias("input_id"), "v", "u")
+    asked = _located(_points(queries), grid).select(home("block").alias("tile"), F.col("id").alias("input_id"), "v", "u")
 
     def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, v, u = _columns(left, "input_id", "v", "u")
         cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
-        owner, far, near, seen = swept(u, v, np.full(len(ids), np.inf), cu, cv, cid, k) if len(cid) else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.zeros(len(ids), np.int64))
+        owner, far, near, seen = swept(u, v, np.full(len(ids), np.inf), cu, cv, cid, k)
         sizes = np.bincount(owner, minlength=len(ids))
         kth = np.full(len(ids), np.nan)
         whole = sizes == k
@@ -169,7 +192,7 @@ def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int
         columns = [pa.array(ids), pa.array(v), pa.array(u), pa.array(bound, from_pandas=True), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen), ends.others(key[0].as_py(), v, u, bound)]
         return pa.table(columns, names=[f.split()[0] for f in FIRST.split(", ")])
 
-    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+    def second(_, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, v, u = _columns(left, "input_id", "v", "u")
         limit = left["bound"].cast(pa.float64()).to_numpy()
         cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
@@ -177,11 +200,10 @@ def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int
         sizes = np.bincount(owner, minlength=len(ids))
         return pa.table([pa.array(ids), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen)], names=["input_id", "ids", "far", "seen"])
 
-    sides = dealt(asked, training, tasks)
-    one = kept(sides[0].groupBy("tile", "part").cogroup(sides[1].groupBy("tile", "part")).applyInArrow(_asked_only(first), FIRST))
-    reach = one.select("input_id", "v", "u", "bound", F.explode("others").alias("tile"))
-    sides = dealt(reach, training, tasks)
-    two = sides[0].groupBy("tile", "part").cogroup(sides[1].groupBy("tile", "part")).applyInArrow(_asked_only(lambda _, a, b: second(a, b)), f"{STATE}, seen bigint")
+    left, right = sides(asked)
+    one = kept(left.cogroup(right).applyInArrow(_asked_only(first), FIRST))
+    left, right = sides(one.select("input_id", "v", "u", "bound", F.explode("others").alias("tile")))
+    two = left.cogroup(right).applyInArrow(_asked_only(second), f"{STATE}, seen bigint")
     state = ["input_id", "ids", "far"]
     alone = F.size("others") == 0
     states = one.where(alone).select(*state).unionByName(merge_states(one.where(~alone).select(*state).unionByName(two.select(*state)), k))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import operators as ops
 from .functions import optimal_stripes
 from .plans import candidate_rows
+from .plans.stored import open_candidates, store_candidates, stored_join
 from .plans.tiles import stripe_stats
 from .sources import THIN_DIGITS, load_points, read_points, scratch, write_metrics, write_neighbours, write_points, write_stripes
 
@@ -119,6 +120,19 @@ _add("aknn_merge_of_parts", _merged, _knn_sql("events", 10))
 _add("aknn_states_of_pairs", lambda spark, d: ops.ranked(ops.nearest_states(candidate_rows("brute", *sets(spark, d, "emb"), 10), 10)), _knn_sql("emb", 10))
 
 
+def _stored(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two joins with candidates that are stored once: the points left and right of the middle."""
+    q, t = sets(spark, sf_dir, name)
+    path = scratch(spark)
+    store_candidates(t, path, 10)
+    stored = open_candidates(spark, path)
+    return stored_join(q.where("x < 0.5"), stored, 10).unionByName(stored_join(q.where("x >= 0.5"), stored, 10))
+
+
+for _set in ("events", "part_self"):
+    _add(f"aknn_stored_{_set}_k10", partial(_stored, _set), _knn_sql(_set, 10))
+
+
 def _perturbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     good = _join("supp_cust", 10, "stripes", spark, sf_dir)
     off = F.when((F.col("rnk") == 3) & (F.col("input_id") % 7 == 0), 1e-6).otherwise(0.0)
