@@ -197,7 +197,7 @@ def _read_back(spark: SparkSession, sf_dir: str, suffix: str) -> DataFrame:
 
 
 _TEXT = "CAST(printf('%.8f', x) AS DOUBLE) AS x, CAST(printf('%.8f', y) AS DOUBLE) AS y"
-for _suffix in ("txt", "bin", "parquet"):
+for _suffix in ("txt", "bin", "bins", "parquet"):
     _add(f"points_{_suffix}_read_back", partial(_read_back, suffix=f".{_suffix}"), f"SELECT id, {_TEXT if _suffix == 'txt' else 'x, y'} FROM ({_POINTS['part'][1]})")
 
 
