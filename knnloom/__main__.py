@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from .operators import FACTORS, generate_uniform, multiply, run_metrics, target_count
 from .plans import strategy_mask
-from .sources import DIGITS, THIN_DIGITS, load_points, read_points, result_name, write_metrics, write_neighbours, write_points
+from .sources import DIGITS, THIN_DIGITS, load_points, read_points, read_tokens, result_name, write_metrics, write_neighbours, write_points
 
 
 def _session(threads: int = 0, memory: int = 1024) -> SparkSession:
@@ -62,11 +62,13 @@ def join(argv: list[str]) -> None:
     a = p.parse_args(argv)
     if a.k < 1:
         p.error("K must be at least 1")
-    queries, training, seconds = load_points(_session(a.threads, a.memory), a.input, a.training)
+    spark = _session(a.threads, a.memory)
+    queries, training, seconds = load_points(spark, a.input, a.training)
+    places = None if a.input.endswith((".bin", ".bins", ".parquet")) else read_tokens(spark, a.input, place=True)  # lines in order of a text file
     print(f"loaded in {seconds:.3f} s")
 
     def save(name, result, took):
-        write_neighbours(result, f"{a.save}/{result_name(name, took)}", full=a.full)
+        write_neighbours(result, f"{a.save}/{result_name(name, took)}", full=a.full, places=places)
 
     options = {"stripes": a.stripes} if a.stripes else {}
     metrics = run_metrics(strategy_mask(a.mask), queries, training, a.k, a.accuracy, not a.no_compare, pad=not a.no_pad, save=save if a.save else None, **options).persist()

@@ -1,8 +1,8 @@
 """Point files: text, binary, Parquet.
 
-Text: ``id x y`` a line, separated by white space.  Binary: a count of 8 bytes,
+Text: ``id x y`` in turn, separated by white space of any kind (``tokens``).  Binary: a count of 8 bytes,
 then that many records of 24 bytes (id as uint64, x and y as float64), little
-endian.  Both are checked as they are read: a malformed line or a file whose
+endian.  Both are checked as they are read: a malformed token or a file whose
 length doesn't fit its count is an error.
 
 Binary parts (``.bins``): a folder of such files, written by the tasks, with a list
@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .stores import open_file, store_of
+from .tokens import read_tokens
+
 SCHEMA = "id bigint, x double, y double"
 #: Fixed values of the binary format.
 RECORD = np.dtype([("id", "<u8"), ("x", "<f8"), ("y", "<f8")])
@@ -41,18 +44,9 @@ class Split(InputPartition):
         self.path, self.first, self.count = path, first, count
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
-
-
-def _open(path: str):
-    store, inner = _store(path)
-    return store.open_input_file(inner)
-
-
 def _parts(path: str) -> list[tuple[str, int]] | None:
     """(path, records) of the parts of a folder; None for a file."""
-    store, inner = _store(path)
+    store, inner = store_of(path)
     if store.get_file_info(inner).type != fs.FileType.Directory:
         return None
     if store.get_file_info(f"{inner}/{LIST}").type != fs.FileType.File:
@@ -80,7 +74,7 @@ class BinaryPoints(DataSource):
 
 def _count(path: str) -> int:
     """The records of a file, by its header, if its length fits."""
-    with _open(path) as f:
+    with open_file(path) as f:
         size = f.size()
         count = HEADER.unpack(f.read(HEADER.size))[0] if size >= HEADER.size else -1
     if size != HEADER.size + RECORD.itemsize * count:
@@ -100,7 +94,7 @@ class BinaryPointsWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         store.create_dir(inner, recursive=True)
         parts: list[tuple[str, int]] = []
 
@@ -126,13 +120,13 @@ class BinaryPointsWriter(DataSourceArrowWriter):
         return Written(parts)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         store.create_dir(inner, recursive=True)
         with store.open_output_stream(f"{inner}/{LIST}") as f:
             f.write(json.dumps([p for m in messages if m for p in m.parts]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, inner = _store(self.path)
+        store, inner = store_of(self.path)
         for m in messages:
             for name, _ in m.parts if m else ():
                 store.delete_file(f"{inner}/{name}")
@@ -154,7 +148,7 @@ class BinaryPointsReader(DataSourceReader):
             return
         if split.first + split.count > _count(split.path):
             raise ValueError(f"{split.path}: fewer records than are listed")
-        with _open(split.path) as f:
+        with open_file(split.path) as f:
             f.seek(HEADER.size + split.first * RECORD.itemsize)
             left = split.count
             while left:
@@ -173,12 +167,7 @@ def read_points(spark: SparkSession, path: str, fmt: str | None = None) -> DataF
     if fmt in ("bin", "bins"):
         spark.dataSource.register(BinaryPoints)
         return spark.read.format("points_bin").load(path)
-    parts = F.split(F.trim(F.regexp_replace("value", "\\s+", " ")), " ")
-    rows = spark.read.text(path).where(F.trim(F.regexp_replace("value", "\\s+", " ")) != "").select("value", parts.alias("p"))
-    typed = rows.select("value", F.size("p").alias("n"), F.expr("try_cast(p[0] as bigint)").alias("id"), F.expr("try_cast(get(p, 1) as double)").alias("x"), F.expr("try_cast(get(p, 2) as double)").alias("y"))
-    good = (F.col("n") == 3) & F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
-    checked = F.when(good, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("malformed point: "), F.col("value"))).cast("bigint"))
-    return typed.select(checked.alias("id"), "x", "y")
+    return read_tokens(spark, path)
 
 
 def load_points(spark: SparkSession, queries: str, candidates: str) -> tuple[DataFrame, DataFrame, float]:
@@ -204,11 +193,11 @@ def _records(batch: pa.RecordBatch) -> np.ndarray:
 def _joined(parts: str, path: str) -> int:
     """Writes the records of a folder's parts to one file; how many they are."""
     listed = _parts(parts)
-    store, inner = _store(path)
+    store, inner = store_of(path)
     with store.open_output_stream(inner) as out:
         out.write(HEADER.pack(sum(n for _, n in listed)))
         for name, _ in listed:
-            with _open(name) as f:
+            with open_file(name) as f:
                 f.seek(HEADER.size)
                 while block := f.read(1 << 22):
                     out.write(block)
@@ -244,11 +233,11 @@ def write_points(points: DataFrame, path: str, fmt: str | None = None, digits: i
         spark = points.sparkSession
         spark.dataSource.register(BinaryPoints)
         parts = path if fmt == "bins" else f"{path}-{uuid.uuid4().hex}.bins"
-        store, inner = _store(path)
+        store, inner = store_of(path)
         if store.get_file_info(inner).type != fs.FileType.NotFound:
             raise ValueError(f"{path} is there already")
         points.select(*(F.col(c).cast(t) for c, t in (f.split() for f in SCHEMA.split(", ")))).write.format("points_bin").mode("append").save(parts)
         if fmt == "bin":
             _as_one_file(spark, parts, path)
-            store, inner = _store(parts)
+            store, inner = store_of(parts)
             store.delete_dir(inner)

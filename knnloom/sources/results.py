@@ -15,10 +15,15 @@ def result_name(prefix: str, seconds: float) -> str:
     return f"{prefix}_{time.strftime('%Y%m%d%H%M%S')}_{round(1000 * seconds)}"
 
 
-def write_neighbours(result: DataFrame, path: str, ordered: bool = True, full: bool = False) -> None:
-    """One text line a point, farthest neighbour first; by id if ``ordered``, with all digits if ``full``."""
+def write_neighbours(result: DataFrame, path: str, ordered: bool = True, full: bool = False, places: DataFrame | None = None) -> None:
+    """One text line a point, farthest neighbour first; by id if ``ordered``, with all digits if ``full``.
+
+    ``places`` (id, place), as ``read_tokens`` gives them, puts the lines in the order of the points' file.
+    """
     lines = result_lines(result, full)
-    (lines.orderBy("input_id") if ordered else lines).select("line").write.text(path)
+    if places is not None:
+        lines = lines.join(places.select(F.col("id").alias("input_id"), "place"), "input_id")
+    (lines.orderBy("place" if places is not None else "input_id") if ordered else lines).select("line").write.text(path)
 
 
 #: The headings of the metrics file.

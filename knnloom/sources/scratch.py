@@ -27,8 +27,25 @@ def scratch(spark: SparkSession, suffix: str = "") -> str:
     return path.toString()
 
 
+_KEPT: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table of its own in the shared folder, which cuts the lineage; it goes when the driver ends."""
+    """The rows as a Parquet table of its own in the shared folder, which cuts the lineage; it goes when the driver ends, or by ``drop_kept``."""
     path = scratch(df.sparkSession, ".parquet")
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_tables() -> int:
+    """How many tables ``kept`` has made that are still there."""
+    return len(_KEPT)
+
+
+def drop_kept(spark: SparkSession, first: int) -> None:
+    """Removes the tables from number ``first`` on, once nothing reads them."""
+    for path in _KEPT[first:]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _KEPT[first:]
