@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import heapq
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist_sq
@@ -73,14 +76,39 @@ def candidate_counts(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("input_id")).join(counts, "input_id", "left").select("input_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-#: Columns of the metrics of a run.  Spark sorts, spills and merges inside its stages, so sorting, windows, commits and
-#: the final sort have no figure of their own: these columns are null.
+#: Columns of the metrics of a run.  Sorting is what is done before the join's own action: boundaries, boxes and round one
+#: where it is a table; its tasks are the first pass, those of the action the second.  Commit is the time that ``save`` took,
+#: the final sort that of putting the result in order of point and rank.
 METRICS = (
     "strategy string, total_seconds double, sorting_seconds double, candidates_total bigint, candidates_least bigint, candidates_most bigint, candidates_mean double, stripes bigint, "
     "allocation_error boolean, pending_points bigint, first_pass_windows bigint, second_pass_windows bigint, commit_seconds double, final_sort_seconds double, differences bigint, first_ids string"
 )
 
 
+@dataclass
+class Timing:
+    seconds: float = 0.0
+    tasks: int = 0
+
+
+@contextmanager
+def _timed(spark: SparkSession, name: str) -> Iterator[Timing]:
+    """Measures what runs inside: seconds, and tasks that its jobs completed."""
+    out, context, group = Timing(), spark.sparkContext, f"knnloom-{uuid.uuid4().hex}"
+    context.setJobGroup(group, name)
+    began = time.perf_counter()
+    try:
+        yield out
+    finally:
+        out.seconds = time.perf_counter() - began
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(key, None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(s) for s in {s for j in jobs if j for s in j.stageIds}]
+    out.tasks = sum(s.numCompletedTasks for s in stages if s)
+
+
 def run_metrics(
     names: list[str], queries: DataFrame, candidates: DataFrame, k: int, accuracy: float = 1e-15, compare: bool = True, count: bool = True, pad: bool = False, save: Callable[[str, DataFrame, float], None] | None = None, **options: object,
 ) -> DataFrame:
@@ -88,7 +116,7 @@ def run_metrics(
 
     ``compare`` and ``count`` switch the comparison and the candidate counts,
     which run the plans once more; strategies of one's own have no such counts.
-    ``save`` gets each strategy's name, result and seconds.
+    Tasks are those that Spark's status tracker still knows.  ``save`` gets each strategy's name, result and seconds.
     """
     from ..functions import finite_points, optimal_stripes
     from ..plans import candidate_rows, compared, strategy
@@ -101,12 +129,16 @@ def run_metrics(
     spark, first, rows = queries.sparkSession, None, []
     stripes = options.get("stripes") or optimal_stripes(candidates.count(), k)
     for name in names:
-        began = time.perf_counter()
-        got = aknn_join(queries, candidates, k, name, pad, **options).persist()
-        got.count()
-        seconds = time.perf_counter() - began
-        if save:
-            save(name, got, seconds)
+        with _timed(spark, name) as sorting:
+            got = aknn_join(queries, candidates, k, name, pad, **options).persist()
+        with _timed(spark, name) as action:
+            got.count()
+        seconds = sorting.seconds + action.seconds
+        with _timed(spark, name) as commit:
+            if save:
+                save(name, got, seconds)
+        with _timed(spark, name) as ordering:
+            got.orderBy("input_id", "rnk").write.format("noop").mode("overwrite").save()
         points = finite_points(queries)
         ranked = candidate_rows(name, points, finite_points(candidates), k, **options) if count else None
         counts = candidate_counts(ranked, points) if ranked is not None else None
@@ -121,7 +153,7 @@ def run_metrics(
             off.unpersist()
         if got is not first:
             got.unpersist()
-        rows.append((name, seconds, None, *stats, None if name == "brute" else stripes, False, 0, None, None, None, None, different, ids))
+        rows.append((name, seconds, sorting.seconds, *stats, None if name == "brute" else stripes, False, 0, sorting.tasks, action.tasks, commit.seconds, ordering.seconds, different, ids))
     if first is not None:
         first.unpersist()
     return spark.createDataFrame(rows, METRICS)

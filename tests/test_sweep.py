@@ -130,3 +130,13 @@ def test_few_rows_are_shuffled(spark):
 def test_best_of_nothing():
     assert not len(best(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), 3))
     assert state_batch(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)).num_rows == 0
+
+
+def test_every_column_of_the_metrics_is_filled(spark, tmp_path):
+    q, t = frame(spark, RNG.random((50, 2))), frame(spark, RNG.random((300, 2)))
+    rows = {r["strategy"]: r.asDict() for r in run_metrics(["brute", "sweep", "grid"], q, t, 5, save=lambda name, result, seconds: result.write.parquet(str(tmp_path / name))).collect()}
+    for name, r in rows.items():
+        assert [c for c, v in r.items() if v is None] == (["stripes"] if name == "brute" else [])
+        assert r["total_seconds"] >= r["sorting_seconds"] >= 0 and r["commit_seconds"] > 0 and r["final_sort_seconds"] > 0 and r["second_pass_windows"] > 0
+    assert rows["brute"]["first_pass_windows"] == 0 and min(rows[s]["first_pass_windows"] for s in ("sweep", "grid")) > 0
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
