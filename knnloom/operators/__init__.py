@@ -1,6 +1,7 @@
 """Operators over points and over results of the join."""
 
 from .datasets import FACTORS, convert, generate_uniform, multiply, target_count
+from .intervals import overlap_join
 from .join import aknn_join, with_padding
 from .results import difference_ids, first_differences, merge, nested, positions, result_lines, top_k
 from .states import merge_states, nearest_states, ranked
@@ -8,5 +9,5 @@ from .statistics import candidate_counts, candidate_stats, dataset_counts, heap_
 
 __all__ = [
     "FACTORS", "aknn_join", "candidate_counts", "candidate_stats", "convert", "dataset_counts", "difference_ids", "first_differences", "generate_uniform", "heap_additions", "merge", "merge_states",
-    "multiply", "nearest_states", "nested", "positions", "ranked", "result_lines", "run_metrics", "target_count", "top_k", "with_padding",
+    "multiply", "nearest_states", "nested", "overlap_join", "positions", "ranked", "result_lines", "run_metrics", "target_count", "top_k", "with_padding",
 ]

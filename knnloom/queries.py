@@ -13,7 +13,7 @@ from .functions import optimal_stripes
 from .plans import candidate_rows
 from .plans.stored import open_candidates, store_candidates, stored_join
 from .plans.tiles import stripe_stats
-from .sources import THIN_DIGITS, load_points, read_points, scratch, write_metrics, write_neighbours, write_points, write_stripes
+from .sources import THIN_DIGITS, load_points, read_points, read_tokens, scratch, write_metrics, write_neighbours, write_points, write_stripes
 
 #: Point sets of the test tables: (Spark SQL, DuckDB SQL, table).
 _POINTS = {
@@ -176,6 +176,32 @@ _add("candidates_brute_stats", lambda spark, d: ops.candidate_stats(ops.candidat
 _add("candidates_per_point_stats", lambda spark, d: ops.candidate_stats(ops.candidate_counts(candidate_rows("grid", *sets(spark, d, "events"), 10), sets(spark, d, "events")[0])), None)
 _add("dataset_counts", lambda spark, d: ops.dataset_counts(*sets(spark, d, "events")), f"{_with('events')} SELECT (SELECT count(*) FROM q) AS n_input, (SELECT count(*) FROM t) AS n_training")
 
+_SPAN = "SELECT event_id, event_type, {0} AS s, {0} + value * 10e0 AS e FROM {1}"
+_SECONDS = ("CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) AS DOUBLE) / 1e6", "CAST(epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00') AS DOUBLE) / 1e6")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("knnloom_events")
+    return spark.sql(_SPAN.format(_SECONDS[0], "knnloom_events"))
+
+
+def _span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and views, each lasting ten seconds for a unit of value, that go on at the same time."""
+    side = lambda kind, name: _spans(spark, sf_dir).where(f"event_type = '{kind}'").select(F.col("event_id").alias(name), F.col("s").alias(f"{name}_s"), F.col("e").alias(f"{name}_e"))
+    return ops.overlap_join(side("purchase", "a"), side("view", "b"), ("a_s", "a_e"), ("b_s", "b_e")).select("a", "b")
+
+
+def _points_in_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point with the stripes whose extent [min_y, max_y) holds it."""
+    q, t = sets(spark, sf_dir, "events")
+    stripes = stripe_stats(q, t, 10).select("stripe", "min_y", "max_y")
+    return ops.overlap_join(q.select("id", "y", F.col("y").alias("same")), stripes, ("y", "same"), ("min_y", "max_y")).select("id", "stripe")
+
+
+_add("interval_pairs", _span_pairs, f"""WITH e AS ({_SPAN.format(_SECONDS[1], "events")}), a AS (SELECT * FROM e WHERE event_type = 'purchase'), b AS (SELECT * FROM e WHERE event_type = 'view')
+SELECT a.event_id AS a, b.event_id AS b FROM a JOIN b ON a.s < b.e AND b.s < a.e WHERE a.s < a.e AND b.s < b.e""")
+_add("points_in_stripes", _points_in_stripes, f"{_with('events')}, s AS ({ORACLE_SQL['stripe_stats_training']}) SELECT q.id, s.stripe FROM q JOIN s ON q.y >= s.min_y AND (q.y < s.max_y OR q.y = s.min_y AND s.min_y = s.max_y)")
+
 _RANKED = f"WITH p AS (SELECT id, x, y, row_number() OVER (ORDER BY id) - 1 AS place FROM ({_POINTS['part'][1]}))"
 _CORNERS = "(VALUES (1, 0e0, 0e0), (2, 0e0, 0.5e0), (3, 0.5e0, 0e0), (4, 0.5e0, 0.5e0)) c(i, dx, dy)"
 for _name, _factor, _sql in [
@@ -201,6 +227,30 @@ for _suffix in ("txt", "bin", "bins", "parquet"):
     _add(f"points_{_suffix}_read_back", partial(_read_back, suffix=f".{_suffix}"), f"SELECT id, {_TEXT if _suffix == 'txt' else 'x, y'} FROM ({_POINTS['part'][1]})")
 
 
+def _token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose tokens go over line ends, several points in a line."""
+    path = scratch(spark, ".txt")
+    points(spark, sf_dir, "part").select(F.format_string("%d \t%.8f\n\n %.8f", "id", "x", "y").alias("value")).write.option("lineSep", "\t").text(path)
+    return read_points(spark, path)
+
+
+_add("points_tokens_read_back", _token_stream, f"SELECT id, {_TEXT} FROM ({_POINTS['part'][1]})")
+
+
+def _in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of neighbours by the place of their point in a file that is in order of x; the id of each line's point."""
+    path, out = scratch(spark, ".txt"), scratch(spark)
+    q, t = sets(spark, sf_dir, "supp_cust")
+    write_points(q.orderBy("x", "id"), path)
+    places = read_tokens(spark, path, place=True)
+    write_neighbours(ops.aknn_join(q, t, 10, "sweep"), out, places=places)
+    lines = spark.read.text(out).select(F.split("value", "\t")[0].cast("bigint").alias("id"), F.col("value").alias("line"))
+    return lines.join(places, "id").select("place", "line")
+
+
+_add("neighbour_file_in_file_order", _in_file_order, f"SELECT row_number() OVER (ORDER BY q.x, q.id) - 1 AS place, line FROM ({_knn_sql('supp_cust', 10, tail=_LINES.format('knn'))}) JOIN ({_with('supp_cust')} SELECT * FROM q) q ON q.id = input_id")
+
+
 def _thinned_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, ".txt")
     write_points(ops.multiply(points(spark, sf_dir, "part"), -1), path, digits=THIN_DIGITS)
