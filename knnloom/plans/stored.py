@@ -48,12 +48,16 @@ def band_of(stripe: np.ndarray, stripes: int, bands: int) -> np.ndarray:
     return (stripe.astype(np.int64) * bands // stripes).astype(np.int32)
 
 
-def store_candidates(candidates: DataFrame, path: str, k: int, stripes: int | None = None, bands: int = BANDS, buckets: int | None = None) -> None:
-    """Writes (id, x, y) as tiles below ``path``, for joins of up to k neighbours."""
+def store_candidates(candidates: DataFrame, path: str, k: int, stripes: int | None = None, bands: int = BANDS, buckets: int | None = None, sketched: DataFrame | None = None) -> None:
+    """Writes (id, x, y) as tiles below ``path``, for joins of up to k neighbours.
+
+    ``sketched``: stored sketches of y, of the candidates or of other points that
+    lie alike; they cut the stripes without a pass over the candidates.
+    """
     t = finite_points(candidates)
     n = t.count()
     spark = candidates.sparkSession
-    tiles = cut(t, k, n, stripes) if n else None
+    tiles = cut(t, k, n, stripes, sketched) if n else None
     many = len(tiles.grid.blocks) if n else 1
     bands, buckets = min(bands, many), buckets or max(1, min(BUCKETS, -(-n // TASK_ROWS)))
     about = spark.createDataFrame([(n, k, buckets, bands, many)], "n bigint, k int, buckets int, bands int, stripes int")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from ..functions import optimal_stripes
+from ..operators.sketches import boundaries
 from ..operators.states import STATE, best, lists, merge_states, ranked
 from ..sources.scratch import kept
 from .tiles import CROWDED, FEWEST, MAX_BLOCKS, Boxes, Grid, _boxes, _located, _ranges as ranges, build_grid
@@ -144,12 +145,12 @@ class Tiles:
     rows: DataFrame
 
 
-def cut(candidates: DataFrame, k: int, n: int, stripes: int | None = None) -> Tiles:
-    """The tiles of n candidates (id, x, y), n > 0."""
+def cut(candidates: DataFrame, k: int, n: int, stripes: int | None = None, sketched: DataFrame | None = None) -> Tiles:
+    """The tiles of n candidates (id, x, y), n > 0; stripes are cut by sketches of y where there are some."""
     t = _points(candidates)
     rows = max(TILE_ROWS, FEWEST * k, n // MAX_BLOCKS)
     stripes = max(1, min(stripes or optimal_stripes(n, k) // HEIGHT, n, MAX_BLOCKS))
-    grid = build_grid(t, stripes, max(1, math.ceil(n / rows / stripes)))
+    grid = build_grid(t, stripes, max(1, math.ceil(n / rows / stripes)), None if sketched is None else boundaries(sketched, stripes))
     training = _located(t, grid)
     boxes = _boxes(training)
     if boxes.count.max() > CROWDED * rows:  # of candidates at one location only the k smallest ids count

@@ -85,9 +85,9 @@ def _located(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumn("at", udf("v", "u")).select("id", "v", "u", "at.stripe", "at.block")
 
 
-def build_grid(basis: DataFrame, stripes: int, blocks_in_stripe: int) -> Grid:
-    """Boundaries from the points of ``basis`` (id, v, u)."""
-    outer = quantiles(basis, "v", stripes)
+def build_grid(basis: DataFrame, stripes: int, blocks_in_stripe: int, outer: np.ndarray | None = None) -> Grid:
+    """Boundaries from the points of ``basis`` (id, v, u); those of the stripes may be given."""
+    outer = quantiles(basis, "v", stripes) if outer is None else outer
     plain = Grid(outer, [np.empty(0)] * (len(outer) + 1))
     if blocks_in_stripe < 2:
         return plain

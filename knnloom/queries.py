@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import operators as ops
 from .functions import optimal_stripes
+from .operators.sketches import rank_error
 from .plans import candidate_rows
 from .plans.stored import open_candidates, store_candidates, stored_join
 from .plans.tiles import stripe_stats
@@ -133,6 +134,27 @@ for _set in ("events", "part_self"):
     _add(f"aknn_stored_{_set}_k10", partial(_stored, _set), _knn_sql(_set, 10))
 
 
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join whose stripes are cut by stored sketches, made for each day and merged; the sketches' points are the queries'."""
+    q, t = sets(spark, sf_dir, "events")
+    path, store = scratch(spark, ".parquet"), scratch(spark)
+    ops.sketches(q, by=F.floor(F.col("y") * 30).cast("string")).write.parquet(path)
+    store_candidates(t, store, 10, sketched=spark.read.parquet(path))
+    return stored_join(q, open_candidates(spark, store), 10)
+
+
+def _sketch_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the stripes that sketches cut, and whether each has its share to within twice the sketch's error."""
+    t = sets(spark, sf_dir, "events")[1]
+    n = t.count()
+    depths = ops.stripe_depths(t, ops.boundaries(ops.sketches(t, by=F.floor(F.col("x") * 10).cast("string")), 20))
+    return depths.agg(F.count("*").alias("stripes"), F.sum("n").cast("bigint").alias("n"), F.min(F.abs(F.col("n") - n / 20) <= 2 * rank_error() * n + 1).alias("within"))
+
+
+_add("aknn_sketched_events_k10", _sketched, _knn_sql("events", 10))
+_add("sketch_stripe_depths", _sketch_depths, f"{_with('events')} SELECT CAST(20 AS BIGINT) AS stripes, count(*) AS n, true AS within FROM t")
+
+
 def _perturbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     good = _join("supp_cust", 10, "stripes", spark, sf_dir)
     off = F.when((F.col("rnk") == 3) & (F.col("input_id") % 7 == 0), 1e-6).otherwise(0.0)
