@@ -22,7 +22,7 @@ import hashlib
 import re
 import struct
 import zlib
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -52,9 +52,35 @@ class Value:
         self.raw, self.view = raw, memoryview(raw)
         self.at: dict[bytes, list[int]] = {}
         self.streams: dict[int, int | None] = {}  # ends of deflate streams by their start
+        self.walks: dict[str, dict[int, int | None]] = {}
         for end, magic in automaton().iter(raw.decode("latin-1")):
             self.at.setdefault(magic, []).append(end + 1 - len(magic))
 
+    def walked(self, kind: str, k: int, step: Callable[[int], tuple[int | None, bool]]) -> int | None:
+        """Where the walk from a place ends, by steps to (next place, False) or (end or None, True).
+
+        Each place is walked on from once, whichever head comes to it.
+        """
+        known, seen = self.walks.setdefault(kind, {}), []
+        while k not in known:
+            seen.append(k)
+            then, over = step(k)
+            if over:
+                known[k] = then
+                break
+            k = then
+        end = known[k]
+        known.update(dict.fromkeys(seen, end))
+        return end
+
+    @cached_property
+    def marks(self) -> list[int]:
+        """Places of JPEG markers that end entropy-coded data: no stuffing, fill or restart."""
+        b = np.frombuffer(self.raw, np.uint8)
+        at = np.flatnonzero(b[:-1] == 255)
+        after = b[at + 1]
+        return at[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))].tolist()
+
     @cached_property
     def zeros(self) -> np.ndarray:
         """Places of the zero bytes."""
@@ -101,61 +127,66 @@ def _riff(v: Value, at: int, form: bytes, need: tuple[bytes, ...]) -> int | None
 
 
 def _png(v: Value, at: int) -> int | None:
-    b, k, first = v.raw, at + 8, True
-    while k + 12 <= len(b):
+    b = v.raw
+
+    def chunk(k: int) -> tuple[int | None, bool]:
+        if k + 12 > len(b):
+            return None, True
         n, kind = struct.unpack_from(">I4s", b, k)
-        if k + 12 + n > len(b) or (first and kind != b"IHDR") or zlib.crc32(v.view[k + 4 : k + 8 + n]) != struct.unpack_from(">I", b, k + 8 + n)[0]:
-            return None
-        k, first = k + 12 + n, False
-        if kind == b"IEND":
-            return k - at
-    return None
+        if k + 12 + n > len(b) or zlib.crc32(v.view[k + 4 : k + 8 + n]) != struct.unpack_from(">I", b, k + 8 + n)[0]:
+            return None, True
+        return k + 12 + n, kind == b"IEND"
+
+    if b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return None
+    end = v.walked("png", at + 8, chunk)
+    return None if end is None else end - at
 
 
 def _gif(v: Value, at: int) -> int | None:
     b = v.raw
 
-    def blocks(k: int) -> int:
-        while k < len(b) and b[k]:
-            k += 1 + b[k]
-        return k + 1
+    def block(k: int) -> tuple[int | None, bool]:
+        return (k + 1, True) if k >= len(b) or not b[k] else (k + 1 + b[k], False)
+
+    def part(k: int) -> tuple[int | None, bool]:
+        if k < len(b) and b[k] == 0x3B:
+            return k + 1, True
+        if k < len(b) and b[k] == 0x21:
+            return v.walked("gif blocks", k + 2, block), False
+        if k + 10 <= len(b) and b[k] == 0x2C:
+            f = b[k + 9]
+            return v.walked("gif blocks", k + 11 + (3 << ((f & 7) + 1) if f & 128 else 0), block), False
+        return None, True
 
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
-    k = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
-    while k < len(b):
-        if b[k] == 0x3B:
-            return k + 1 - at
-        if b[k] == 0x21:
-            k = blocks(k + 2)
-        elif b[k] == 0x2C and k + 10 <= len(b):
-            f = b[k + 9]
-            k = blocks(k + 11 + (3 << ((f & 7) + 1) if f & 128 else 0))
-        else:
-            return None
-    return None
+    end = v.walked("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0), part)
+    return None if end is None else end - at
 
 
 def _jpeg(v: Value, at: int) -> int | None:
-    b, k = v.raw, at + 2
-    while k + 4 <= len(b) and b[k] == 255:
+    b = v.raw
+
+    def segment(k: int) -> tuple[int | None, bool]:
+        if k + 4 > len(b) or b[k] != 255:
+            return None, True
         kind = b[k + 1]
         if kind == 255:  # a fill byte
-            k += 1
-            continue
+            return k + 1, False
         if kind in (0xD8, 0xD9, 0):
-            return None
+            return None, True
         k += 2 + struct.unpack_from(">H", b, k + 2)[0]
-        if kind == 0xDA:  # entropy-coded data up to a marker that isn't stuffing or a restart
-            k = b.find(b"\xff", k)
-            while k >= 0 and k + 1 < len(b) and (b[k + 1] in (0, 255) or 0xD0 <= b[k + 1] <= 0xD7):
-                k = b.find(b"\xff", k + (1 if b[k + 1] == 255 else 2))
-            if k < 0 or k + 1 >= len(b):
-                return None
-            if b[k + 1] == 0xD9:
-                return k + 2 - at
-    return None
+        if kind != 0xDA:
+            return k, False
+        i = bisect_left(v.marks, k)  # entropy-coded data up to a marker that isn't stuffing or a restart
+        if i == len(v.marks):
+            return None, True
+        return (v.marks[i] + 2, True) if b[v.marks[i] + 1] == 0xD9 else (v.marks[i], False)
+
+    end = v.walked("jpeg", at + 2, segment)
+    return None if end is None else end - at
 
 
 def _bmp(v: Value, at: int) -> int | None:

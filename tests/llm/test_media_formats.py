@@ -7,6 +7,7 @@ import time
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
 from knnloom.llm import media
@@ -86,3 +87,78 @@ def test_features_of_samples():
         assert kind == "wav" and int(numbers[2]) == crossings
         assert [float(numbers[k]) for k in (0, 1, 3)] == pytest.approx([mean, spread, -sum(p * math.log2(p) for p in share)], abs=1e-4)
         assert inner.count("png@") == (3 if text.startswith(b"\x89PNG") else 0)
+
+
+CHAINS = {
+    "gif": b"GIF89a" + b"!" * 7 + b"!a" + b"\x60" + b"a" * 30,  # valid UTF-8: each head's blocks go on over the next heads
+    "jpeg": b"\xff\xd8\xff\xe0\x00\x02",
+    "jpeg scan": b"\xff\xd8\xff\xda\x00\x02\xff\x00\xff\xd0",
+    "png": b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\x0dIHDR" + b"\x00" * 13 + struct.pack(">I", zlib.crc32(b"IHDR" + b"\x00" * 13)),
+    "png of one chunk": b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x10\x00IHDR",
+}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_chains_of_heads_take_linear_time(name):
+    took = []
+    for n in (4000, 16_000):
+        value = CHAINS[name] * n
+        began = time.process_time()
+        media.sniff(value)
+        took.append(time.process_time() - began)
+    assert took[1] < 5 * took[0] + 0.3
+
+
+def test_walks_equal_plain_ones():
+    """Random structures against walks that start anew at each head."""
+
+    def gif(b, at):
+        def blocks(k):
+            while k < len(b) and b[k]:
+                k += 1 + b[k]
+            return k + 1
+
+        if at + 13 > len(b):
+            return None
+        k = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 128 else 0)
+        while k < len(b):
+            if b[k] == 0x3B:
+                return k + 1 - at
+            if b[k] == 0x21:
+                k = blocks(k + 2)
+            elif b[k] == 0x2C and k + 10 <= len(b):
+                k = blocks(k + 11 + (3 << ((b[k + 9] & 7) + 1) if b[k + 9] & 128 else 0))
+            else:
+                return None
+        return None
+
+    def jpeg(b, at):
+        k = at + 2
+        while k + 4 <= len(b) and b[k] == 255:
+            kind = b[k + 1]
+            if kind == 255:
+                k += 1
+                continue
+            if kind in (0xD8, 0xD9, 0):
+                return None
+            k += 2 + struct.unpack_from(">H", b, k + 2)[0]
+            if kind == 0xDA:
+                while k + 1 < len(b) and (b[k] != 255 or b[k + 1] in (0, 255) or 0xD0 <= b[k + 1] <= 0xD7):
+                    k += 1
+                if k + 1 >= len(b):
+                    return None
+                if b[k + 1] == 0xD9:
+                    return k + 2 - at
+        return None
+
+    rng = np.random.default_rng(8)
+    hits = 0
+    for _ in range(3000):
+        b = bytes(rng.choice([0, 1, 2, 3, 0x21, 0x2C, 0x3B, 255, 255, 0xD0, 0xD8, 0xD9, 0xDA, 0xE0], 120).astype(np.uint8))
+        v = media.Value(b)
+        for at in rng.permutation(100)[:40].tolist():
+            for made, plain in ((media._gif, gif), (media._jpeg, jpeg)):
+                got = made(v, at)
+                assert got == plain(b, at)
+                hits += got is not None
+    assert hits > 100
