@@ -120,20 +120,55 @@ class Ends:
         return lists(block[order], np.bincount(owner, minlength=len(v)), pa.int32())
 
 
+def first_round(ends: Ends, k: int) -> Callable[..., pa.Table]:
+    """Sweeps a tile's own points: their states, bounds and the other tiles in reach."""
+
+    def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, v, u = _columns(left, "input_id", "v", "u")
+        cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
+        owner, far, near, seen = swept(u, v, np.full(len(ids), np.inf), cu, cv, cid, k)
+        sizes = np.bincount(owner, minlength=len(ids))
+        kth = np.full(len(ids), np.nan)
+        whole = sizes == k
+        kth[whole] = far[np.cumsum(sizes)[whole] - 1]
+        bound = ends.bound(key[0].as_py(), v, u, kth)
+        columns = [pa.array(ids), pa.array(v), pa.array(u), pa.array(bound, from_pandas=True), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen), ends.others(key[0].as_py(), v, u, bound)]
+        return pa.table(columns, names=[f.split()[0] for f in FIRST.split(", ")])
+
+    return first
+
+
+def second_round(k: int) -> Callable[..., pa.Table]:
+    """Sweeps a tile for points of other tiles, within their bounds: states."""
+
+    def second(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, v, u = _columns(left, "input_id", "v", "u")
+        limit = left["bound"].cast(pa.float64()).to_numpy()
+        cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
+        owner, far, near, seen = swept(u, v, np.where(np.isnan(limit), np.inf, limit), cu, cv, cid, k)
+        sizes = np.bincount(owner, minlength=len(ids))
+        return pa.table([pa.array(ids), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen)], names=["input_id", "ids", "far", "seen"])
+
+    return second
+
+
 def dealt(points: DataFrame, training: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides in groups by (tile, part), in that many tasks; parts are more than one where a tile has too many points."""
+    """Both sides by (tile, part) in that many tasks."""
+    return tuple(s.repartition(tasks, "tile", "part") for s in parted(points, training))
+
+
+def parted(points: DataFrame, training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part; parts are more than one where a tile has too many points."""
     hot = points.groupBy("tile").count().where(F.col("count") > MOST_POINTS).collect()  # tiles at most
     if not hot:
-        sides = points.withColumn("part", F.lit(0)), training.withColumn("part", F.lit(0))
-    else:
-        spark = points.sparkSession
-        parts = F.broadcast(spark.createDataFrame([(r["tile"], -(-r["count"] // MOST_POINTS)) for r in hot], "tile int, parts int"))
-        count = F.coalesce("parts", F.lit(1))
-        sides = (
-            points.join(parts, "tile", "left").withColumn("part", F.pmod(F.xxhash64("input_id"), count).cast("int")).drop("parts"),
-            training.join(parts, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts"),
-        )
-    return tuple(s.repartition(tasks, "tile", "part") for s in sides)
+        return points.withColumn("part", F.lit(0)), training.withColumn("part", F.lit(0))
+    spark = points.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(r["tile"], -(-r["count"] // MOST_POINTS)) for r in hot], "tile int, parts int"))
+    count = F.coalesce("parts", F.lit(1))
+    return (
+        points.join(parts, "tile", "left").withColumn("part", F.pmod(F.xxhash64("input_id"), count).cast("int")).drop("parts"),
+        training.join(parts, "tile", "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts"),
+    )
 
 
 @dataclass
@@ -175,36 +210,20 @@ def sweep_states(queries: DataFrame, candidates: DataFrame, k: int, stripes: int
     return rounds(queries, tiles, k, lambda points: tuple(s.groupBy("tile", "part") for s in dealt(points, tiles.rows.drop("stripe"), tasks)))
 
 
-def rounds(queries: DataFrame, tiles: Tiles, k: int, sides: Callable[[DataFrame], tuple[GroupedData, GroupedData]]) -> tuple[DataFrame, DataFrame]:
-    """Both rounds; ``sides`` groups points (tile, input_id, ...) and the candidates of their tiles alike, by tile first."""
-    ends, filled, grid = Ends(tiles.boxes, k), tiles.boxes.block, tiles.grid
+def at_home(points: DataFrame, tiles: Tiles) -> DataFrame:
+    """(tile, input_id, v, u): points (id, x, y) in their tiles, or the next where those have no candidates."""
+    filled = tiles.boxes.block
     home = F.arrow_udf(lambda b: pa.array(filled[np.minimum(np.searchsorted(filled, b.to_numpy(zero_copy_only=False)), len(filled) - 1)].astype(np.int32)), "int")
-    asked = _located(_points(queries), grid).select(home("block").alias("tile"), F.col("id").alias("input_id"), "v", "u")
+    return _located(_points(points), tiles.grid).select(home("block").alias("tile"), F.col("id").alias("input_id"), "v", "u")
 
-    def first(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, v, u = _columns(left, "input_id", "v", "u")
-        cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
-        owner, far, near, seen = swept(u, v, np.full(len(ids), np.inf), cu, cv, cid, k)
-        sizes = np.bincount(owner, minlength=len(ids))
-        kth = np.full(len(ids), np.nan)
-        whole = sizes == k
-        kth[whole] = far[np.cumsum(sizes)[whole] - 1]
-        bound = ends.bound(key[0].as_py(), v, u, kth)
-        columns = [pa.array(ids), pa.array(v), pa.array(u), pa.array(bound, from_pandas=True), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen), ends.others(key[0].as_py(), v, u, bound)]
-        return pa.table(columns, names=[f.split()[0] for f in FIRST.split(", ")])
-
-    def second(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, v, u = _columns(left, "input_id", "v", "u")
-        limit = left["bound"].cast(pa.float64()).to_numpy()
-        cv, cu, cid = _columns(right, "tv", "tu", "neighbor_id")
-        owner, far, near, seen = swept(u, v, np.where(np.isnan(limit), np.inf, limit), cu, cv, cid, k)
-        sizes = np.bincount(owner, minlength=len(ids))
-        return pa.table([pa.array(ids), lists(near, sizes, pa.int64()), lists(far, sizes, pa.float64()), pa.array(seen)], names=["input_id", "ids", "far", "seen"])
 
+def rounds(queries: DataFrame, tiles: Tiles, k: int, sides: Callable[[DataFrame], tuple[GroupedData, GroupedData]]) -> tuple[DataFrame, DataFrame]:
+    """Both rounds; ``sides`` groups points (tile, input_id, ...) and the candidates of their tiles alike, by tile first."""
+    ends, asked = Ends(tiles.boxes, k), at_home(queries, tiles)
     left, right = sides(asked)
-    one = kept(left.cogroup(right).applyInArrow(_asked_only(first), FIRST))
+    one = kept(left.cogroup(right).applyInArrow(_asked_only(first_round(ends, k)), FIRST))
     left, right = sides(one.select("input_id", "v", "u", "bound", F.explode("others").alias("tile")))
-    two = left.cogroup(right).applyInArrow(_asked_only(second), f"{STATE}, seen bigint")
+    two = left.cogroup(right).applyInArrow(_asked_only(second_round(k)), f"{STATE}, seen bigint")
     state = ["input_id", "ids", "far"]
     alone = F.size("others") == 0
     states = one.where(alone).select(*state).unionByName(merge_states(one.where(~alone).select(*state).unionByName(two.select(*state)), k))

@@ -13,6 +13,7 @@ from .functions import optimal_stripes
 from .operators.sketches import rank_error
 from .plans import candidate_rows
 from .plans.stored import open_candidates, store_candidates, stored_join
+from .plans.table_function import create_aknn
 from .plans.tiles import stripe_stats
 from .sources import THIN_DIGITS, load_points, read_points, read_tokens, scratch, write_metrics, write_neighbours, write_points, write_stripes
 
@@ -134,6 +135,23 @@ for _set in ("events", "part_self"):
     _add(f"aknn_stored_{_set}_k10", partial(_stored, _set), _knn_sql(_set, 10))
 
 
+def _sql_function(name: str, k: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join in SQL, by a table function that was made for more neighbours."""
+    create_aknn(spark, *sets(spark, sf_dir, name), 2 * k, f"aknn_{name}")
+    return spark.sql(f"SELECT * FROM aknn_{name}({k})")
+
+
+def _sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over the function: views that are the nearest of most purchases."""
+    create_aknn(spark, *sets(spark, sf_dir, "events"), 10)
+    return spark.sql("SELECT neighbor_id, count(*) AS n, min(dist_sq) AS nearest FROM aknn(5) GROUP BY neighbor_id HAVING count(*) > 1")
+
+
+for _set in ("events", "part_self"):
+    _add(f"aknn_sql_{_set}_k10", partial(_sql_function, _set, 10), _knn_sql(_set, 10))
+_add("aknn_sql_views", _sql_views, _knn_sql("events", 5, tail="SELECT neighbor_id, count(*) AS n, min(dist_sq) AS nearest FROM knn GROUP BY neighbor_id HAVING count(*) > 1"))
+
+
 def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join whose stripes are cut by stored sketches, made for each day and merged; the sketches' points are the queries'."""
     q, t = sets(spark, sf_dir, "events")
