@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
+from . import streaming
 from .functions import optimal_stripes
 from .operators.sketches import rank_error
 from .plans import candidate_rows
@@ -152,6 +153,20 @@ for _set in ("events", "part_self"):
 _add("aknn_sql_views", _sql_views, _knn_sql("events", 5, tail="SELECT neighbor_id, count(*) AS n, min(dist_sq) AS nearest FROM knn GROUP BY neighbor_id HAVING count(*) > 1"))
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the candidates are known at first, the others arrive in three batches."""
+    q, t = sets(spark, sf_dir, "events")
+    seeds, arrived, changes = (scratch(spark) for _ in range(3))
+    streaming.prepare(q, t.where("id % 5 = 0"), 10, seeds)
+    t.where("id % 5 > 0").repartition(3).write.parquet(arrived)
+    rows = spark.readStream.schema("id bigint, x double, y double").option("maxFilesPerTrigger", 1).parquet(arrived)
+    streaming.start(streaming.updates(spark, seeds, rows), lambda df, batch: df.write.mode("overwrite").parquet(f"{changes}/batch={batch}"), scratch(spark)).awaitTermination()
+    return streaming.current(spark, seeds, spark.read.parquet(changes))
+
+
+_add("aknn_stream_events_k10", _stream, _knn_sql("events", 10))
+
+
 def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join whose stripes are cut by stored sketches, made for each day and merged; the sketches' points are the queries'."""
     q, t = sets(spark, sf_dir, "events")

@@ -1,5 +1,6 @@
-"""Nearest neighbours of a stream of points among static candidates."""
+"""Structured Streaming forms of the join."""
 
 from .lookup import stream_aknn
+from .nearest import current, prepare, start, updates
 
-__all__ = ["stream_aknn"]
+__all__ = ["current", "prepare", "start", "stream_aknn", "updates"]
