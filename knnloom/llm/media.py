@@ -53,6 +53,7 @@ class Value:
         self.at: dict[bytes, list[int]] = {}
         self.streams: dict[int, int | None] = {}  # ends of deflate streams by their start
         self.walks: dict[str, dict[int, int | None]] = {}
+        self.chunks: dict[int, tuple[int, int, int, int, int]] = {}
         for end, magic in automaton().iter(raw.decode("latin-1")):
             self.at.setdefault(magic, []).append(end + 1 - len(magic))
 
@@ -73,6 +74,32 @@ class Value:
         known.update(dict.fromkeys(seen, end))
         return end
 
+    def _chain(self, k: int) -> None:
+        """Notes the RIFF chunks from a place on: next, a far jump, how many follow, kind, and kinds up to the jump."""
+        b, known, path = self.raw, self.chunks, []
+        while k not in known and k + 8 <= len(b):
+            path.append(k)
+            n = int.from_bytes(b[k + 4 : k + 8], "little")
+            k += 8 + n + (n & 1)
+        known.setdefault(k, (k, k, 0, 0, 0))
+        for place in reversed(path):
+            _, jump, after, _, kinds = known[k]
+            _, far, there, _, more = known[jump]
+            kind = _CHUNKS.get(b[place : place + 4], 0)
+            # jumps of equal length are joined, so that a walk takes the logarithm of its chunks
+            known[place] = (k, far, after + 1, kind, kind | kinds | more) if after - there == there - known[far][2] else (k, k, after + 1, kind, kind)
+            k = place
+
+    def chunks_before(self, k: int, end: int) -> tuple[int, int]:
+        """Where the RIFF chunks from a place on, as far as they begin before the end, lead to; and their kinds."""
+        seen = 0
+        if k + 8 <= end:
+            self._chain(k)
+        while k + 8 <= end:
+            after, jump, _, kind, kinds = self.chunks[k]
+            k, seen = (jump, seen | kinds) if jump + 8 <= end and jump > k else (after, seen | kind)
+        return k, seen
+
     @cached_property
     def marks(self) -> list[int]:
         """Places of JPEG markers that end entropy-coded data: no stuffing, fill or restart."""
@@ -111,19 +138,19 @@ class Value:
         return out
 
 
-def _riff(v: Value, at: int, form: bytes, need: tuple[bytes, ...]) -> int | None:
+#: Kinds of RIFF chunks that a form can need.
+_CHUNKS = {b"data": 1, b"VP8 ": 2, b"VP8L": 2, b"VP8X": 2}
+
+
+def _riff(v: Value, at: int, form: bytes, need: int) -> int | None:
     b = v.raw
     if at + 12 > len(b) or b[at + 8 : at + 12] != form:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return None
-    seen, k = set(), at + 12
-    while k + 8 <= end:
-        seen.add(b[k : k + 4])
-        n = struct.unpack_from("<I", b, k + 4)[0]
-        k += 8 + n + (n & 1)
-    return end - at if k in (end, end + 1) and (not need or seen & set(need)) else None
+    k, seen = v.chunks_before(at + 12, end)
+    return end - at if k in (end, end + 1) and (not need or seen & need) else None
 
 
 def _png(v: Value, at: int) -> int | None:
@@ -258,7 +285,7 @@ CHUNK = 1 << 16
 PDF, PDF_REFERENCE, PDF_END, ZIP_END = b"%PDF-", b"startxref", b"%%EOF", b"PK\x05\x06"
 #: The magic bytes of each format.
 MAGIC: dict[bytes, list[tuple[str, Callable[[Value, int], int | None]]]] = {
-    b"RIFF": [("wav", lambda v, at: _riff(v, at, b"WAVE", (b"data",))), ("webp", lambda v, at: _riff(v, at, b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"))), ("avi", lambda v, at: _riff(v, at, b"AVI ", ()))],
+    b"RIFF": [("wav", lambda v, at: _riff(v, at, b"WAVE", 1)), ("webp", lambda v, at: _riff(v, at, b"WEBP", 2)), ("avi", lambda v, at: _riff(v, at, b"AVI ", 0))],
     b"\x89PNG\r\n\x1a\n": [("png", _png)],
     b"GIF87a": [("gif", _gif)],
     b"GIF89a": [("gif", _gif)],

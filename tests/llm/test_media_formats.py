@@ -94,6 +94,7 @@ CHAINS = {
     "jpeg": b"\xff\xd8\xff\xe0\x00\x02",
     "jpeg scan": b"\xff\xd8\xff\xda\x00\x02\xff\x00\xff\xd0",
     "png": b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\x0dIHDR" + b"\x00" * 13 + struct.pack(">I", zlib.crc32(b"IHDR" + b"\x00" * 13)),
+    "riff": b"RIFF\x10\x27\x00\x00AVI LIST\x04\x00\x00\x00",  # each form is 10 000 bytes of the next forms' chunks
     "png of one chunk": b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x10\x00IHDR",
 }
 
@@ -162,3 +163,31 @@ def test_walks_equal_plain_ones():
                 assert got == plain(b, at)
                 hits += got is not None
     assert hits > 100
+
+
+def test_riff_chunks_equal_a_plain_walk():
+    def plain(b, at, form, need):
+        if at + 12 > len(b) or b[at + 8 : at + 12] != form:
+            return None
+        end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+        if end > len(b):
+            return None
+        seen, k = set(), at + 12
+        while k + 8 <= end:
+            seen.add(b[k : k + 4])
+            n = struct.unpack_from("<I", b, k + 4)[0]
+            k += 8 + n + (n & 1)
+        return end - at if k in (end, end + 1) and (not need or seen & set(need)) else None
+
+    rng = np.random.default_rng(3)
+    heads = [b"RIFF%sWAVE", b"RIFF%sWEBP", b"RIFF%sAVI ", b"data%s", b"VP8X%s", b"LIST%s"]
+    hits = 0
+    for _ in range(400):
+        b = b"".join(heads[i].replace(b"%s", struct.pack("<I", int(n))) for i, n in zip(rng.integers(0, 6, 60), rng.integers(0, 60, 60) * rng.integers(0, 2, 60), strict=True)) + bytes(7)
+        v = media.Value(b)
+        for at in [i for i in range(len(b)) if b[i : i + 4] == b"RIFF"]:
+            for form, bit, need in ((b"WAVE", 1, (b"data",)), (b"WEBP", 2, (b"VP8 ", b"VP8L", b"VP8X")), (b"AVI ", 0, ())):
+                got = media._riff(v, at, form, bit)
+                assert got == plain(b, at, form, need)
+                hits += got is not None
+    assert hits > 100
