@@ -16,8 +16,8 @@ rows of sf0.1) and 0.99 (check_s), the normalised excess of single words with
 0.94 and 1.00: an insult of a few words drowns in a long text, so the curve
 leans on the words.
 
-Counts come from every labelled document outside the held-out fold (and outside
-the calibration fold), by exact 5-gram, and grow with the corpus.  A model is a
+Counts come from every labelled document outside the held-out fold, by exact
+5-gram, and grow with the corpus.  A model is a
 table of ratios: of each 5-gram seen, and of each context for what follows it
 unseen.  It is broadcast up to BROADCAST_GRAMS rows; beyond that each pack of
 PACK_ROWS documents gets the ratios of its own 5-grams by a join.
@@ -276,20 +276,25 @@ def pack_grams(batches):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows: int = SAMPLE_ROWS, broadcast_grams: int | None = None) -> Toxicity:
-    """Counts of all labelled rows of the folds but held_out and held_out + 1, calibrated on the latter."""
+    """Counts of all labelled rows of the folds but held_out; the curve is from counts without held_out + 1, on that fold."""
     tune = (held_out + 1) % folds
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    in_fold = fold(F.col("doc_id"), folds)
-    count_on = known.where((in_fold != held_out) & (in_fold != tune)).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    if known.count() <= BROADCAST_ROWS:
-        count_on = F.broadcast(count_on)
-    texts = docs.select("doc_id", "text")
-    model = Toxicity(ratio_rows(texts.join(count_on, F.col("doc_id") == F.col("labelled_id"))), broadcast_grams)
+    in_fold, texts, few = fold(F.col("doc_id"), folds), docs.select("doc_id", "text"), known.count() <= BROADCAST_ROWS
+
+    def counted(where: Column) -> Toxicity:
+        on = known.where(where).groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+        return Toxicity(ratio_rows(texts.join(F.broadcast(on) if few else on, F.col("doc_id") == F.col("labelled_id"))), broadcast_grams)
+
+    model = counted((in_fold != held_out) & (in_fold != tune))
     ids = sample_labels(known.where(in_fold == tune), "toxic", folds, held_out, rows).withColumnRenamed("doc_id", "labelled_id")
     sample = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "y")
     got = model.with_features(sample).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("__x").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack(got["x"]) if len(got) else np.empty((0, FEATURES))
-    model.curve = fit_curve(x, got["y"].to_numpy(float))
+    curve = fit_curve(x, got["y"].to_numpy(float))
+    if model.sent:
+        model.sent.unpersist()
+    model = counted(in_fold != held_out)
+    model.curve = curve
     return model
 
 

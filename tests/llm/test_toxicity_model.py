@@ -1,6 +1,7 @@
 """The Kneser-Ney ratios against dictionaries, both ways of scoring, and the held-out rank."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -84,6 +85,23 @@ def test_features(labelled):
         assert got.tolist() == pytest.approx([sum(r) / max(len(r), 1), math.log1p(100 * excess), math.log1p(max([0, *words]))], abs=1e-4)
 
 
+def test_score_counts_every_fold_but_the_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.where("doc_id % 9 = 0")
+    model = fit_toxicity(some, labels)
+    rows = [r for r in some.join(labels.where("toxic is not null"), "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    assert any(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows)
+    seen, unseen = dictionary_ratios([(r["text"], r["toxic"]) for r in rows])
+    want = {int.from_bytes(g, "big"): r for g, r in seen.items()} | {int.from_bytes(c, "big") | toxicity.CONTEXT: r for c, r in unseen.items()}
+    got = {r["key"]: r["r"] for r in model.rows.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    plain = toxicity.Model(np.array(list(want), np.uint64), np.array(list(want.values())))
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    for r in with_toxicity(some, model).collect():  # the score of each text by the curve over its features
+        x = plain.features(pa.array([texts[r["doc_id"]]]))[0]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.curve[0] + model.curve[1:] @ x))), abs=1e-4)
+
+
 def test_packs_score_like_the_broadcast_model(spark, odd):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     models = [fit_toxicity(docs, labels, broadcast_grams=n) for n in (None, 0)]
