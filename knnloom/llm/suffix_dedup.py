@@ -5,7 +5,9 @@ ANCHOR-byte strings inside it.  Equal windows have equal anchors, so shards by
 anchor hold all occurrences of their windows, and neighbouring windows with one
 anchor travel as one snippet.
 
-1. Anchors of all documents are compared as 40-bit hashes, packed; an anchor
+1. Anchors of all documents are compared, packed: a 64-bit hash chooses a part,
+   of about PART_BYTES of text, and 40 bits of it are compared there, so how many
+   meet by chance doesn't grow with the corpus.  An anchor
    that occurs once can't repeat.  Within a pack of texts repeated hashes travel
    once, so a frequent passage costs one entry a pack.
 2. Snippets of the anchors that remain go to their shards, equal ones of a slice
@@ -62,7 +64,7 @@ MEMBER = np.dtype([("place", "<i8"), ("id", "<i8"), ("start", "<i4")])
 
 
 def _least(data: np.ndarray, first: int) -> np.ndarray:
-    """For each window of MATCH bytes its anchor (40 bits) and the place of that (24 bits)."""
+    """For each window of MATCH bytes the least hash in it (40 bits) and the place of that (24 bits)."""
     h, size = tb._BYTE_HASH[data], 1
     while size < ANCHOR:
         low = h[:-size] * tb._POW[2 * size + 1]
@@ -78,6 +80,12 @@ def _least(data: np.ndarray, first: int) -> np.ndarray:
     return np.minimum(h[: -(wide - size)], h[wide - size :]) if wide > size else h
 
 
+def _keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ANCHOR bytes at each place."""
+    words = np.ascontiguousarray(data[at[:, None] + np.arange(ANCHOR)]).view("<u8")
+    return tb.mix64(tb.mix64(words[:, 0]) * np.uint64(0x9E3779B97F4A7C15) + words[:, 1])
+
+
 def snippets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window, piece) of each run of windows with one anchor."""
     n = len(data)
@@ -97,7 +105,8 @@ def snippets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a = np.flatnonzero(first)
     piece = np.searchsorted(off, a, "right") - 1
     last = np.minimum(np.r_[a[1:], len(h)] - 1, off[piece + 1] - MATCH)
-    return h[a] >> np.uint64(24), a, last, piece
+    at = a + ((h[a].astype(np.int64) - a) & int(_PLACE))  # places are noted by their last 24 bits
+    return _keys(data, at), a, last, piece
 
 
 def _runs_in_doc(piece: np.ndarray, n: int) -> np.ndarray:
