@@ -20,7 +20,7 @@ Counts come from every labelled document outside the held-out fold, by exact
 5-gram, and grow with the corpus.  A model is a
 table of ratios: of each 5-gram seen, and of each context for what follows it
 unseen.  It is broadcast up to BROADCAST_GRAMS rows; beyond that each pack of
-PACK_ROWS documents gets the ratios of its own 5-grams by a join.
+documents, of PACK_BYTES at most, gets the ratios of its own 5-grams by a join.
 
 Defined cases.  Null text: as empty.  An empty text scores as one of ratio 0.
 Rows of ``labels`` with a null id or label don't count; of repeated ids the
@@ -51,11 +51,11 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 WORD_NATS = 4.0
 #: Calibration rows of each class, at most.
 SAMPLE_ROWS = 12_000
-#: Rows of a model that are broadcast (12 bytes each), and documents that are scored together beyond that.
-BROADCAST_GRAMS, PACK_ROWS = 4_000_000, 512
+#: Rows of a model that are broadcast (12 bytes each); bytes and documents, at most, that are scored together beyond that.
+BROADCAST_GRAMS, PACK_BYTES, PACK_BITS = 4_000_000, 1 << 22, 9
 #: Marks the context of a 5-gram among the keys of a model.
 CONTEXT = 1 << 40
-FEATURES = 3
+FEATURES, SUMS = 3, 5
 _PLAIN = np.where(tb._SPACE, 32, tb._LOWER).astype(np.uint8)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,9 +150,10 @@ class Model:
         r[missed], _ = self.find((g[missed] >> np.uint64(8)) | np.uint64(CONTEXT))
         return r
 
-    def features(self, col: pa.Array) -> np.ndarray:
+    def sums(self, col: pa.Array) -> np.ndarray:
+        """Of each text the sum of ratios, bytes, the words' excess, words, and the loudest word."""
         n = len(col)
-        add, top = np.zeros((n, 4)), np.zeros(n)
+        add, top = np.zeros((n, SUMS - 1)), np.zeros(n)
         for data, off, rows in tb.slices(col):
             if not len(data):
                 continue
@@ -166,12 +167,19 @@ class Model:
             np.add.at(add, rows, np.stack(part, 1))
             np.maximum.at(top, rows[wp], w)
         tb.release()
-        loud = add[:, 2] / np.maximum(add[:, 3], 1)
-        return np.stack([add[:, 0] / np.maximum(add[:, 1], 1), np.log1p(100 * loud), np.log1p(top)], 1)
+        return np.c_[add, top]
+
+    def features(self, col: pa.Array) -> np.ndarray:
+        return features_of(self.sums(col))
+
+
+def features_of(sums: np.ndarray) -> np.ndarray:
+    loud = sums[:, 2] / np.maximum(sums[:, 3], 1)
+    return np.stack([sums[:, 0] / np.maximum(sums[:, 1], 1), np.log1p(100 * loud), np.log1p(sums[:, 4])], 1)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * FEATURES).astype(np.int32)), pa.array(x.ravel()))
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -248,7 +256,22 @@ class Toxicity:
         if self.sent:
             sent = self.sent
             return docs.withColumn(out, F.arrow_udf(lambda col: _lists(sent.value.features(col)), "array<double>")(F.col(text)))
-        rows = placed(docs, "__place").withColumn("__pack", F.floor(F.col("__place") / PACK_ROWS))
+        rows = placed(docs, "__place").withColumn("__size", F.coalesce(F.octet_length(text), F.lit(0)))
+        # texts of about one size are in a pack, so its number follows from the row and its bytes are bounded
+        doublings = sum(((F.col("__size") > (PACK_BYTES >> PACK_BITS << k)).cast("int") for k in range(PACK_BITS)), F.lit(0))
+        pack = F.call_function("shiftright", F.col("__place"), PACK_BITS - doublings) * (PACK_BITS + 1) + doublings
+        short = rows.where(F.col("__size") <= tb.SLICE_BYTES).withColumn("__pack", pack)
+        of_short = self._packed(short, text, out, features_of).drop("__place", "__size", "__pack")
+        long = rows.where(F.col("__size") > tb.SLICE_BYTES)
+        pieces = long.select("__place", text).mapInArrow(long_pieces, "__place bigint, __piece bigint, text binary")
+        numbered = pieces.withColumn("__pack", F.xxhash64("__place", "__piece"))
+        added = self._packed(numbered, "text", "__sums", lambda sums: sums).select("__place", "__piece", "__sums")
+        whole = added.groupBy("__place").applyInArrow(add_pieces, "__long bigint, x array<double>").withColumnRenamed("x", out)
+        of_long = long.join(whole, F.col("__place") == F.col("__long")).drop("__place", "__size", "__long")
+        return of_short.unionByName(of_long)
+
+    def _packed(self, rows: DataFrame, text: str, out: str, of) -> DataFrame:
+        """The rows with ``of`` the sums of their texts, by packs (``__pack``) that get the ratios of their own 5-grams."""
         need = rows.select("__pack", text).mapInArrow(pack_grams, "__pack bigint, g bigint")
         seen = need.join(self.rows.select(F.col("key").alias("g"), "r"), "g", "left")
         both = seen.withColumn("c", F.shiftright("g", 8).bitwiseOR(CONTEXT)).join(self.rows.select(F.col("key").alias("c"), F.col("r").alias("r0")), "c", "left")
@@ -257,10 +280,27 @@ class Toxicity:
 
         def score(_, left: pa.Table, right: pa.Table) -> pa.Table:
             model = Model(right["g"].to_numpy(), right["r"].to_numpy())
-            return left.append_column(out, _lists(model.features(left.column(at).combine_chunks())))
+            return left.append_column(out, _lists(of(model.sums(left.column(at).combine_chunks()))))
 
         schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"{out} array<double>").fields])
-        return rows.groupBy("__pack").cogroup(known.groupBy("__pack")).applyInArrow(score, schema).drop("__place", "__pack")
+        return rows.groupBy("__pack").cogroup(known.groupBy("__pack")).applyInArrow(score, schema)
+
+
+def long_pieces(batches):
+    """(place, piece, bytes): each text cut as it is where it is read in slices."""
+    for batch in batches:
+        for place, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, (data, _, _) in enumerate(tb.slices(pa.array([text]))):
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([k]), pa.array([data.tobytes()], pa.binary())], ["__place", "__piece", "text"])
+
+
+def add_pieces(pieces: pa.Table) -> pa.Table:
+    """(place, features) of one text from the sums of its pieces, in their order."""
+    x = np.stack(pieces.sort_by("__piece")["__sums"].to_numpy())
+    total = np.zeros(SUMS)
+    for row in x:
+        total = np.r_[total[:-1] + row[:-1], max(total[-1], row[-1])]
+    return pa.table({"__long": pieces["__place"].slice(0, 1), "x": _lists(features_of(total[None]))})
 
 
 def pack_grams(batches):

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from knnloom.llm import queries, toxicity
 from knnloom.llm.toxicity import DISCOUNT, STRENGTH, fit_toxicity, with_toxicity
@@ -111,6 +112,29 @@ def test_packs_score_like_the_broadcast_model(spark, odd):
         assert a == b and len(a) == table.count()
 
 
+def test_packs_of_long_texts(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()]
+    much = " ".join(texts)
+    rows = [*((i, t, "e") for i, t in enumerate(texts)), *((100 + i, t, "f") for i, t in enumerate((much * (1 + (3 << 20) // len(much)), "ab" * (1 << 20), "\u00e9\u4e2d" * 500_000, much[:200_000], much[:200_000], None)))]
+    table = spark.createDataFrame(rows, "id bigint, text string, kind string")
+    a, b = (sorted((r["id"], r["score"], r["kind"]) for r in with_toxicity(table, fit_toxicity(docs, labels, broadcast_grams=n)).select("id", "score", "kind").collect()) for n in (None, 0))
+    assert a == b and len(a) == len(rows)
+
+
+def test_packs_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "PACK_BYTES", 1 << 14)
+    monkeypatch.setattr(toxicity.tb, "SLICE_BYTES", 1 << 14)
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels, broadcast_grams=0)
+    seen = []
+    monkeypatch.setattr(toxicity.Toxicity, "_packed", lambda self, rows, text, out, of: seen.append((rows, text)) or rows.withColumn(out, F.array().cast("array<double>")))
+    model.with_features(docs)
+    sizes = seen[0][0].groupBy("__pack").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")).collect()
+    assert max(r["n"] for r in sizes) <= 1 << 14 and max(r["rows"] for r in sizes) > 1
+    assert max(r["n"] for r in seen[1][0].groupBy("__pack").agg(F.sum(F.octet_length("text")).alias("n")).collect() or [{"n": 0}]) <= 1 << 20
+
+
 def test_held_out_rank(spark):
     got = queries.QUERIES["op2_toxicity"](spark, f"{DATA}/sf0.1")
     both = got.join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
