@@ -38,6 +38,8 @@ from ..operators.results import top_k
 #: Candidates in a block, about; never fewer than FEWEST * k.
 BLOCK_ROWS, FEWEST = 64, 4
 MAX_BLOCKS = 250_000
+#: Points of a stripe that one task puts in order with the stripe's blocks, about.
+WINDOW_POINTS = 1 << 20
 #: A tile is crowded beyond so many times its size.
 CROWDED = 8
 #: Relative error allowed to approximate quantiles: 1 / (ACCURACY x parts).
@@ -238,7 +240,8 @@ def reached_wide(i: DataFrame, t: DataFrame, k: int, n: int, axis: str, rows: in
 
     Blocks are cut by rank along each stripe.  A point's home block, and the run of
     blocks that its bound reaches in a stripe, are counts of the blocks before it,
-    taken in one order of blocks and points.  Boundaries and extents of the stripes
+    taken in one order of blocks and points; a stripe of many points has several such
+    orders, each of some of its points and all of its blocks.  Boundaries and extents of the stripes
     come to the driver, the square root of the number of blocks.
     """
     ix, iy, tx, ty = ("u", "v", "tu", "tv") if axis == "y" else ("v", "u", "tv", "tu")
@@ -265,10 +268,22 @@ def reached_wide(i: DataFrame, t: DataFrame, k: int, n: int, axis: str, rows: in
     training = training.select("stripe", F.least(F.floor(F.col("rank") / rows), F.col("blocks") - 1).alias("block"), F.col("id").alias("neighbor_id"), F.col("v").alias("tv"), F.col("u").alias("tu")).persist()
     boxes = training.groupBy("stripe", "block").agg(F.min("tu").alias("low"), F.max("tu").alias("high")).persist()
 
-    def before(points: DataFrame, at: Column, edge: str, first: int) -> DataFrame:
+    def dealt(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The points dealt to parts of about WINDOW_POINTS inside their stripe, and the boxes, a copy for each part.
+
+        Stripes of more points than one part come to the driver, with how many.
+        """
+        many = points.groupBy("stripe").agg(F.ceil(F.count("*") / WINDOW_POINTS).alias("parts")).where("parts > 1").toPandas()
+        parts = F.broadcast(i.sparkSession.createDataFrame(many, "stripe int, parts bigint"))
+        last = F.coalesce("parts", F.lit(1)) - 1
+        part = F.pmod(F.xxhash64("v", "u"), last + 1)
+        copies = boxes.join(parts, "stripe", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        return points.join(parts, "stripe", "left").withColumn("part", part).drop("parts"), copies.drop("parts")
+
+    def before(points: DataFrame, boxes: DataFrame, at: Column, edge: str, first: int) -> DataFrame:
         """The points with ``count``, how many blocks of their stripe have their edge before ``at`` (first=0) or up to it (1)."""
-        both = points.withColumns({"x": at, "tie": F.lit(first)}).unionByName(boxes.select("stripe", F.col(edge).alias("x"), F.lit(1 - first).alias("tie"), F.lit(1).alias("box")), allowMissingColumns=True)
-        run = Window.partitionBy("stripe").orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        both = points.withColumns({"x": at, "tie": F.lit(first)}).unionByName(boxes.select("stripe", "part", F.col(edge).alias("x"), F.lit(1 - first).alias("tie"), F.lit(1).alias("box")), allowMissingColumns=True)
+        run = Window.partitionBy("stripe", "part").orderBy("x", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counted = both.withColumn("count", F.coalesce(F.sum("box").over(run), F.lit(0)))
         return counted.where("box is null").drop("x", "tie", "box")
 
@@ -276,11 +291,11 @@ def reached_wide(i: DataFrame, t: DataFrame, k: int, n: int, axis: str, rows: in
     stripe_at = extent["stripe"].to_numpy()
     filled = F.arrow_udf(lambda s: pa.array(stripe_at[s.to_numpy(zero_copy_only=False)].astype(np.int32)), "int")
     places = i.select("v", "u").distinct()  # a crowd of points finds its block once
-    asked = before(places.withColumn("stripe", filled(home("v"))), F.col("u"), "high", 0).join(F.broadcast(blocks), "stripe")
+    asked = before(*dealt(places.withColumn("stripe", filled(home("v")))), F.col("u"), "high", 0).join(F.broadcast(blocks), "stripe")
     asked = asked.select("v", "u", "stripe", F.least("count", F.col("blocks") - 1).alias("block"))
     first = asked.join(training, ["stripe", "block"]).select(F.struct("v", "u").alias("input_id"), "neighbor_id", apart.alias("dist_sq"))
     kth = top_k(first, k).where(F.col("rnk") == k).select("input_id.*", F.col("dist_sq").alias("bound"))
-    bounded = places.join(kth, ["v", "u"], "left")
+    bounded = places.join(kth, ["v", "u"], "left").persist()  # read for the parts, then for the blocks
 
     def stripes(v: pa.Array, bound: pa.Array) -> pa.Array:
         v, bound = (x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (v, bound))
@@ -290,8 +305,9 @@ def reached_wide(i: DataFrame, t: DataFrame, k: int, n: int, axis: str, rows: in
 
     side = F.coalesce(F.sqrt("bound") * (1 + 1e-12), F.lit(float("inf")))  # rounded up: the exact comparison follows
     near = bounded.withColumn("stripe", F.explode(F.arrow_udf(stripes, "array<int>")("v", "bound")))
-    near = before(near, F.col("u") - side, "high", 0).withColumnRenamed("count", "lo")
-    near = before(near, F.col("u") + side, "low", 1).withColumnRenamed("count", "hi").where("lo < hi")
+    near, copies = dealt(near)
+    near = before(near, copies, F.col("u") - side, "high", 0).withColumnRenamed("count", "lo")
+    near = before(near, copies, F.col("u") + side, "low", 1).withColumnRenamed("count", "hi").where("lo < hi")
     wanted = near.withColumn("block", F.explode(F.sequence("lo", F.col("hi") - 1)))
     within = wanted.join(training, ["stripe", "block"]).withColumn("dist_sq", apart).where(F.col("bound").isNull() | (F.col("dist_sq") <= F.col("bound")))
     return i.join(within.select("v", "u", "neighbor_id", "dist_sq"), ["v", "u"]).select(F.col("id").alias("input_id"), "neighbor_id", "dist_sq")

@@ -72,6 +72,15 @@ def test_blocks_as_tables_equal_the_nested_loop(spark, case, monkeypatch):
     assert run(spark, q, t, k, "sweep_x" if case == "clustered" else "grid", **options) == want(q, t, k)
 
 
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_stripes_of_many_points_are_dealt_to_parts(spark, case, monkeypatch):
+    monkeypatch.setattr(tiles_module, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(tiles_module, "FEWEST", 1)
+    monkeypatch.setattr(tiles_module, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(tiles_module, "WINDOW_POINTS", 5)
+    q, t, k, options = CASES[case]
+    assert run(spark, q, t, k, "sweep_x" if case == "clustered" else "grid", **options) == want(q, t, k)
+
 def test_blocks_do_not_grow_with_the_data(spark, monkeypatch):
     """Candidates ranked for a point are about as many for eight times the points, and what is collected grows by the root."""
     from knnloom.operators import candidate_counts, generate_uniform
