@@ -49,9 +49,9 @@ SAMPLES = 2
 ALPHA = 1.5
 SEED = 17
 #: Bytes of text that are searched together; bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Bytes of words whose lattices are kept from slice to slice (about 110 bytes each).
-WORD_BYTES = 2 << 20
+WORD_BYTES = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 _BASE = np.uint64(0x100000001B3)
 
