@@ -1,10 +1,11 @@
 """Near-duplicates by resemblance: the Jaccard similarity of sets of word shingles.
 
 Two texts are linked if the sets of their shingles of ``words`` words have a
-similarity of ``least`` or more.  Candidates come from BANDS keys a text, each
-of ROWS minima of the shingles under one order each (MinHash); every candidate
-is verified on the shingles themselves, so no link is false.  At a similarity
-of 0.8 all keys of a pair differ with a chance of (1 - 0.8^5)^32 = 3e-6.
+similarity of ``least`` or more.  Candidates come from the SimHashes of the sets, by
+the search that ``resembling`` is given, and from BANDS keys a text, each of ROWS
+minima of the shingles under one order each (MinHash), for what that search misses;
+every candidate is verified on the shingles themselves, so no link is false.  At a
+similarity of 0.8 all keys of a pair differ with a chance of (1 - 0.8^5)^32 = 3e-6.
 
 Equal texts are joined first.  In each key all members are compared with one of
 them; where the members of a key are then not of one component, they are dealt
@@ -20,6 +21,7 @@ empty result.  Other columns are neither read nor changed.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ BANDS, ROWS = 32, 5
 #: Pairs of one text that one task verifies, about; members of a block, about, and shingles of a matrix.
 PART, COLUMNS = 256, 8192
 SEED = 6
+#: Near pairs (u, v) of distinct SimHashes (fp).
+Search = Callable[[DataFrame], DataFrame]
 
 _ODD = tb._odd(SEED, BANDS * ROWS)
 _FLIP = tb.mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -72,16 +76,16 @@ def _digest(g: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def keys_of(words: int):
-    """A UDF's body: digest of a text's shingles and their keys."""
+    """A UDF's body: digest of a text's shingles, their SimHash and their keys."""
 
     def run(col: pa.Array) -> pa.Array:
-        digest, keys = np.zeros(len(col), np.uint64), np.zeros((len(col), BANDS), np.uint64)
+        digest, prints, keys = np.zeros(len(col), np.uint64), np.zeros(len(col), np.uint64), np.zeros((len(col), BANDS), np.uint64)
         for rows, bounds, g in shingles(col, words):
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
             at, starts = rows[full], bounds[full]
-            digest[at] = _digest(g, starts, np.diff(bounds)[full])
+            digest[at], prints[rows] = _digest(g, starts, np.diff(bounds)[full]), tb.majority(g, bounds)
             for b in range(BANDS):
                 key = np.full(len(full), b + 1, np.uint64)
                 for k in range(b * ROWS, (b + 1) * ROWS):
@@ -89,7 +93,7 @@ def keys_of(words: int):
                 keys[at, b] = key
         lists = pa.ListArray.from_arrays(pa.array((np.arange(len(col) + 1) * BANDS).astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
         tb.release()
-        return pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), lists], ["h", "keys"])
+        return pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(prints.view(np.int64)), lists], ["h", "fp", "keys"])
 
     return run
 
@@ -113,7 +117,7 @@ def sets_of(words: int):
     return run
 
 
-KEYED = "struct<h:bigint,keys:array<bigint>>"
+KEYED = "struct<h:bigint,fp:bigint,keys:array<bigint>>"
 SET = "struct<h:bigint,shingles:array<bigint>>"
 
 
@@ -193,15 +197,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pinned(whole.select("u", "v", "a", "b").mapInArrow(verified(least), "u bigint, v bigint"), "none")
 
 
-def links(keyed: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Edges (u, v) that connect the distinct sets (h, keys) of the texts as all links do."""
+def by_prints(keyed: DataFrame, search: Search) -> DataFrame:
+    """Candidate pairs (u, v) of distinct sets (h, fp): of one print, and of prints that the search links."""
+    first = pinned(keyed.groupBy("fp").agg(F.min("h").alias("h")), "none")
+    same = keyed.join(first.select("fp", F.col("h").alias("u")), "fp").select("u", F.col("h").alias("v"))
+    found = search(first.select("fp")).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    of = lambda end, name: first.select(F.col("fp").alias(end), F.col("h").alias(name))
+    linked = found.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")
+    return pinned(same.unionByName(linked).where("u != v"), "none")
+
+
+def links(keyed: DataFrame, texts: DataFrame, words: int, least: float, search: Search | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct sets (h, fp, keys) of the texts as all links do."""
+    pairs_by_print = by_prints(keyed.select("h", "fp"), search) if search else None
     keys = keyed.select("h", F.explode("keys").alias("key"))
     groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("u")).where("n > 1")
     members = pinned(keys.join(groups, "key").select("key", "n", "u", F.col("h").alias("v")), "none")
+    asked, named = members.select("u", "v"), members.select(F.col("v").alias("h"))
+    if pairs_by_print is not None:
+        asked = asked.unionByName(pairs_by_print)
+        named = named.unionByName(pairs_by_print.select(F.explode(F.array("u", "v")).alias("h")))
     # The shingles of texts that share a key are made again; those of all texts are not kept.
     made = texts.select(F.arrow_udf(sets_of(words), SET)(F.col("text")).alias("x")).select("x.*")
-    sets = pinned(made.join(members.select(F.col("v").alias("h")).distinct(), "h", "left_semi").dropDuplicates(["h"]), "none")
-    first = _verify(members.select("u", "v"), sets, least)
+    sets = pinned(made.join(named.distinct(), "h", "left_semi").dropDuplicates(["h"]), "none")
+    first = _verify(asked, sets, least)
     roots = pinned(components(first, first.count()), "none")
     # Members of keys of three and more, where these aren't of one component, in blocks that are compared in pairs.
     more = members.where("n > 2").join(roots.withColumnRenamed("node", "v"), "v", "left").select("key", "n", "v", F.coalesce("root", "v").alias("c"))
@@ -214,12 +233,15 @@ def links(keyed: DataFrame, texts: DataFrame, words: int, least: float) -> DataF
     return first.unionByName(pinned(second, "none"))
 
 
-def resembling(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """(id, component_id) of each row: the smallest id that links of this similarity reach."""
+def resembling(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, search: Search | None = None) -> DataFrame:
+    """(id, component_id) of each row: the smallest id that links of this similarity reach.
+
+    ``search`` gives pairs (u, v) of SimHashes (fp), the candidates that are taken first.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     made = pinned(texts.select("id", F.arrow_udf(keys_of(words), KEYED)(F.col("text")).alias("x")).select("id", "x.*"), "none")
     prints = made.select("id", "h")
-    edges = links(made.drop("id").where("h != 0").dropDuplicates(["h"]), texts, words, least)
+    edges = links(made.drop("id").where("h != 0").dropDuplicates(["h"]), texts, words, least, search)
     roots = components(edges, edges.count())
     distinct = prints.groupBy("h").agg(F.min("id").alias("least"))
     rooted = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("root", "h").alias("root"))

@@ -28,6 +28,7 @@ empty table gives an empty result.  Other columns are neither read nor changed.
 from __future__ import annotations
 
 import itertools
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ from .session import pinned
 
 WORDS = 4
 SEED = 42
-LINK_BITS = 4
+#: Differing bits of a link, and of candidates whose sets of shingles are compared.
+LINK_BITS, REACH = 4, 16
 SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the code.
 GENERATOR = 0xC75
@@ -73,15 +75,7 @@ def fingerprints(col: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndar
         b = a + np.repeat(np.minimum(n, words), grams) - 1
         start, end = place[a], place[b] + size[b]
         h = np.fromiter((digest(text[i:j], seed) for i, j in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
-        counts = np.zeros((len(rows), 64), np.int64)
-        step = 1 << 16
-        for k in range(0, len(h), step):  # so that the bits of few shingles are in memory
-            part = np.unpackbits(h[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            cut = np.clip(bounds, k, k + len(part)) - k
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            counts[full] += np.add.reduceat(part, cut[full], axis=0, dtype=np.int32)
-        bits = (2 * counts > grams[:, None]).astype(np.uint8)
-        out[rows] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[rows] = tb.majority(h, bounds)
     tb.release()
     return out
 
@@ -142,13 +136,13 @@ def key_rows(batches):
                     yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(fp[owner])], ["key", "fp"])
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= LINK_BITS
+def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= bits
 
 
-def _stars(fp: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _stars(fp: np.ndarray, side: np.ndarray | None = None, bits: int = LINK_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the components of near members; with sides only links across them count."""
-    near = _near(fp[:, None].copy(), fp[None, :].copy())
+    near = _near(fp[:, None].copy(), fp[None, :].copy(), bits)
     if side is not None:
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, True)
@@ -172,7 +166,7 @@ def _out(u, v, key=None, block=None):
 LINKS = "u bigint, v bigint, key bigint, block bigint"
 
 
-def link_rows(batches):
+def link_rows(batches, bits: int = LINK_BITS):
     """Links within the keys of a stream that is sorted by key.
 
     Rows (u, v) are links.  Members of a key with more than BLOCK rows also come
@@ -188,14 +182,14 @@ def link_rows(batches):
             i = np.flatnonzero(small[:-d] & (key[d:] == key[:-d]))
             if not len(i):
                 break
-            i = i[_near(fp[i], fp[i + d])]
+            i = i[_near(fp[i], fp[i + d], bits)]
             if len(i):
                 yield _out(fp[i], fp[i + d])
         for g in np.flatnonzero((size > SMALL) | ((start + size == len(key)) & (not last)) | np.isin(key[start], list(blocks))):
             k, a, b = int(key[start[g]]), int(start[g]), int(start[g] + size[g])
             if size[g] > SMALL:
                 for lo in range(a, b, BLOCK):
-                    u, v = _stars(fp[lo : min(lo + BLOCK, b)])
+                    u, v = _stars(fp[lo : min(lo + BLOCK, b)], bits=bits)
                     if len(u):
                         yield _out(u, v)
             if size[g] > BLOCK or k in blocks:
@@ -221,7 +215,7 @@ def link_rows(batches):
         yield from work(held_key, held_fp, True)
 
 
-def cross_rows(batches):
+def cross_rows(batches, bits: int = LINK_BITS):
     """Links across the two sides of block pairs, from (key, lo, hi, side, fp) sorted by the first three."""
     held = None
 
@@ -229,7 +223,7 @@ def cross_rows(batches):
         pair = np.stack(cols[:3], 1)
         cuts = np.r_[0, np.flatnonzero((pair[1:] != pair[:-1]).any(1)) + 1, len(pair)]
         for a, b in itertools.pairwise(cuts):
-            u, v = _stars(cols[4][a:b].copy(), cols[3][a:b])
+            u, v = _stars(cols[4][a:b].copy(), cols[3][a:b], bits)
             if len(u):
                 yield _out(u, v)
 
@@ -247,19 +241,19 @@ def cross_rows(batches):
         yield from work(held)
 
 
-def links(distinct: DataFrame) -> tuple[DataFrame, int]:
-    """Edges (u, v) that connect distinct fingerprints (fp) as links of LINK_BITS bits do.
+def links(distinct: DataFrame, bits: int = LINK_BITS) -> tuple[DataFrame, int]:
+    """Edges (u, v) that connect distinct fingerprints (fp) as links of so many bits do that meet in a key; those of LINK_BITS all do.
 
     Also about how many there are.
     """
     keys = distinct.select("fp").mapInArrow(key_rows, "key bigint, fp bigint")
     files = max(1, -(-distinct.count() * KEYS // FILE_KEYS))
-    found = pinned(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link_rows, LINKS).coalesce(files), "none")
+    found = pinned(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(link_rows, bits=bits), LINKS).coalesce(files), "none")
     members = found.where("v is null")
     blocks = members.groupBy("key").agg((F.max("block") + 1).alias("n"))
     wide = members.join(blocks, "key").select("key", F.col("u").alias("fp"), "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("other")).where("block != other")
     pairs = wide.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp")
-    across = pairs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(cross_rows, LINKS)
+    across = pairs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(partial(cross_rows, bits=bits), LINKS)
     return found.where("v is not null").select("u", "v").unionByName(across.select("u", "v")), found.count()
 
 
@@ -272,11 +266,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(id, fp, component_id) of each row: the smallest id that links of LINK_BITS bits reach.
 
     With ``least``, links are similarities of the sets of shingles of that much or
-    more instead, and there is no fp.  Texts of similarity 0.8 differ in ten of 64
-    bits, beyond the reach of any code of 23, so ``resemblance`` finds these.
+    more instead, and there is no fp.  Candidates are SimHashes of these sets that meet in
+    a Golay key and differ in REACH bits at most.  At a similarity of 0.8 ten of 64 bits
+    differ, so the keys find a part; ``resemblance`` adds what they miss, and verifies all.
     """
     if least is not None:
-        return resembling(docs, id_col, text, words, least)
+        return resembling(docs, id_col, text, words, least, lambda prints: links(prints, REACH)[0])
     prints = pinned(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), words=words).select("id", "fp"), "none")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(*links(distinct)).withColumnRenamed("node", "fp")

@@ -189,3 +189,16 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, bounds[full], axis=0, dtype=out.dtype)
     return out
+
+
+def majority(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The SimHash of each piece of hashes: bits that are set in over half of them (none: zero)."""
+    counts = np.zeros((len(bounds) - 1, 64), np.int64)
+    step = 1 << 16
+    for k in range(0, len(h), step):  # so that the bits of few shingles are in memory
+        part = np.unpackbits(h[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.clip(bounds, k, k + len(part)) - k
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        counts[full] += np.add.reduceat(part, cut[full], axis=0, dtype=np.int32)
+    bits = (2 * counts > np.diff(bounds)[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
