@@ -44,6 +44,8 @@ ORDER = 2
 PACK_ROWS, LONG_BYTES, SHARD_BYTES = 1024, 1 << 16, 8 << 20
 #: N-grams held by a task before it sends them.
 HELD = 1 << 22
+#: Tokens of the deleted part whose counts are added up at once.
+TUNED = 1 << 19
 #: Steps of expectation-maximisation at most, the change of a weight that ends them, and the largest weight.
 STEPS, SETTLED, SURE = 40, 1e-4, 1 - 1e-6
 #: Expected counts are added up in units of this share, so that their order doesn't matter.
@@ -250,24 +252,31 @@ def learned(rows: DataFrame, order: int, kinds: int) -> np.ndarray:
 
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of whole numbers, and how often each occurs."""
-    bits = [int(x).bit_length() for x in rows.max(0)]
+    low = rows.min(0)
+    bits = [int(x).bit_length() for x in rows.max(0) - low]
     if sum(bits) > 63:
-        return np.unique(rows, axis=0, return_counts=True)
+        rows = rows[np.lexsort(rows.T)]
+        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+        return rows[first], np.diff(np.r_[first, len(rows)])
     one = np.zeros(len(rows), np.int64)
-    for x, b in zip(rows.T, bits, strict=True):
+    for x, b in zip((rows - low).T, bits, strict=True):
         one = one << b | x
     _, first, times = np.unique(one, return_index=True, return_counts=True)
     return rows[first], times
 
 
 def deleted_rows(order: int, sizes: Sizes):
-    """(w; n, c, b of each order) from the counts of (size, n, deleted) of rows of the deleted part, equal ones added up."""
+    """(w; n, c, b of each order) from the counts of (size, n, deleted) of rows of the deleted part, equal ones added up, TUNED tokens at a time."""
     names = [f"{x}{k}" for x in "ncb" for k in range(order)]
 
+    def added(found: list[np.ndarray]) -> pa.RecordBatch:
+        kind, times = distinct_rows(np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(times), *(pa.array(x) for x in kind.T), *(pa.array(bucket(x).astype(np.int64)) for x in kind[:, order:].T)], ["w", *names])
+
     def made(batches):
+        found, held = [], 0
         for batch in batches:
             size = batch.column(0).to_numpy(zero_copy_only=False)
-            found = []
             for i, m in enumerate(size.tolist()):
                 n, gone = (unpacked(batch.column(j)[i].as_py(), m * order).reshape(order, m).astype(np.int64) for j in (1, 2))
                 n -= gone
@@ -275,9 +284,13 @@ def deleted_rows(order: int, sizes: Sizes):
                 b = bucket(c)
                 c = np.where(n > 0, c, np.where(b > 0, 1 << np.maximum(b - 1, 0), 0))  # what wasn't seen is of one kind in a bucket
                 found.append(np.concatenate([n, c]).T)
-            if found:
-                kind, times = distinct_rows(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(times), *(pa.array(x) for x in kind.T), *(pa.array(bucket(x).astype(np.int64)) for x in kind[:, order:].T)], ["w", *names])
+                held += m
+                if held >= TUNED:
+                    yield added(found)
+                    found, held = [], 0
+        if found:
+            yield added(found)
+        tb.release()
 
     return made, ", ".join(f"{x} bigint" for x in ["w", *names])
 
