@@ -46,3 +46,28 @@ def test_routes_are_all_boxes_in_reach():
         gap = [np.maximum(np.maximum(low[:, a] - x[:, None], x[:, None] - low[:, a] - 0.1), 0) for a, x in enumerate((v, u))]
         want = np.argwhere(gap[0] ** 2 + gap[1] ** 2 <= reach)
         assert sorted(zip(*(x.tolist() for x in nearest.Routes(boxes).of(v, u)), strict=True)) == [tuple(r) for r in want.tolist()]
+
+
+def test_state_has_partitions_for_its_tiles_and_seeds_leave_no_tables(spark, tmp_path, monkeypatch):
+    from knnloom.sources import kept_tables
+
+    monkeypatch.setattr(nearest, "TILE_POINTS", 16)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), kept_tables()
+    q, t = RNG.random((2000, 2)), RNG.random((400, 2))
+    candidates, seen = frame(spark, t), []
+    prepare(frame(spark, q), candidates.where("id <= 100"), 4, str(tmp_path / "seeds"))
+    assert kept_tables() == before[1]
+    tiles = spark.read.parquet(str(tmp_path / "seeds/boxes")).count()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert nearest.state_partitions(spark, str(tmp_path / "seeds")) == max(8, -(-tiles // nearest.SHARED_TILES)) < 40
+        candidates.where("id > 100").repartition(2).write.parquet(str(tmp_path / "in"))
+        arriving = spark.readStream.schema("id bigint, x double, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = start(updates(spark, str(tmp_path / "seeds"), arriving), lambda df, batch: df.write.parquet(str(tmp_path / f"out/batch={batch}")), str(tmp_path / "checkpoint"), str(tmp_path / "seeds"))
+        query.awaitTermination()
+        seen = [p["stateOperators"][0]["numShufflePartitions"] for p in (x if isinstance(x, dict) else __import__("json").loads(x.json) for x in query.recentProgress) if p["stateOperators"]]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+    assert set(seen) == {max(8, -(-tiles // nearest.SHARED_TILES))}
+    assert result(spark, tmp_path) == expected((range(1, 2001), q), (range(1, 401), t), 4)
